@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwright.llm import bpe, exact_dedup, language_id, packing, quality, url_filter
+from tarnwright.llm import bpe, exact_dedup, html_extract, language_id, packing, quality, url_filter
 from tarnwright.llm.shared import table
 
 
@@ -20,6 +20,10 @@ def tokenizer(name: str) -> str:
 RULES: list[url_filter.Rule] = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -45,6 +49,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html": op1_html,
     "op4_packing": op4_packing,
     "op5_quality": op5_quality,
     "op6_url_filter": op6_url_filter,
