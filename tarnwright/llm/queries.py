@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwright.llm import bpe, embedding_dedup, exact_dedup, html_extract, language_id, packing, quality, url_filter
+from tarnwright.llm import bpe, embedding_dedup, exact_dedup, html_extract, language_id, ngram_join, packing, quality, url_filter
 from tarnwright.llm.shared import table
 
 
@@ -44,6 +44,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_url_filter": op6_url_filter,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_ngram_join": op8_ngram_join,
     "op9_language_id": op9_language_id,
     "op10_bpe": op10_bpe,
 }
@@ -85,4 +90,21 @@ SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, e.
 FROM embeddings e JOIN c ON c.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 """
 
-SQL: dict[str, str] = {"op3_embedding_dedup": OP3_SQL, "op7_exact_dedup": OP7_SQL}
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS i, doc_id,
+    list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS words
+  FROM documents
+), g AS (
+  SELECT DISTINCT i, CASE WHEN len(words) < 4 THEN array_to_string(words, ' ') ELSE array_to_string(words[k:k + 3], ' ') END AS shingle
+  FROM (SELECT i, words, unnest(range(1, greatest(len(words) - 2, 2))) AS k FROM w WHERE len(words) > 0)
+), n AS (SELECT i, count(*) AS n FROM g GROUP BY i), p AS (
+  SELECT x.i AS a, y.i AS b, count(*) AS shared FROM g x JOIN g y ON x.shingle = y.shingle AND x.i <> y.i GROUP BY x.i, y.i
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.i = p.a JOIN n y ON y.i = p.b WHERE 100 * shared >= 85 * (x.n + y.n - shared)
+), r AS (SELECT i AS a, i AS b FROM w UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT r.a AS i, min(w.doc_id) AS component_id FROM r JOIN w ON w.i = r.b GROUP BY r.a)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id FROM w JOIN c USING (i) LEFT JOIN n USING (i)
+"""
+
+SQL: dict[str, str] = {"op3_embedding_dedup": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_ngram_join": OP8_SQL}
