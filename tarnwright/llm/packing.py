@@ -29,7 +29,7 @@ STRIDE = 1 << 36
 CACHE = 1_000_000
 END = (1).to_bytes(4, "little")
 
-_PIECES: dict[str, dict[str, bytes]] = {}
+_PIECES: dict[str, dict[bytes, bytes]] = {}
 _TOKENIZERS: dict[str, object] = {}
 
 
@@ -82,13 +82,14 @@ def _tokens(texts: list[str], source: str) -> list[bytes]:
         t.no_truncation()
         _PIECES[source] = {}
     library, cache = _TOKENIZERS[source], _PIECES[source]
-    cut = [t.split() for t in texts]
+    cut = [t.encode("utf-8", "surrogatepass").split() for t in texts]  # at ASCII white space; the library sees any other
     if len(cache) > CACHE:
         cache.clear()
     new = list({w for words in cut for w in words}.difference(cache))
     for a in range(0, len(new), 20_000):
         part = new[a : a + 20_000]
-        cache.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(part, library.encode_batch_fast(part, add_special_tokens=False), strict=True))
+        encoded = library.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
+        cache.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(part, encoded, strict=True))
     return [b"".join(map(cache.__getitem__, words)) + END for words in cut]
 
 
