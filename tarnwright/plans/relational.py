@@ -1,10 +1,455 @@
-"""Relational queries and the SQL that checks them."""
+"""Relational, scalar, event-time and streaming queries, each beside the SQL that checks it.
+
+Whole numbers are bigint, money is summed as decimal and returned as double, timestamps have no zone, so that both
+sides agree in type as well as value.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from tarnwright.functions.types import big, dbl, money, ntz
+from tarnwright.operators import joins, windows
+from tarnwright.sources import formats
+from tarnwright.sources.scratch import scratch_path, table
+from tarnwright.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    """Registers a query under its function's name, with the SQL that gives the same rows; its tables come by name."""
+
+    def register(f):
+        names = f.__code__.co_varnames[: f.__code__.co_argcount]
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(*[spark if n == "spark" else sf_dir if n == "sf_dir" else table(spark, sf_dir, n) for n in names])
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# --- scans, filters, projections
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 400000 AND (o_orderpriority LIKE '1%' OR o_orderstatus IN ('F', 'P'))")
+def filter_compound(orders):
+    return orders.filter((F.col("o_totalprice") > 400000) & (F.col("o_orderpriority").startswith("1") | F.col("o_orderstatus").isin("F", "P"))).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-03-01'")
+def filter_timestamp(lineitem):
+    return lineitem.filter(F.col("l_shipdate") < F.lit("1995-03-01").cast("timestamp_ntz")).select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 5000 THEN 'low' ELSE 'high' END AS band, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS segment FROM customer")
+def project_case_coalesce(customer):
+    band = F.when(F.col("c_acctbal") < 0, "debt").when(F.col("c_acctbal") < 5000, "low").otherwise("high")
+    return customer.select("c_custkey", band.alias("band"), F.coalesce(F.nullif("c_mktsegment", F.lit("BUILDING")), F.lit("none")).alias("segment"))
+
+
+# --- joins
+
+
+@query("SELECT n.n_name, r.r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey")
+def join_inner(nation, region):
+    return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
+
+
+@query("SELECT c_custkey, CAST(count(o_orderkey) AS BIGINT) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 300000 GROUP BY c_custkey")
+def join_left_count(customer, orders):
+    some = orders.filter("o_totalprice > 300000")
+    return customer.join(some, F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("n"))
+
+
+@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, l.quality, d.lang FROM documents d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id + 50")
+def join_full(documents, labels):
+    d, right = documents.select("doc_id", "lang").alias("d"), labels.alias("l")
+    return d.join(right, F.col("d.doc_id") == F.col("l.doc_id") + 50, "full").select(F.coalesce("d.doc_id", "l.doc_id").alias("doc_id"), "l.quality", "d.lang")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def join_semi(documents, labels):
+    return documents.join(labels.filter("toxic = 1"), "doc_id", "left_semi").select("doc_id", "lang")
+
+
+@query("SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def join_anti(documents, labels):
+    return documents.join(labels, "doc_id", "left_anti").select("doc_id", "lang")
+
+
+@query("SELECT s_suppkey, CAST(count(*) AS BIGINT) AS n FROM supplier JOIN customer ON c_acctbal BETWEEN s_acctbal AND s_acctbal + 50 GROUP BY s_suppkey")
+def join_range(supplier, customer):
+    ranges = supplier.select("s_suppkey", F.col("s_acctbal").alias("low"), (F.col("s_acctbal") + 50).alias("high"))
+    return joins.range_join(customer.select("c_acctbal"), "c_acctbal", ranges, "low", "high", 50.0).groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT p.event_id, v.event_id AS view_id, v.ts AS view_ts FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts""")
+def join_asof(events):
+    bought = events.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    seen = events.filter("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view_id"), F.col("ts").alias("view_ts"))
+    return joins.asof_join(bought, seen, "user_id", "ts", "ts", ["view_id", "view_ts"]).select("event_id", "view_id", "view_ts")
+
+
+@query("""SELECT n_name, CAST(sum(CAST(l_extendedprice AS DECIMAL(14,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS DOUBLE) AS revenue
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
+def join_four_way_revenue(lineitem, orders, customer, nation):
+    # one row for each order before the first shuffle join; the small sides are left to the optimizer, which knows their sizes
+    by_order = lineitem.groupBy("l_orderkey").agg(F.sum(money("l_extendedprice") * (1 - F.col("l_discount").cast("decimal(4,2)"))).alias("r"))
+    joined = by_order.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    joined = joined.join(customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.sum("r").alias("r"))
+    return joined.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(dbl(F.sum("r")).alias("revenue"))
+
+
+# --- aggregates
+
+
+@query("""SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS DECIMAL(14,2))) AS DOUBLE) AS sum_qty, CAST(sum(CAST(l_extendedprice AS DECIMAL(14,2))) AS DOUBLE) AS sum_price,
+CAST(count(*) AS BIGINT) AS n, min(l_discount) AS least, max(l_tax) AS most FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus""")
+def agg_pricing_summary(lineitem):
+    shipped = lineitem.filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
+    return shipped.groupBy("l_returnflag", "l_linestatus").agg(dbl(F.sum(money("l_quantity"))).alias("sum_qty"), dbl(F.sum(money("l_extendedprice"))).alias("sum_price"), F.count(F.lit(1)).alias("n"), F.min("l_discount").alias("least"), F.max("l_tax").alias("most"))
+
+
+@query("SELECT l_suppkey, round(avg(l_quantity), 6) AS mean_qty FROM lineitem GROUP BY l_suppkey")
+def agg_avg(lineitem):
+    return lineitem.groupBy("l_suppkey").agg(F.round(F.avg("l_quantity"), 6).alias("mean_qty"))
+
+
+@query("SELECT n_regionkey, n_name, CAST(count(*) AS BIGINT) AS n FROM nation GROUP BY ROLLUP (n_regionkey, n_name)")
+def agg_rollup(nation):
+    return nation.rollup("n_regionkey", "n_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+def agg_cube(orders):
+    return orders.cube("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
+def agg_grouping_sets(orders):
+    a, b = F.col("o_orderstatus"), F.col("o_orderpriority")
+    return orders.groupingSets([[a], [b], []], a, b).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_type, CAST(count(DISTINCT user_id) AS BIGINT) AS users FROM events GROUP BY event_type")
+def agg_count_distinct(events):
+    return events.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
+
+
+@query("SELECT abs(n - true_n) <= 0.1 * true_n AS close FROM (SELECT count(DISTINCT l_partkey) AS n, count(DISTINCT l_partkey) AS true_n FROM lineitem)")
+def agg_approx_distinct(lineitem):
+    return lineitem.agg(F.approx_count_distinct("l_partkey", 0.02).alias("n"), F.count_distinct("l_partkey").alias("true_n")).select((F.abs(F.col("n") - F.col("true_n")) <= 0.1 * F.col("true_n")).alias("close"))
+
+
+@query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS median_price FROM lineitem GROUP BY l_returnflag")
+def agg_percentile(lineitem):
+    return lineitem.groupBy("l_returnflag").agg(F.round(F.percentile("l_extendedprice", 0.5), 4).alias("median_price"))
+
+
+@query("SELECT c_mktsegment, round(stddev_samp(c_acctbal), 4) AS sd, round(var_samp(c_acctbal), 2) AS v FROM customer GROUP BY c_mktsegment")
+def agg_stddev(customer):
+    return customer.groupBy("c_mktsegment").agg(F.round(F.stddev_samp("c_acctbal"), 4).alias("sd"), F.round(F.var_samp("c_acctbal"), 2).alias("v"))
+
+
+@query("SELECT user_id, CAST(count(*) FILTER (WHERE event_type = 'click') AS BIGINT) AS clicks, CAST(count(*) FILTER (WHERE value > 50) AS BIGINT) AS large FROM events GROUP BY user_id")
+def agg_filtered(events):
+    return events.groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("clicks"), F.count_if(F.col("value") > 50).alias("large"))
+
+
+@query("SELECT n_regionkey, array_to_string(list_sort(list(n_name)), ',') AS names FROM nation GROUP BY n_regionkey")
+def agg_collect(nation):
+    return nation.groupBy("n_regionkey").agg(F.array_join(F.sort_array(F.collect_list("n_name")), ",").alias("names"))
+
+
+@query("SELECT o_orderpriority, CAST(count(*) FILTER (WHERE o_orderstatus = 'F') AS BIGINT) AS f, CAST(count(*) FILTER (WHERE o_orderstatus = 'O') AS BIGINT) AS o, CAST(count(*) FILTER (WHERE o_orderstatus = 'P') AS BIGINT) AS p FROM orders GROUP BY o_orderpriority")
+def agg_pivot(orders):
+    out = orders.groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1)))
+    return out.select("o_orderpriority", *[F.coalesce(s, F.lit(0)).cast("bigint").alias(s.lower()) for s in "FOP"])
+
+
+@query("SELECT s_suppkey, 'balance' AS what, s_acctbal AS value FROM supplier UNION ALL SELECT s_suppkey, 'nation', CAST(s_nationkey AS DOUBLE) FROM supplier")
+def agg_unpivot(supplier):
+    wide = supplier.select("s_suppkey", F.col("s_acctbal").alias("balance"), dbl("s_nationkey").alias("nation"))
+    return wide.unpivot("s_suppkey", ["balance", "nation"], "what", "value")
+
+
+@query("SELECT user_id, arg_max(event_id, ts) AS last_event, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY user_id HAVING count(*) > 3")
+def agg_max_by_having(events):
+    return events.groupBy("user_id").agg(F.max_by("event_id", "ts").alias("last_event"), F.count(F.lit(1)).alias("n")).filter("n > 3")
+
+
+# --- windows and top-k
+
+
+@query("""SELECT o_orderkey, CAST(rank() OVER w AS BIGINT) AS r, CAST(dense_rank() OVER w AS BIGINT) AS d, CAST(ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS BIGINT) AS q
+FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority)""")
+def window_ranks(orders):
+    w = Window.partitionBy("o_custkey")
+    by = w.orderBy("o_orderpriority")
+    return orders.select("o_orderkey", big(F.rank().over(by)).alias("r"), big(F.dense_rank().over(by)).alias("d"), big(F.ntile(4).over(w.orderBy("o_totalprice", "o_orderkey"))).alias("q"))
+
+
+@query("SELECT event_id, lag(value) OVER w AS before, lead(event_type, 2, 'none') OVER w AS later FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def window_lag_lead(events):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return events.select("event_id", F.lag("value").over(w).alias("before"), F.lead("event_type", 2, "none").over(w).alias("later"))
+
+
+@query("SELECT event_id, CAST(sum(CAST(value AS DECIMAL(14,4))) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS DOUBLE) AS moving FROM events")
+def window_rows_frame(events):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-2, 0)
+    return events.select("event_id", dbl(F.sum(money("value", 4)).over(w)).alias("moving"))
+
+
+@query("SELECT event_id, CAST(count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS BIGINT) AS in_a_day FROM events")
+def window_range_frame(events):
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    w = Window.partitionBy("user_id").orderBy(micros).rangeBetween(-86_400_000_000, 0)
+    return events.select("event_id", F.count(F.lit(1)).over(w).alias("in_a_day"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def topk_global(orders):
+    return orders.select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3")
+def topk_per_group(orders):
+    return windows.top_per_group(orders.select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 3).drop("o_totalprice")
+
+
+# --- sets and subqueries
+
+
+@query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
+def set_union(customer, supplier):
+    return customer.select(F.col("c_nationkey").alias("k")).union(supplier.select("s_nationkey")).distinct()
+
+
+@query("SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
+def set_intersect_all(customer, supplier):
+    return customer.select(F.col("c_nationkey").alias("k")).intersectAll(supplier.select("s_nationkey"))
+
+
+@query("SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
+def set_except_all(customer, supplier):
+    return customer.select(F.col("c_nationkey").alias("k")).exceptAll(supplier.select("s_nationkey"))
+
+
+SCALAR = "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem l WHERE l_quantity > (SELECT 1.9 * avg(l_quantity) FROM lineitem m WHERE m.l_partkey = l.l_partkey)"
+EXISTS = "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)"
+RECURSIVE = "WITH RECURSIVE f(n, a, b) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT n + 1, b, a + b FROM f WHERE n < 40) SELECT n, a FROM f"
+
+
+def sql(spark: SparkSession, text: str, **tables: DataFrame) -> DataFrame:
+    """SQL text over tables given by name."""
+    for name in tables:
+        text = text.replace(f"FROM {name}", f"FROM {{{name}}}")
+    return spark.sql(text, **tables)
+
+
+@query(SCALAR)
+def subquery_scalar(spark, lineitem):
+    return sql(spark, SCALAR, lineitem=lineitem)
+
+
+@query(EXISTS)
+def subquery_exists(spark, orders, lineitem):
+    return sql(spark, EXISTS, orders=orders, lineitem=lineitem)
+
+
+@query(RECURSIVE)
+def subquery_recursive(spark):
+    return spark.sql(RECURSIVE)
+
+
+# --- scalars and nested values
+
+
+@query("SELECT c_custkey, substr(c_name, 1, 4) AS s, upper(c_mktsegment) AS u, CAST(length(c_name) AS BIGINT) AS n, lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS padded, reverse(c_name) AS r FROM customer")
+def scalar_strings(customer):
+    return customer.select("c_custkey", F.substr("c_name", F.lit(1), F.lit(4)).alias("s"), F.upper("c_mktsegment").alias("u"), big(F.length("c_name")).alias("n"), F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("padded"), F.reverse("c_name").alias("r"))
+
+
+@query("SELECT doc_id, md5(lower(text)) AS h, CAST(len(string_split(text, ' ')) AS BIGINT) AS parts, CAST(len(string_split_regex(text, '[aeiou]')) AS BIGINT) AS pieces FROM documents")
+def scalar_hash_split(documents):
+    return documents.select("doc_id", F.md5(F.lower("text")).alias("h"), big(F.size(F.split("text", " "))).alias("parts"), big(F.size(F.split("text", "[aeiou]"))).alias("pieces"))
+
+
+@query("SELECT page_id, regexp_extract(url, '://([^/]+)', 1) AS host, regexp_replace(url, '[0-9]+', '#', 'g') AS masked, regexp_matches(url, '/en/') AS english FROM pages")
+def scalar_regex(pages):
+    return pages.select("page_id", F.regexp_extract("url", "://([^/]+)", 1).alias("host"), F.regexp_replace("url", "[0-9]+", "#").alias("masked"), F.col("url").rlike("/en/").alias("english"))
+
+
+@query("SELECT p_partkey, CAST(levenshtein(p_name, p_brand) AS BIGINT) AS d FROM part")
+def scalar_levenshtein(part):
+    return part.select("p_partkey", big(F.levenshtein("p_name", "p_brand")).alias("d"))
+
+
+@query("SELECT o_orderkey, date_trunc('month', o_orderdate) AS month, CAST(year(o_orderdate) AS BIGINT) AS y, CAST(dayofweek(o_orderdate) AS BIGINT) AS dow, CAST(date_diff('day', TIMESTAMP '1995-01-01', o_orderdate) AS BIGINT) AS days FROM orders")
+def scalar_dates(orders):
+    return orders.select("o_orderkey", ntz(F.date_trunc("month", "o_orderdate")).alias("month"), big(F.year("o_orderdate")).alias("y"), big(F.dayofweek("o_orderdate") - 1).alias("dow"), big(F.datediff("o_orderdate", F.lit("1995-01-01"))).alias("days"))
+
+
+@query("SELECT o_orderkey, round(o_totalprice, 1) AS r, CAST(o_orderkey // 7 AS BIGINT) AS d, CAST((o_orderkey - 5000) % 7 AS BIGINT) AS m, round(sqrt(o_totalprice), 6) AS s, o_totalprice / nullif(o_orderkey % 3, 0) AS q FROM orders")
+def scalar_math(orders):
+    return orders.select("o_orderkey", F.round("o_totalprice", 1).alias("r"), big(F.expr("o_orderkey div 7")).alias("d"), big((F.col("o_orderkey") - 5000) % 7).alias("m"), F.round(F.sqrt("o_totalprice"), 6).alias("s"), F.try_divide(F.col("o_totalprice"), F.col("o_orderkey") % 3).alias("q"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CAST(CAST(l_extendedprice AS DECIMAL(14,2)) * CAST(l_tax AS DECIMAL(4,2)) AS DOUBLE) AS tax FROM lineitem")
+def scalar_decimal(lineitem):
+    return lineitem.select("l_orderkey", "l_linenumber", "l_partkey", dbl(money("l_extendedprice") * F.col("l_tax").cast("decimal(4,2)")).alias("tax"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def scalar_json(events):
+    return events.select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("SELECT vec_id, round(list_sum([x * x FOR x IN CAST(embedding AS DOUBLE[])]), 6) AS norm2, CAST(len([x FOR x IN embedding IF x > 0]) AS BIGINT) AS positive FROM embeddings")
+def nested_array_fold(embeddings):
+    squared = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return embeddings.select("vec_id", F.round(squared, 6).alias("norm2"), big(F.size(F.filter("embedding", lambda x: x > 0))).alias("positive"))
+
+
+@query("SELECT word, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) GROUP BY word")
+def nested_explode(documents):
+    return documents.select(F.explode(F.split("text", " ")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT r_regionkey, r_name AS from_map, r_name || '/' || r_regionkey AS from_struct, CAST(1 AS BIGINT) AS keys FROM region")
+def nested_map_struct(region):
+    built = region.select("r_regionkey", F.create_map(F.lit("name"), "r_name").alias("m"), F.struct("r_name", "r_regionkey").alias("s"))
+    return built.select("r_regionkey", F.col("m")["name"].alias("from_map"), F.concat_ws("/", "s.r_name", F.col("s.r_regionkey").cast("string")).alias("from_struct"), big(F.size(F.map_keys("m"))).alias("keys"))
+
+
+# --- event time
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
+def time_tumbling(events):
+    return events.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(ntz("w.start").alias("start"), "n")
+
+
+SESSIONS = """SELECT user_id, min(ts) AS session_start, {end}CAST(count(*) AS BIGINT) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
+SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s"""
+
+
+@query(SESSIONS.format(end="max(ts) AS session_end, "))
+def time_sessions(events):
+    out = windows.sessions(events, "user_id", "ts", "6 hours", [F.count(F.lit(1)).alias("n")])
+    return out.select("user_id", ntz("session_start").alias("session_start"), ntz("session_end").alias("session_end"), "n")
+
+
+# --- streams
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
+def stream_tumbling(spark, sf_dir):
+    return streams.to_end(streams.tumbling(streams.stream(spark, sf_dir)), "complete").select(ntz("start").alias("start"), "n")
+
+
+@query("SELECT start, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start FROM events) GROUP BY start")
+def stream_sliding(spark, sf_dir):
+    return streams.to_end(streams.sliding(streams.stream(spark, sf_dir)), "complete").select(ntz("start").alias("start"), "n")
+
+
+@query(SESSIONS.format(end="").replace("session_start", "start"))
+def stream_sessions(spark, sf_dir):
+    return streams.to_end(streams.sessions(streams.stream(spark, sf_dir)), "complete").select("user_id", ntz("start").alias("start"), "n")
+
+
+@query("SELECT event_id, event_type FROM events")
+def stream_dedup(spark, sf_dir):
+    return streams.to_end(streams.stream(spark, sf_dir).dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "event_type"), "append")
+
+
+@query("SELECT user_id, CAST(count(*) AS BIGINT) AS n, CAST(max(epoch_us(ts)) AS BIGINT) AS last_at FROM events GROUP BY user_id")
+def stream_custom_state(spark, sf_dir):
+    return streams.latest(streams.running_totals(streams.stream(spark, sf_dir)), lambda all_rows: all_rows.groupBy("user_id").agg(F.max("n").alias("n"), F.max("last_at").alias("last_at")))
+
+
+# --- functions in Python: Arrow batches, never single rows
+
+
+@query("SELECT p_partkey, round(p_retailprice * 1.19, 4) AS gross FROM part")
+def python_scalar(part):
+    @F.pandas_udf("double")
+    def gross(price: pd.Series) -> pd.Series:
+        return price * 1.19
+
+    return part.select("p_partkey", F.round(gross("p_retailprice"), 4).alias("gross"))
+
+
+@query("SELECT o_orderstatus, max(o_totalprice) - min(o_totalprice) AS span FROM orders GROUP BY o_orderstatus")
+def python_grouped(orders):
+    # partial results for each batch meet in a built-in aggregate, so no group has to fit a task
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.groupby("o_orderstatus", as_index=False)["o_totalprice"].agg(least="min", most="max")
+
+    parts = orders.select("o_orderstatus", "o_totalprice").mapInPandas(partial, "o_orderstatus string, least double, most double")
+    return parts.groupBy("o_orderstatus").agg((F.max("most") - F.min("least")).alias("span"))
+
+
+@query("SELECT n_nationkey, CAST(i AS BIGINT) AS i FROM nation, unnest(range(0, n_regionkey + 1)) AS t(i)")
+def python_table_function(spark, nation):
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="i: bigint")
+    class Upto:
+        def eval(self, n: int):
+            for i in range(n + 1):
+                yield (i,)
+
+    spark.udtf.register("upto", Upto)
+    return spark.sql("SELECT n_nationkey, i FROM {nation}, LATERAL upto(n_regionkey)", nation=nation)
+
+
+# --- sources and sinks: written in each format, read again
+
+
+def _round_trip(spark: SparkSession, df: DataFrame, fmt: str, *by: str) -> DataFrame:
+    path = scratch_path(spark, fmt)
+    formats.write(df, path, fmt, by)
+    return formats.read(spark, path, fmt, df.schema).select(*df.columns)
+
+
+CUSTOMERS = "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer"
+
+
+def _customers(customer: DataFrame) -> DataFrame:
+    return customer.select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
+
+
+@query(CUSTOMERS)
+def source_parquet_partitioned(spark, customer):
+    return _round_trip(spark, _customers(customer), "parquet", "c_nationkey")
+
+
+@query(CUSTOMERS)
+def source_orc(spark, customer):
+    return _round_trip(spark, _customers(customer), "orc")
+
+
+@query(CUSTOMERS)
+def source_json(spark, customer):
+    return _round_trip(spark, _customers(customer), "json")
+
+
+@query(CUSTOMERS)
+def source_csv(spark, customer):
+    return _round_trip(spark, _customers(customer), "csv")
+
+
+@query("SELECT n_name AS value FROM nation")
+def source_text(spark, nation):
+    return _round_trip(spark, nation.select(F.col("n_name").alias("value")), "text")
