@@ -6,34 +6,21 @@ driver see it, so a lost executor costs a re-read and no recomputation.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a narrow table (a few machine words each) up to which it is broadcast; counted before, never assumed.
-BROADCAST_ROWS = 200_000
+from tarnwright.sources.scratch import scratch_path, shared_dir, table
 
+__all__ = ["BROADCAST_ROWS", "cut", "hinted", "table", "written"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder.  Where none is set, a temporary one is made, and only if driver and executors share a machine."""
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="tarnwright-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(path)
-    return path
+#: Rows of a narrow table (a few machine words each) up to which it is broadcast; counted before, never assumed.
+BROADCAST_ROWS = 200_000
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder.  The table stays until the folder is cleaned, as streaming checkpoints do."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -44,10 +31,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def hinted(df: DataFrame, rows: int) -> DataFrame:
     """df to be broadcast if its counted rows allow it; else Spark joins by shuffle and splits skewed partitions."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
