@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ TREES = 8
 #: Vectors of a label that a leaf should hold, spill aside.
 LEAF = 256
 #: Vectors that the splits are fitted on, about; they bound the depth to a few vectors a leaf.
-SAMPLE = 20_000
+SAMPLE = 10_000
 #: Half width of the spill at a split, in standard deviations of the sample's projections.
 SPILL = 0.08
 #: Vectors in a block; larger leaves are compared as pairs of blocks.
@@ -148,11 +149,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, trees: int
     dims = [r.dims for r in classes.select("dims").distinct().limit(64).collect()]
     draw = F.pmod(F.xxhash64("cid", F.lit("forest")), F.lit(1_000_000)) / 1e6
     depth = max(0, min(math.ceil(math.log2(max(largest, 1) / LEAF)), int(math.log2(SAMPLE / 16)), 20))
-    sample = classes.filter(draw < F.lit(SAMPLE / max(total, 1))).select("dims", "embedding").collect() if depth else []
+    sample = classes.filter(draw < F.lit(SAMPLE / max(total, 1) if depth else 0.0)).select("dims", "embedding").toArrow()
     forests = {}
     for d in dims:
-        of = [r.embedding for r in sample if r.dims == d]
-        forests[d] = Forest(unit(np.array(of, np.float64)) if of else np.zeros((0, d)), depth if of else 0, trees)
+        of = sample.filter(pc.equal(sample["dims"], d))["embedding"].combine_chunks()
+        points = unit(of.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(of), d))
+        forests[d] = Forest(points, depth if len(of) else 0, trees)
     sent = vectors.sparkSession.sparkContext.broadcast(forests)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
