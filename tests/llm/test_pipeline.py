@@ -1,0 +1,91 @@
+"""The pipeline's stages against plain versions of them, on the smallest tables and on hard rows."""
+
+import zlib
+
+import corpus_pipeline
+import numpy as np
+import pytest
+from test_exact_dedup import norm
+from test_ngram_join import brute as near_brute
+from test_packing import library_ids
+
+from tarnwright.llm import language_id, quality
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def steps(spark, tmp_path_factory):
+    """The rows of documents and of each stage's result."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = [(10_001, None, "en", "s", 0), (10_002, "", None, "s", 0), (10_003, "12 345 !", "en", None, 8), (None, "the of and to in that", "en", "s", 21), (10_004, "of and  the\tto", "en", "s", 13), (10_005, "of and the to", "en", "s", 13)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema)).unionByName(docs.limit(2))
+    out = [("documents", docs.columns, docs.collect())]
+    for name, stage in corpus_pipeline.STAGES:
+        path = str(tmp_path_factory.mktemp(name) / "out")
+        stage(spark, docs, SF).write.parquet(path)
+        docs = spark.read.parquet(path)
+        out.append((name, docs.columns, docs.collect()))
+    return out
+
+
+def ids(rows):
+    return sorted(str(r.doc_id) for r in rows)
+
+
+def test_columns_and_names(steps):
+    assert [s[0] for s in steps[1:]] == ["quality", "language", "exact", "near", "packing"]
+    assert all(s[1] == steps[0][1] for s in steps[1:-1]) and 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_quality(spark, steps):
+    docs = spark.createDataFrame(steps[0][2])
+    kept = [r for r in quality.resample(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect() if r.selected]
+    assert ids(kept) == ids(steps[1][2]) and len(kept) < len(steps[0][2])
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    assert {d for d, q in labels.items() if q == 1} <= {r.doc_id for r in steps[1][2]}
+
+
+def test_language(steps):
+    texts: dict[str, list[str]] = {}
+    for r in steps[1][2]:
+        if r.text is not None and r.lang is not None and r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            texts.setdefault(r.lang, []).append(r.text)
+    ranks = language_id.Ranks({k: language_id.ranked(" ".join(v)).tolist() for k, v in texts.items()})
+    want = [r for r in steps[1][2] for lang, score in [ranks.predict(r.text)] if lang != "und" and score > corpus_pipeline.LEAST_SCORE]
+    assert ids(want) == ids(steps[2][2])
+
+
+def test_exact(steps):
+    by: dict[str, list] = {}
+    for r in steps[2][2]:
+        by.setdefault(norm(r.text), []).append(r)
+    assert ids(steps[3][2]) == ids([min(v, key=lambda r: (r.doc_id is None, r.doc_id)) for v in by.values()]) and len(by) < len(steps[2][2])
+
+
+def test_near(steps):
+    rows = [(r.doc_id, r.text) for r in steps[3][2]]
+    want = [d for d, _, c in near_brute(rows, 5, 80) if d == c]
+    assert ids(steps[4][2]) == sorted(want) and len(want) < len(rows)
+
+
+def test_packing(steps):
+    pieces: dict[int, list] = {}
+    for r in steps[5][2]:
+        pieces.setdefault(r.doc_id, []).append(r)
+    assert pieces.keys() == {r.doc_id for r in steps[4][2]}
+    for r in steps[4][2]:
+        tokens = np.array(library_ids(r.text), "<u4")
+        mine = sorted(pieces[r.doc_id], key=lambda p: p.start)
+        assert [p.start for p in mine] == [0, *np.cumsum([p.length for p in mine])[:-1]] and sum(p.length for p in mine) == len(tokens)
+        assert all(zlib.crc32(tokens[p.start : p.start + p.length].tobytes()) == p.ids_crc32 for p in mine)
+
+
+def test_run(spark):
+    assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_empty(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0
