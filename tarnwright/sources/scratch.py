@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``.  Where none is set, a temporary one, and only if all run on one machine."""
     sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    known = sc._jsc.sc().getCheckpointDir()
+    path = sc.getConf().get("spark.checkpoint.dir") or (known.get() if known.isDefined() else None)
     if not path:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="tarnwright-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
+    if not known.isDefined():
         sc.setCheckpointDir(path)
     return path
 
