@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -98,7 +99,7 @@ def _linked(vectors: np.ndarray, block: np.ndarray, threshold: float) -> np.ndar
 def compare(threshold: float):
     """Links within a leaf's block, or across two: each vector's number of first links, and an edge to its part's first vector."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         if len(rows) < 2:
             return pd.DataFrame({"cid": [], "links": [], "to": []}).astype("int64")
         code, one, two = key[1], key[2], key[3]
@@ -143,7 +144,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, trees: int
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     good = usable(own)
     classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("times"))
-    classes = written(classes.select(F.monotonically_increasing_id().alias("cid"), F.col("label").cast("string").alias("label"), F.size("embedding").alias("dims"), F.col("embedding").cast("array<float>").alias("embedding"), "least", "times") if dict(vectors.dtypes)["embedding"] == "array<float>" else classes.select(F.monotonically_increasing_id().alias("cid"), F.col("label").cast("string").alias("label"), F.size("embedding").alias("dims"), "embedding", "least", "times"), "classes")
+    # as wide as it came: floats travel as floats and are compared as doubles
+    vector = F.col("embedding").cast(vectors.schema["embedding"].dataType).alias("embedding")
+    classes = written(classes.select(F.monotonically_increasing_id().alias("cid"), F.col("label").cast("string").alias("label"), F.size("embedding").alias("dims"), vector, "least", "times"), "classes")
     total = classes.count()
     largest = classes.groupBy("label", "dims").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
     dims = [r.dims for r in classes.select("dims").distinct().limit(64).collect()]

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -92,7 +93,7 @@ def _messages(bits: int, owners: int):
     return send
 
 
-def _answer(key, messages: pd.DataFrame) -> pd.DataFrame:
+def _answer(key: tuple[Any, ...], messages: pd.DataFrame) -> pd.DataFrame:
     """An owner's bitmaps: for each value of a message, whether another message holds it too."""
     decoded = [rice_decode(x) for x in messages["body"]]
     values, counts = np.unique(np.concatenate(decoded), return_counts=True)
