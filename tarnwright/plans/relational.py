@@ -289,6 +289,11 @@ def scalar_regex(pages):
     return pages.select("page_id", F.regexp_extract("url", "://([^/]+)", 1).alias("host"), F.regexp_replace("url", "[0-9]+", "#").alias("masked"), F.col("url").rlike("/en/").alias("english"))
 
 
+@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[aeiou]{2}')) AS BIGINT) AS pairs FROM documents")
+def scalar_regexp_count(documents):
+    return documents.select("doc_id", big(F.regexp_count("text", F.lit("[aeiou]{2}"))).alias("pairs"))
+
+
 @query("SELECT p_partkey, CAST(levenshtein(p_name, p_brand) AS BIGINT) AS d FROM part")
 def scalar_levenshtein(part):
     return part.select("p_partkey", big(F.levenshtein("p_name", "p_brand")).alias("d"))
@@ -331,6 +336,15 @@ def nested_map_struct(region):
     return built.select("r_regionkey", F.col("m")["name"].alias("from_map"), F.concat_ws("/", "s.r_name", F.col("s.r_regionkey").cast("string")).alias("from_struct"), big(F.size(F.map_keys("m"))).alias("keys"))
 
 
+@query("""SELECT user_id, max(n) FILTER (WHERE event_type = 'click') AS clicks, CAST(count(*) FILTER (WHERE n > 1) AS BIGINT) AS repeated, CAST(sum(n) AS BIGINT) AS n
+FROM (SELECT user_id, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY user_id, event_type) GROUP BY user_id""")
+def nested_map_functions(events):
+    counts = events.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    maps = counts.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))  # one entry for each type
+    repeated = F.size(F.map_filter("m", lambda k, v: v > 1))
+    return maps.select("user_id", F.try_element_at("m", F.lit("click")).alias("clicks"), big(repeated).alias("repeated"), F.aggregate(F.map_values("m"), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n"))
+
+
 # --- event time
 
 
@@ -372,6 +386,15 @@ def stream_dedup(spark, sf_dir):
     return streams.to_end(streams.stream(spark, sf_dir).dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "event_type"), "append")
 
 
+@query("""SELECT p.event_id, v.event_id AS view_id FROM events p JOIN events v ON p.user_id = v.user_id AND v.ts BETWEEN p.ts - INTERVAL 1 DAY AND p.ts
+WHERE p.event_type = 'purchase' AND v.event_type = 'view'""")
+def stream_interval_join(spark, sf_dir):
+    bought = streams.stream(spark, sf_dir).filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    seen = streams.stream(spark, sf_dir).filter("event_type = 'view'").select(F.col("event_id").alias("view_id"), F.col("user_id").alias("viewer"), F.col("ts").alias("view_ts"))
+    near = (F.col("user_id") == F.col("viewer")) & F.col("view_ts").between(F.col("ts") - F.expr("INTERVAL 1 DAY"), F.col("ts"))
+    return streams.to_end(bought.join(seen, near).select("event_id", "view_id"), "append")
+
+
 @query("SELECT user_id, CAST(count(*) AS BIGINT) AS n, CAST(max(epoch_us(ts)) AS BIGINT) AS last_at FROM events GROUP BY user_id")
 def stream_custom_state(spark, sf_dir):
     return streams.latest(streams.running_totals(streams.stream(spark, sf_dir)), lambda all_rows: all_rows.groupBy("user_id").agg(F.max("n").alias("n"), F.max("last_at").alias("last_at")))
