@@ -27,6 +27,8 @@ LINEAR = 4096.0
 #: Sequence ids of a partition start at its number times this.
 STRIDE = 1 << 36
 CACHE = 1_000_000
+#: Distinct words that the library encodes at once.
+RUN = 1_000
 END = (1).to_bytes(4, "little")
 
 _PIECES: dict[str, dict[bytes, bytes]] = {}
@@ -82,17 +84,29 @@ def _tokens(texts: list[str], source: str) -> list[bytes]:
         t.no_truncation()
         _PIECES[source] = {}
     library, cache = _TOKENIZERS[source], _PIECES[source]
-    cut = [t.encode("utf-8", "surrogatepass").split() for t in texts]  # at ASCII white space; the library sees any other
+    # words part at ASCII white space, the library sees any other; it makes A-Z lower too, but after it looks for special tokens
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    cut = [(x if b"<|" in x else x.lower()).split() for x in raw]
     if len(cache) > CACHE:
         cache.clear()
-    new = list({w for words in cut for w in words}.difference(cache))
-    for a in range(0, len(new), 20_000):
-        part = new[a : a + 20_000]
-        encoded = library.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-        cache.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(part, encoded, strict=True))
+    new = list(set().union(*cut).difference(cache))
+    for a in range(0, len(new), RUN):
+        part = new[a : a + RUN]
+        _learn(library, part, cache)
     return [b"".join(map(cache.__getitem__, words)) + END for words in cut]
 
 
+def _learn(library, words: list[bytes], cache: dict[bytes, bytes]) -> None:
+    """The ids of some words, encoded as one text; each id belongs to the word in which it starts."""
+    plain = [w.decode("utf-8", "replace") for w in words]
+    encoded = library.encode(" ".join(plain), add_special_tokens=False)
+    ids = np.array(encoded.ids, "<u4").tobytes()
+    starts = np.fromiter((x[0] for x in encoded.offsets), np.int64, len(ids) // 4)
+    ends = np.cumsum([len(w) + 1 for w in plain])
+    cuts = (4 * np.searchsorted(starts, ends)).tolist()
+    cache.update(zip(words, [ids[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
+
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
