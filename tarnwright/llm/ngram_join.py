@@ -4,16 +4,18 @@ With slack(n) = n - ceil(t * n), two sets of similarity t or more share at least
 L(n) = 2 * slack + 1 of each, under any order of all tokens.  So:
 
 1. One scan makes each document's set of hashed n-grams.  The first L of them, in the order of the hashes, go to the
-   owners of slices of the hash range, packed in binary messages.  Equal sets are one class from here on.
-2. An owner drops tokens that only one class has and counts the classes of the others.  A class with fewer than `need`
-   tokens left can't be similar to any other and is dropped: that takes nearly all of a corpus, and documents that only
-   share a passage with others.
-3. The tokens left are put in order anew, several times: rarest first, and by two more hashes.  Under each of these
-   orders similar classes share one of the first (tokens left - need + 1).  Candidates share one under the first order,
-   found by an equi-join on the token; the others are held against them before the sets are compared.
-4. Only components are wanted, so candidates within one component are skipped.  Two rounds compare each class with one
-   drawn member of each token's list, so a large group of near copies becomes a component in a number of comparisons
-   that is linear in its size; a last round takes all candidates that still lie in different components.
+   owners of slices of the hash range, packed in binary messages.  Equal sets are one class from here on.  An owner counts
+   for each class the tokens that another class has too; a class with fewer than `need` of them can't be similar to any
+   other and is dropped.  That takes nearly all of a corpus, documents that only share a passage with others too.
+2. The classes left send their whole sets in the same way.  Now a similar class shares ceil(t * n) tokens, and owners
+   answer with the tokens that are shared and the number of classes that have each.  Those are put in several orders:
+   rarest first, and by two more hashes.  Under each order similar classes share one of the first (shared tokens -
+   ceil(t * n) + 1), so a class with many tokens of its own has few left to meet others at.
+3. Only components are wanted, so classes of one component need no comparison.  Two rounds compare each class with one
+   drawn member of each token's list, so near copies become a component in a number of comparisons linear in theirs.
+4. Where a token's list (first order) still has more than one component, all candidates are compared: in short lists by
+   a join, in long ones in blocks, as products of matrices, of which only a spanning forest of the links is passed on.
+   Candidates share a token under the other orders too; then their sets are compared.
 
 Hash collisions of whole n-grams (64 bits) aside the result is exact: shortened hashes serve in filters only.
 """
@@ -23,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -41,6 +44,10 @@ RUN = 8_000_000
 #: Distinct words whose hashes a Python worker keeps before it starts anew.
 WORDS_KEPT = 1_000_000
 STARS = 2
+#: Classes in a token's list up to which its pairs are made by a join.
+SMALL = 4
+#: Classes in a block; longer lists, together with those they share classes with, are compared as pairs of blocks.
+BLOCK = 1024
 
 
 class _Words(dict):
@@ -97,33 +104,40 @@ def key_of(tokens: np.ndarray) -> tuple[int, int]:
 
 
 ROWS = "doc_id long, n long, k1 long, k2 long, owner int, body binary"
+MESSAGE = pa.schema([("owner", pa.int32()), ("body", pa.binary())])
+
+
+def _messages(held: dict[int, np.ndarray], bits: int) -> tuple[np.ndarray, list[bytes]]:
+    """Owners and bodies: for each owner the classes and, for each token, 32 bits of its hash and its class's number."""
+    refs = np.array([*held], np.int64)
+    lengths = np.array([len(x) for x in held.values()], np.int64)
+    # the low end of the hash range is spread over all owners before its high bits name one
+    spread = np.concatenate([*held.values()]) * np.uint64(0x9E3779B97F4A7C15)
+    owner = (spread >> np.uint64(64 - bits)).astype(np.int32)
+    short = (spread >> np.uint64(32 - bits)).astype(np.uint32)
+    doc = np.repeat(np.arange(len(refs)), lengths)
+    order = np.argsort(owner, kind="stable")
+    owner, short, doc = owner[order], short[order], doc[order]
+    cuts = np.flatnonzero(np.diff(owner, prepend=-1))
+    bodies = []
+    for a, b in zip(cuts, [*cuts[1:], len(owner)], strict=True):
+        own, at = np.unique(doc[a:b], return_inverse=True)
+        bodies.append(struct.pack("<II", len(own), b - a) + refs[own].astype("<i8").tobytes() + short[a:b].astype("<u4").tobytes() + at.astype("<u4" if len(own) > 65_536 else "<u2").tobytes())
+    return owner[cuts], bodies
 
 
 def _scan(words: int, percent: int, bits: int):
-    """Rows of documents (owner null) and messages to owners (doc_id, n, k1 and k2 null)."""
+    """Rows of documents (owner null) and messages to owners (doc_id, n, k1 and k2 null) about their first tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("owner", pa.int32()), ("body", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), *MESSAGE])
         held: dict[int, np.ndarray] = {}
         size = 0
 
         def messages() -> pa.RecordBatch:
-            refs = np.array([*held], np.int64)
-            lengths = np.array([len(x) for x in held.values()], np.int64)
-            # the low end of the hash range is spread over all owners before its high bits name one
-            spread = np.concatenate([*held.values()]) * np.uint64(0x9E3779B97F4A7C15)
-            owner = (spread >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(spread), np.int32)
-            short = (spread >> np.uint64(32 - bits)).astype(np.uint32)
-            doc = np.repeat(np.arange(len(refs)), lengths)
-            order = np.argsort(owner, kind="stable")
-            owner, short, doc = owner[order], short[order], doc[order]
-            cuts = np.flatnonzero(np.diff(owner, prepend=-1))
-            bodies = []
-            for a, b in zip(cuts, [*cuts[1:], len(owner)], strict=True):
-                own, at = np.unique(doc[a:b], return_inverse=True)
-                bodies.append(struct.pack("<II", len(own), b - a) + refs[own].astype("<i8").tobytes() + short[a:b].astype("<u4").tobytes() + at.astype("<u4" if len(own) > 65_536 else "<u2").tobytes())
-            none = pa.nulls(len(cuts), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(owner[cuts], pa.int32()), pa.array(bodies, pa.binary())], schema=schema)
+            owners, bodies = _messages(held, bits)
+            none = pa.nulls(len(owners), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(owners, pa.int32()), pa.array(bodies, pa.binary())], schema=schema)
 
         for batch in batches:
             ids, out = batch.column("doc_id"), []
@@ -146,8 +160,25 @@ def _scan(words: int, percent: int, bits: int):
     return run
 
 
-def _owned(key, messages: pd.DataFrame) -> pd.DataFrame:
-    """For each class, its tokens that another class has too, and how many classes have each."""
+def _whole(bits: int):
+    """Messages about whole sets: columns cid, set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = {}, 0
+            for i, cid in enumerate(batch.column("cid").to_pylist()):
+                held[cid] = batch.column("set")[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                size += len(held[cid])
+                if size >= PER_OWNER or i + 1 == batch.num_rows:
+                    owners, bodies = _messages(held, bits)
+                    yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int32()), pa.array(bodies, pa.binary())], schema=MESSAGE)
+                    held, size = {}, 0
+
+    return run
+
+
+def _shared(messages: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of an owner's messages the tokens that more than one class has, by class: token, class, number of classes."""
     short, refs = [], []
     for body in messages["body"]:
         docs, n = struct.unpack_from("<II", body)
@@ -163,13 +194,23 @@ def _owned(key, messages: pd.DataFrame) -> pd.DataFrame:
     starts = np.flatnonzero(np.diff(token, prepend=-1))
     counts = np.diff(starts, append=len(token))
     classes = np.repeat(counts, counts)
-    shared = classes > 1
-    token, ref, classes = token[shared] + (int(key[0]) << 32), ref[shared], classes[shared]
+    keep = classes > 1
+    token, ref, classes = token[keep], ref[keep], classes[keep]
     order = np.argsort(ref, kind="stable")
-    token, ref, classes = token[order], ref[order], classes[order]
+    return token[order], ref[order], classes[order]
+
+
+def _count(key: tuple[Any, ...], messages: pd.DataFrame) -> pd.DataFrame:
+    refs, counts = np.unique(_shared(messages)[1], return_counts=True)
+    return pd.DataFrame({"k1": refs, "shared": counts})
+
+
+def _list(key: tuple[Any, ...], messages: pd.DataFrame) -> pd.DataFrame:
+    token, ref, classes = _shared(messages)
+    token = token + (int(key[0]) << 32)
     cuts = np.flatnonzero(np.diff(ref, prepend=ref[:1] - 1)) if len(ref) else np.zeros(0, np.int64)
     parts = {k: pd.Series(np.split(v, cuts[1:]) if len(cuts) else [], dtype=object) for k, v in (("tokens", token), ("classes", classes))}
-    return pd.DataFrame({"k1": ref[cuts], **parts})
+    return pd.DataFrame({"cid": ref[cuts], **parts})
 
 
 def _need(n: Column, percent: int) -> Column:
@@ -177,16 +218,9 @@ def _need(n: Column, percent: int) -> Column:
     return F.greatest(F.lit(1), F.least(F.floor(least * (100 - percent) / 100) + 1, F.ceil(least * percent / 100)))
 
 
-def scanned(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The documents' rows (doc_id, n, k1, k2) and the classes' tokens that others share (k1, tokens, classes)."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chars = narrow.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    tokens = chars / 6 * min(1, 2 * (100 - percent) / 100)
-    bits = min(20, max(4, int(tokens / PER_OWNER).bit_length()))
-    rows = written(narrow.mapInArrow(_scan(words, percent, bits), ROWS), "shingles")
-    shared = rows.filter("owner IS NOT NULL").select("owner", "body").groupBy("owner").applyInPandas(_owned, "k1 long, tokens array<long>, classes array<long>")
-    by_class = shared.groupBy("k1").agg(F.flatten(F.collect_list("tokens")).alias("tokens"), F.flatten(F.collect_list("classes")).alias("classes"))
-    return rows.filter("owner IS NULL").select("doc_id", "n", "k1", "k2"), by_class
+def _bits(tokens: float) -> int:
+    """Owners as a power of two, for so many tokens."""
+    return min(20, max(4, int(tokens / PER_OWNER).bit_length()))
 
 
 def _sets(words: int):
@@ -218,60 +252,136 @@ def _verified(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
     return both.filter(F.when(filtered, links).otherwise(F.lit(False))).select("a", "b")
 
 
-def classes_and_links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The documents' rows with their class (doc_id, n, cid; null without n-grams), and each linked class's component (cid, comp)."""
-    rows, shared = scanned(docs, words, percent)
+def _compare(percent: int):
+    """Links between components within a block of classes, or across two blocks, as a spanning forest."""
+
+    def incidence(lists: list[np.ndarray]) -> np.ndarray:
+        """Which row has which token, of those that more than one row has."""
+        flat = np.concatenate(lists)
+        values, at, counts = np.unique(flat, return_inverse=True, return_counts=True)
+        number = np.cumsum(counts > 1) - 1
+        out = np.zeros((len(lists), int(number[-1]) + 1 if len(number) else 0), np.float32)
+        keep = counts[at] > 1
+        out[np.repeat(np.arange(len(lists)), [len(x) for x in lists])[keep], number[at[keep]]] = 1
+        return out
+
+    def run(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        _, comp = np.unique(rows["comp"].to_numpy(np.int64), return_inverse=True)
+        n, cid = rows["n"].to_numpy(np.int64), rows["cid"].to_numpy(np.int64)
+        may = (comp[:, None] != comp[None, :]) & (100 * n[:, None] >= percent * n[None, :]) & (100 * n[None, :] >= percent * n[:, None])
+        if key[1] != key[2]:
+            two = rows["block"].to_numpy() == key[2]
+            may &= two[:, None] != two[None, :]
+        for order in ("first", "second", "third"):
+            if not may.any():
+                return none
+            x = incidence(rows[order].tolist())
+            may &= x @ x.T > 0
+        touched = np.flatnonzero(may.any(axis=1))
+        if not len(touched):
+            return none
+        may, n, cid = may[np.ix_(touched, touched)], n[touched], cid[touched]
+        x = incidence([rows["set"].iloc[i] for i in touched])
+        shared = np.rint(x @ x.T).astype(np.int64)
+        linked = may & (100 * shared >= percent * (n[:, None] + n[None, :] - shared))
+        label = np.arange(len(n))
+        while True:
+            least = np.minimum(label, np.where(linked, label[None, :], len(n)).min(axis=1))
+            least = least[least]
+            if (least == label).all():
+                break
+            label = least
+        moved = label != np.arange(len(n))
+        return pd.DataFrame({"a": cid[moved], "b": cid[label[moved]]})
+
+    return run
+
+
+def _merged(parts: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components (cid, comp) of classes after more links (a, b): those of the components that the links touch, united."""
+    if parts is None:
+        return written(components(links).select(F.col("node").alias("cid"), F.col("root").alias("comp")), "parts")
+    one, two = (parts.select(F.col("cid").alias(c), F.col("comp").alias(f"comp_{c}")) for c in "ab")
+    between = links.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))
+    united = components(between).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    known = parts.join(united, parts["comp"] == united["old"], "left").select("cid", F.coalesce("new", "comp").alias("comp"))
+    fresh = united.join(parts, united["old"] == parts["cid"], "left_anti").select(F.col("old").alias("cid"), F.col("new").alias("comp"))
+    return written(known.unionByName(fresh), "parts")
+
+
+def candidates(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents' rows with their class (doc_id, n, cid: null without n-grams); the classes that may link (cid, n, set and three orders); their first tokens (cid, n, token)."""
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    chars = narrow.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    bits = _bits(chars / 6 * min(1, 2 * (100 - percent) / 100))
+    scanned = written(narrow.mapInArrow(_scan(words, percent, bits), ROWS), "shingles")
+    rows = scanned.filter("owner IS NULL").select("doc_id", "n", "k1", "k2")
+    counts = scanned.filter("owner IS NOT NULL").select("owner", "body").groupBy("owner").applyInPandas(_count, "k1 long, shared long")
+    counts = counts.groupBy("k1").agg(F.sum("shared").alias("shared"))
     classes = rows.filter("n > 0").groupBy("k1", "k2").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"))
     classes = written(classes.select(F.monotonically_increasing_id().alias("cid"), "k1", "k2", "n", "doc_id"), "classes")
-    left = shared.join(classes, "k1").withColumn("first_of", F.size("tokens") - _need(F.col("n"), percent) + 1).filter("first_of > 0")
+    left = written(classes.join(counts, "k1").filter(F.col("shared") >= _need(F.col("n"), percent)).drop("shared"), "left")
+    n_left, tokens = left.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
 
-    def first(key) -> Column:
-        return F.transform(F.slice(F.array_sort(F.transform("zipped", key)), F.lit(1), F.col("first_of").cast("int")), lambda x: x["token"])
-
-    zipped = left.withColumn("zipped", F.arrays_zip("tokens", "classes"))
-    orders = {
-        "first": first(lambda x: F.struct(x["classes"].alias("o"), x["tokens"].alias("token"))),
-        "second": first(lambda x: F.struct(F.xxhash64(x["tokens"], F.lit(2)).alias("o"), x["tokens"].alias("token"))),
-        "third": first(lambda x: F.struct(F.xxhash64(x["tokens"], F.lit(3)).alias("o"), x["tokens"].alias("token"))),
-    }
-    kept = written(zipped.select("cid", "k1", "k2", "n", "doc_id", *[v.alias(k) for k, v in orders.items()]), "orders")
-    ids = kept.select("doc_id").distinct()
-    n_live = kept.count()
-    own = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    texts = own.join(hinted(ids, n_live), own["id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
+    ids = left.select(F.col("doc_id").alias("id")).distinct()
+    texts = narrow.join(hinted(ids, n_left), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
     sets = texts.mapInArrow(_sets(words), "k1 long, k2 long, tokens array<long>")
-    live = sets.join(hinted(kept.select("cid", "k1", "k2", "n"), n_live), ["k1", "k2"]).select("cid", "n", F.col("tokens").alias("set"))
-    live = written(live.join(kept.select("cid", "second", "third"), "cid"), "sets")
-    postings = kept.select("cid", "n", F.explode("first").alias("token"))
+    sets = written(sets.join(hinted(left.select("cid", "k1", "k2", "n"), n_left), ["k1", "k2"]).select("cid", "n", F.col("tokens").alias("set")), "sets")
+    messages = sets.select("cid", "set").mapInArrow(_whole(_bits(tokens)), "owner int, body binary")
+    shared = messages.groupBy("owner").applyInPandas(_list, "cid long, tokens array<long>, classes array<long>")
+    shared = shared.groupBy("cid").agg(F.flatten(F.collect_list("tokens")).alias("tokens"), F.flatten(F.collect_list("classes")).alias("classes"))
+    size = F.size("tokens") - F.ceil(F.col("n") * percent / 100) + 1
+    shared = shared.join(hinted(left.select("cid", "n"), n_left), "cid").withColumn("size", size.cast("int")).filter("size > 0")
+
+    def first(key) -> Column:
+        return F.transform(F.slice(F.array_sort(F.transform("zipped", key)), F.lit(1), F.col("size")), lambda x: x["token"])
+
+    shared = shared.withColumn("zipped", F.arrays_zip("tokens", "classes"))
+    orders = written(
+        shared.select(
+            "cid",
+            "n",
+            first(lambda x: F.struct(x["classes"].alias("o"), x["tokens"].alias("token"))).alias("first"),
+            first(lambda x: F.struct(F.xxhash64(x["tokens"], F.lit(2)).alias("o"), x["tokens"].alias("token"))).alias("second"),
+            first(lambda x: F.struct(F.xxhash64(x["tokens"], F.lit(3)).alias("o"), x["tokens"].alias("token"))).alias("third"),
+        ),
+        "orders",
+    )
+    live = sets.join(orders.select("cid", "first", "second", "third"), "cid")
+    postings = orders.select("cid", "n", F.explode("first").alias("token"))
     lists = postings.groupBy("token").count().filter("count > 1").select("token")
-    postings = written(postings.join(lists, "token"), "postings")
+    return rows.join(classes.select("k1", "k2", "cid"), ["k1", "k2"], "left").select("doc_id", "n", "cid"), written(live, "live"), written(postings.join(lists, "token"), "postings")
+
 
+def classes_and_links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The documents' rows with their class (doc_id, n, cid; null without n-grams), and each linked class's component (cid, comp)."""
+    rows, live, postings = candidates(docs, words, percent)
     parts = None
-    for star in range(STARS + 1):
-        now = postings.withColumn("comp", F.col("cid"))
-        if parts is not None:
-            now = postings.join(parts, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        two = now
-        if star < STARS:
-            drawn = F.min(F.struct(F.xxhash64("cid", F.lit(star)).alias("h"), "cid", "n", "comp")).alias("drawn")
-            two = now.groupBy("token").agg(drawn, F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token", "drawn.cid", "drawn.n", "drawn.comp")
-        else:  # only lists with more than one component left
-            open_lists = now.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token")
-            now = now.join(open_lists, "token")
-            two = now.filter("true")
-        pairs = _pairs(now, two, percent)
-        found = written(_verified(pairs, live, percent), "links")
-        if parts is not None:
-            at = lambda c, p=parts: (p.select(F.col("cid").alias(c), F.col("comp").alias(f"comp_{c}")), c, "left")
-            found = found.join(*at("a")).join(*at("b")).select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))
-        merged = components(found).select(F.col("node").alias("old"), F.col("root").alias("new"))
-        if parts is None:
-            parts = written(merged.select(F.col("old").alias("cid"), F.col("new").alias("comp")), "parts")
-        else:  # components of components, and classes that link for the first time
-            known = parts.join(merged, parts["comp"] == merged["old"], "left").select("cid", F.coalesce("new", "comp").alias("comp"))
-            fresh = merged.join(parts, merged["old"] == parts["cid"], "left_anti").select(F.col("old").alias("cid"), F.col("new").alias("comp"))
-            parts = written(known.unionByName(fresh), "parts")
-    return rows.join(classes.select("k1", "k2", "cid"), ["k1", "k2"], "left").select("doc_id", "n", "cid"), parts
+
+    def placed() -> DataFrame:
+        return postings.withColumn("comp", F.col("cid")) if parts is None else postings.join(parts, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+
+    for star in range(STARS):
+        now = placed()
+        drawn = F.min(F.struct(F.xxhash64("cid", F.lit(star)).alias("h"), "cid", "n", "comp")).alias("drawn")
+        drawn = now.groupBy("token").agg(drawn, F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token", "drawn.cid", "drawn.n", "drawn.comp")
+        parts = _merged(parts, written(_verified(_pairs(now, drawn, percent), live, percent), "links"))
+
+    now = placed()
+    sizes = now.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m"), F.min("cid").alias("least")).filter("low < high")
+    still = written(now.join(sizes.select("token", "m", "least"), "token"), "open")
+    few = still.filter(F.col("m") <= SMALL)
+    found = _verified(_pairs(few, few, percent), live, percent)
+    # a class stands in many long lists, so lists that share one are compared together, each class once a block
+    many = written(components(still.filter(F.col("m") > SMALL).select(F.col("cid").alias("a"), F.col("least").alias("b"))), "many")
+    blocks = many.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = many.join(blocks, "root").select("root", F.col("node").alias("cid"), "blocks", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int").alias("block"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("root", "cid", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    comps = live.select("cid").withColumn("comp", F.col("cid")) if parts is None else live.select("cid").join(parts, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    dealt = dealt.join(comps, "cid").join(live, "cid")
+    found = found.union(dealt.groupBy("root", "one", "two").applyInPandas(_compare(percent), "a long, b long"))
+    return rows, _merged(parts, written(found.distinct(), "links"))
 
 
 def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:

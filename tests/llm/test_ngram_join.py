@@ -52,8 +52,10 @@ def corpus(seed):
     return rows + [(1, None), (2, ""), (3, " \t"), (4, "Ab C"), (4, "ab c"), (None, "aB  c"), (None, "alone in here"), (2000, "ÄB c"), (2001, "äb c"), (2002, "a a a a a a a"), (2003, "a a a a a")]
 
 
-@pytest.mark.parametrize("words,percent", [(4, 85), (5, 80), (1, 50)])
-def test_matches_brute_force(spark, words, percent):
+@pytest.mark.parametrize("words,percent,block,small", [(4, 85, 1024, 32), (5, 80, 16, 4), (1, 50, 1024, 4)])
+def test_matches_brute_force(spark, monkeypatch, words, percent, block, small):
+    monkeypatch.setattr(op, "SMALL", small)
+    monkeypatch.setattr(op, "BLOCK", block)
     rows = corpus(words)
     docs = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id int, text string, n int").repartition(5)
     out = op.join(docs, words, percent).collect()
