@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from tarnwright.llm import components as united
 from tarnwright.llm import embedding_dedup as op
 from tarnwright.llm.components import components
 
@@ -47,10 +48,13 @@ def test_empty(spark):
     assert op.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [200_000, 7, 0])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(united, "LOCAL", local)
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (102, 101), (103, 103)] + [(200, i) for i in range(201, 220)]
     out = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     groups = {}
     for n, r in out.items():
         groups.setdefault(r, set()).add(n)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
     assert sorted(map(sorted, groups.values())) == [[*range(61)], [100, 101, 102], [*range(200, 220)]]
