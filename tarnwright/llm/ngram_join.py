@@ -42,7 +42,7 @@ PER_OWNER = 1_000_000
 #: Characters of text that a message covers, about.
 RUN = 8_000_000
 #: Distinct words whose hashes a Python worker keeps before it starts anew.
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 500_000
 STARS = 2
 #: Classes in a token's list up to which its pairs are made by a join.
 SMALL = 4
