@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwright.llm.shared import cut
+from tarnwright.llm.shared import cut, hinted
 
 #: (verdict, host, start of the path); a rule fits its host and all subdomains.
 Rule = tuple[str, str, str]
@@ -83,7 +83,7 @@ def judge(pages: DataFrame, rules: list[Rule], threshold: float = THRESHOLD, ite
     ruled = parsed.withColumn("found", rule_for(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.col("found.verdict").alias("ruled"))
     share = [F.avg((F.coalesce("ruled", F.lit("")) == v).cast("double")).alias(k) for v, k in (("allow", "trust"), ("block", "distrust"))]
     seeds = ruled.filter("host <> ''").groupBy("host").agg(*share)
-    hosts = propagated(seeds, host_links(parsed), iterations)
+    hosts = cut(propagated(seeds, host_links(parsed), iterations))
     by_host = F.when(F.col("distrust") - F.col("trust") >= threshold, "block").otherwise("allow")
-    # the ruled pages need no host's values; the others meet their host's row, which AQE broadcasts or splits by size
-    return ruled.join(hosts, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", by_host).alias("verdict"), "trust", "distrust")
+    # one row for each host: where hosts are too many to be sent to all, a large host's pages are split by AQE
+    return ruled.join(hinted(hosts, hosts.count()), "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", by_host).alias("verdict"), "trust", "distrust")
