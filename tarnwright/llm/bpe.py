@@ -20,10 +20,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnwright.llm.shared import use_cache, worker_cache
+
 #: Fixed value: the word pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that the cache of one Python worker holds before it starts anew; it outlives a task.
-CACHE = 1_000_000
+CACHE = 700_000
 #: Symbols of a word from which a heap replaces the rounds, which take time in proportion to its length each.
 LONG_WORD = 2_000
 #: Characters of a piece from which it isn't cached.
@@ -144,6 +146,7 @@ class Vocabulary:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+worker_cache("bpe", _ENCODERS.clear)
 
 
 def encoder_of(source: str) -> Encoder:
@@ -216,6 +219,7 @@ def encode(docs: DataFrame, tokenizer: str, *, decode: bool = False) -> DataFram
         source = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_cache("bpe")
         encoder = encoder_of(source.value)
         for batch in batches:
             for start, texts in batched(batch, "text"):

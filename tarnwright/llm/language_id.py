@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwright.llm.shared import hinted
+from tarnwright.llm.shared import hinted, use_cache
 
 #: n-grams in a profile.
 PROFILE = 400
@@ -113,6 +113,7 @@ def identify(docs: DataFrame, learnt: dict[str, list[int]] | None = None) -> Dat
     ranks = docs.sparkSession.sparkContext.broadcast(Ranks(learnt))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_cache("language")
         known = ranks.value
         for batch in batches:
             found = [known.predict(t.as_py()) for t in batch.column("text")]
@@ -130,6 +131,7 @@ def with_language(docs: DataFrame, learnt: dict[str, list[int]] | None = None, l
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_cache("language")
         known = ranks.value
         for batch in batches:
             found = [known.predict(t.as_py()) for t in batch.column(at)]

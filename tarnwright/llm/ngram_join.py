@@ -35,14 +35,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwright.llm.components import components
-from tarnwright.llm.shared import hinted, written
+from tarnwright.llm.shared import hinted, use_cache, worker_cache, written
 
 #: Tokens that an owner holds, about.
 PER_OWNER = 1_000_000
 #: Characters of text that a message covers, about.
 RUN = 8_000_000
 #: Distinct words whose hashes a Python worker keeps before it starts anew.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 400_000
 STARS = 2
 #: Classes in a token's list up to which its pairs are made by a join.
 SMALL = 4
@@ -57,6 +57,7 @@ class _Words(dict):
 
 
 _WORDS = _Words()
+worker_cache("ngram_join", _WORDS.clear)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -130,6 +131,7 @@ def _scan(words: int, percent: int, bits: int):
     """Rows of documents (owner null) and messages to owners (doc_id, n, k1 and k2 null) about their first tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_cache("ngram_join")
         schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), *MESSAGE])
         held: dict[int, np.ndarray] = {}
         size = 0
@@ -225,6 +227,7 @@ def _bits(tokens: float) -> int:
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_cache("ngram_join")
         for batch in batches:
             sets = [shingles(t.as_py(), words) for t in batch.column("text")]
             keys = [key_of(x) for x in sets]

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwright.llm.bpe import batched
+from tarnwright.llm.shared import use_cache, worker_cache
 
 LENGTH = 2048
 #: Tokens that are packed together; a task holds no more ids at a time, but for one document.
@@ -26,13 +27,14 @@ GROUP = 2_000_000
 LINEAR = 4096.0
 #: Sequence ids of a partition start at its number times this.
 STRIDE = 1 << 36
-CACHE = 1_000_000
+CACHE = 600_000
 #: Distinct words that the library encodes at once.
 RUN = 1_000
 END = (1).to_bytes(4, "little")
 
 _PIECES: dict[str, dict[bytes, bytes]] = {}
 _TOKENIZERS: dict[str, object] = {}
+worker_cache("packing", lambda: (_PIECES.clear(), _TOKENIZERS.clear()))
 
 
 def assign(lengths: list[int], capacity: int = LENGTH) -> list[tuple[int, int, int, int, int]]:
@@ -121,6 +123,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = LENGTH, *, with_ids: b
         source = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_cache("packing")
         text, sequence = source.value, TaskContext.get().partitionId() * STRIDE
         ids, held, size = [], [], 0
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwright.llm.shared import hinted, written
+from tarnwright.llm.shared import hinted, use_cache, worker_cache, written
 
 #: Buckets that words and word pairs are hashed to; the models' size, whatever the corpus.
 BUCKETS = 1 << 16
@@ -28,7 +28,8 @@ TEMPERATURE = 0.01
 SEED = 20
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _WORDS: dict[str, int] = {}
-_WORDS_MOST = 1_000_000
+_WORDS_MOST = 400_000
+worker_cache("quality", _WORDS.clear)
 
 
 def hashes(text: str | None) -> np.ndarray:
@@ -48,6 +49,7 @@ def hashes(text: str | None) -> np.ndarray:
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    use_cache("quality")
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for batch in batches:
         for text, good in zip(batch.column("text"), batch.column("good"), strict=True):
@@ -93,6 +95,7 @@ def weighed(docs: DataFrame, ratios: np.ndarray, seed: int = SEED) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_cache("quality")
         for batch in batches:
             found = [hashes(t.as_py()) for t in batch.column("text")]
             means = [float(sent.value[x].mean()) / TEMPERATURE if len(x) else -math.inf for x in found]
@@ -153,6 +156,7 @@ def selected(docs: DataFrame, labels: DataFrame, share: float | None = None, see
     at, sent = docs.columns.index("text"), docs.sparkSession.sparkContext.broadcast(ratios)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_cache("quality")
         for batch in batches:
             found = [hashes(t.as_py()) for t in batch.column(at)]
             weight = pa.array([float(sent.value[x].mean()) / TEMPERATURE if len(x) else -math.inf for x in found], pa.float64())

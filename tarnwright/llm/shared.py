@@ -6,12 +6,14 @@ driver see it, so a lost executor costs a re-read and no recomputation.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwright.sources.scratch import scratch_path, shared_dir, table
 
-__all__ = ["BROADCAST_ROWS", "cut", "hinted", "table", "written"]
+__all__ = ["BROADCAST_ROWS", "cut", "hinted", "table", "use_cache", "worker_cache", "written"]
 
 #: Rows of a narrow table (a few machine words each) up to which it is broadcast; counted before, never assumed.
 BROADCAST_ROWS = 200_000
@@ -34,3 +36,18 @@ def cut(df: DataFrame) -> DataFrame:
 def hinted(df: DataFrame, rows: int) -> DataFrame:
     """df to be broadcast if its counted rows allow it; else Spark joins by shuffle and splits skewed partitions."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def worker_cache(name: str, clear: Callable[[], None]) -> None:
+    """Registers a module's cache, which a Python worker keeps from task to task, by how to empty it."""
+    _CACHES[name] = clear
+
+
+def use_cache(name: str) -> None:
+    """Empties the caches of all other modules: a worker outlives an operator, and holds one cache at a time."""
+    for other, clear in _CACHES.items():
+        if other != name:
+            clear()
