@@ -47,6 +47,8 @@ MAIN_WORD = {"article", "articlebody", "content", "entry", "main", "post", "stor
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: A slash that belongs to an unquoted value, and closes nothing.
+_UNQUOTED_END = re.compile(r"=\s*[^\s\"'][^\s\"']*$")
 _DIGITS = re.compile(r"\d+")
 _WORD = re.compile(r"[a-z]+")
 _WITHOUT = re.compile(r"(?:no|has|with|without)[-_]")
@@ -104,6 +106,8 @@ def events(page: str) -> Iterator[tuple[str, Element | str]]:
         ended = CLOSES.get(name, set()) | ({"p"} if name in BLOCKS_END_P else set())
         if ended:
             yield from (("close", e) for e in close(ended, {"article", "aside", "body", "div", "dl", "main", "ol", "section", "table", "ul"} - ended))
+        if name in ("svg", "math") and m[3].endswith("/") and not _UNQUOTED_END.search(m[3]):
+            continue  # self-closed: nothing stands in it
         element = Element(name, m[3])
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
@@ -111,9 +115,6 @@ def events(page: str) -> Iterator[tuple[str, Element | str]]:
             continue
         stack.append(element)
         yield "open", element
-        if m[3].rstrip().endswith("/") and name in ("svg", "path", "g"):
-            stack.pop()
-            yield "close", element
     yield from (("close", e) for e in stack[::-1])
 
 

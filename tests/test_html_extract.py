@@ -1,0 +1,13 @@
+"""Main text of pages: whole pages, copies, parts and templates."""
+
+import pytest
+
+from tarnwright.llm import html_extract
+
+NONE = {"root": [], "nested": {}, "main": "", "rank": 0, "fixed": []}
+
+
+@pytest.mark.parametrize("empty", ["<svg/>", '<svg viewBox="0 0 1 1" />', "<math/>"])
+def test_self_closed_svg_cuts_nothing(empty):
+    assert html_extract.main_text(f"<article><p>one {empty} two</p><p>three</p></article>", NONE) == "one two three"
+    assert html_extract.main_text(f"<article><p>one {empty} two</p><svg><text>drawn</text></svg> three</article>", NONE) == "one two three"
