@@ -186,7 +186,22 @@ def _frame(sums: dict[tuple[str, str], list[int]]) -> pd.DataFrame:
     return pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=[x.split()[0] for x in TALLY.split(", ")])
 
 
-def deduce(table: pd.DataFrame, pages: int) -> dict:
+def _enclosed(names: list[str]) -> list[str]:
+    """The texts of a class, in page order, that stand between an opening tag and its closing tag of the class.
+
+    These come wherever their tags come, so no other text takes their slot; a text without tags of its own class may
+    be one of several that fill a slot.
+    """
+    out, last = [], -1
+    ends = {t[1:]: i for i, t in enumerate(names) if t.startswith("/<")}
+    for i, t in enumerate(names):
+        last = max(last, ends.get(t, -1))
+        if t[0] == "#" and i < last:
+            out.append(t)
+    return out
+
+
+def deduce(table: pd.DataFrame, pages: int, texts: bool = True) -> dict:
     """A host's template from its tokens' sums: root tokens in order, nested classes by gap, the main element's token and rank.
 
     Tokens of the main element are an opening tag and its closing tag of one valid class.  A higher rank (article; main
@@ -206,6 +221,7 @@ def deduce(table: pd.DataFrame, pages: int) -> dict:
             gaps = {sum(s <= r.first / r.pages for s in starts) for r in rs}
             if len(gaps) == 1:  # all of the class within one slot of the root
                 nested.setdefault(gaps.pop(), []).append([r.token for r in rs])
+    fixed = [t for rs in [root, *classes.values()] for t in _enclosed([r.token for r in rs])] if texts and pages >= MIN_PAGES else []  # one host's
     best: tuple = (0, 0, 0.0, "")
     most = 0.0
     candidates = []
@@ -222,7 +238,12 @@ def deduce(table: pd.DataFrame, pages: int) -> dict:
         most = max(c[1] for c in candidates if c[0] == rank)
         # closing tags come the earlier the deeper an element lies
         best = min((c for c in candidates if c[0] == rank and c[1] >= 0.9 * most), key=lambda c: (c[2], c[3]))
-    return {"root": [r.token for r in root], "nested": {str(k): v for k, v in sorted(nested.items())}, "main": best[3], "rank": best[0], "fixed": [r.token for r in rows if r.token[0] == "#"] if pages >= MIN_PAGES else []}
+    return {"root": [r.token for r in root], "nested": {str(k): v for k, v in sorted(nested.items())}, "main": best[3], "rank": best[0], "fixed": sorted(set(fixed))}
+
+
+def _joined(blocks: list[list[tuple[str, bool]]], fixed: bool) -> str:
+    """The text of blocks, with or without the fixed ones."""
+    return " ".join(t for b in blocks if (t := " ".join("".join(x for x, f in b if fixed or not f).split())))
 
 
 def main_text(page: str | None, template: dict) -> str:
@@ -272,12 +293,11 @@ def main_text(page: str | None, template: dict) -> str:
                     part(blocks)
         elif not apart_at:
             for _, e, blocks in running:
-                if e.rank >= 2 or _text_token(" ".join(x.split())) not in fixed:
-                    blocks[-1].append(x)
+                blocks[-1].append((x, e.rank < 2 and _text_token(" ".join(x.split())) in fixed))
     found[0] = [body, running[0][2]]
     best, text = (-1, -1), ""
     for e, blocks in found.values():
-        own = " ".join(t for b in blocks if (t := " ".join("".join(b).split())))
+        own = _joined(blocks, False) or _joined(blocks, True)  # fixed texts never leave the main slot empty
         rank = (4 if e.token == template["main"] and template["rank"] >= e.rank else e.rank if e.name != "body" else 0, len(own))
         if rank > best:
             best, text = rank, own
@@ -286,7 +306,9 @@ def main_text(page: str | None, template: dict) -> str:
 
 def templates(pages: DataFrame) -> DataFrame:
     """host, template (JSON) of each host with enough pages, and of all pages together as host ``*``."""
-    keyed = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("key"), F.coalesce("html", F.lit("")).alias("html"))
+    keyed = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    # copies of a page say nothing of its template: each content of a host counts once
+    keyed = keyed.withColumn("content", F.md5("html")).filter("html != ''").dropDuplicates(["host", "content"]).select("host", F.xxhash64("host", "content").alias("key"), "html")
     names = ("pages", "total", "first", "chars", "links", "v1", "v2")
     sums = written(keyed.mapInPandas(_tally, TALLY).groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in names]), "tokens")
     sizes = sums.filter("token = ''").select("host", F.col("pages").alias("size"))
@@ -298,7 +320,7 @@ def templates(pages: DataFrame) -> DataFrame:
 
     # a page's tokens bound how many can stand on most pages, so a host's frequent tokens are few however many its pages
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": rows["host"].iloc[:1], "template": [json.dumps(deduce(rows, int(rows["size"].iloc[0])))]})
+        return pd.DataFrame({"host": rows["host"].iloc[:1], "template": [json.dumps(deduce(rows, int(rows["size"].iloc[0]), rows["host"].iloc[0] != ALL))]})
 
     return frequent.groupBy("host").applyInPandas(fit, "host string, template string")
 
@@ -307,7 +329,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """One row for each row of pages: page_id, url, text, n_chars (code points).
 
     A null or empty html, and one with no text, gives the empty text; a null url has the empty host.  Repeated rows
-    repeat and count as pages each; other columns are ignored; an empty table gives an empty result.
+    repeat, and copies of a page on a host count once for its template; other columns are ignored; an empty table gives an empty result.
     """
     known = written(templates(pages), "templates")
     default = known.filter(F.col("host") == ALL).select("template").first()

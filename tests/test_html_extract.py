@@ -11,3 +11,20 @@ NONE = {"root": [], "nested": {}, "main": "", "rank": 0, "fixed": []}
 def test_self_closed_svg_cuts_nothing(empty):
     assert html_extract.main_text(f"<article><p>one {empty} two</p><p>three</p></article>", NONE) == "one two three"
     assert html_extract.main_text(f"<article><p>one {empty} two</p><svg><text>drawn</text></svg> three</article>", NONE) == "one two three"
+
+
+def texts(spark, rows):
+    out = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(out) == len(rows)
+    return {r.page_id: r.text for r in out}
+
+
+def test_copied_pages_keep_their_text(spark):
+    page = "<html><body><div><p>{} first part of it.</p><p>{} second part of it.</p></div></body></html>"
+    rows = [(i, f"http://same.org/{i}", page.format("Same", "Same")) for i in range(5)]
+    rows += [(10 + i, f"http://most.org/{i}", page.format(*(["Copied"] * 2 if i < 7 else [f"Own{i}"] * 2))) for i in range(10)]
+    rows += [(30 + i, f"http://near.org/{i}", page.format(*(["Near"] * 2 if i < 7 else [f"Other{i}"] * 2)).replace("<div>", f"<!--{i}--><div>")) for i in range(10)]
+    out = texts(spark, rows)
+    for i, _, html in rows:
+        a, b = html.split("<p>")[1:]
+        assert out[i] == f"{a.split('</p>')[0]} {b.split('</p>')[0]}"
