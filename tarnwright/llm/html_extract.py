@@ -204,7 +204,7 @@ def _enclosed(names: list[str]) -> list[str]:
 def deduce(table: pd.DataFrame, pages: int, texts: bool = True) -> dict:
     """A host's template from its tokens' sums: root tokens in order, nested classes by gap, the main element's token and rank.
 
-    Tokens of the main element are an opening tag and its closing tag of one valid class.  A higher rank (article; main
+    Tokens of the main element are an opening tag and its closing tag of one valid class; a named one may be repeated.  A higher rank (article; main
     or content; any block) goes before more text; of blocks the innermost with nine tenths of the most text is taken.
     """
     table = table[(table["pages"] >= SUPPORT * pages) & (table["token"] != "")]
@@ -223,15 +223,14 @@ def deduce(table: pd.DataFrame, pages: int, texts: bool = True) -> dict:
                 nested.setdefault(gaps.pop(), []).append([r.token for r in rs])
     fixed = [t for rs in [root, *classes.values()] for t in _enclosed([r.token for r in rs])] if texts and pages >= MIN_PAGES else []  # one host's
     best: tuple = (0, 0, 0.0, "")
-    most = 0.0
     candidates = []
-    for rs in once:
+    for rs in classes.values():
         names = {r.token for r in rs}
         for r in rs:
             if r.token.startswith("/<") and r.token[1:] in names:
                 name, _, attributes = r.token[2:-1].partition(" ")
                 e = Element(name, "".join(f' {k}="{v}"' for k, v in re.findall(r"(class|id|role|itemprop)=(.*?)(?= (?:class|id|role|itemprop)=|$)", attributes)))
-                if not e.apart and e.rank and r.chars:
+                if not e.apart and e.rank and r.chars and (e.rank > 1 or r.pages == r.total):
                     candidates.append((e.rank, r.chars - r.links, r.first / r.pages, r.token[1:]))
     if candidates:
         rank = max(c[0] for c in candidates)
@@ -241,67 +240,86 @@ def deduce(table: pd.DataFrame, pages: int, texts: bool = True) -> dict:
     return {"root": [r.token for r in root], "nested": {str(k): v for k, v in sorted(nested.items())}, "main": best[3], "rank": best[0], "fixed": sorted(set(fixed))}
 
 
-def _joined(blocks: list[list[tuple[str, bool]]], fixed: bool) -> str:
-    """The text of blocks, with or without the fixed ones."""
-    return " ".join(t for b in blocks if (t := " ".join("".join(x for x, f in b if fixed or not f).split())))
-
-
 def main_text(page: str | None, template: dict) -> str:
-    """The text in the slots of the template's main element; without it, of the best element by name, or of the body.
+    """The text in the slots of the template's main element; without it, of the best elements by name, or of the body.
 
-    Of several such elements the one with the most text counts.  Elements apart are left out, as are fixed texts where
-    the main element isn't an article or main part by name.
+    Parts that lie beside each other are joined in page order: all main elements, and others of their rank, but for those
+    that hold links only.  Elements apart are left out, as are fixed texts where the main element isn't an article or main
+    part by name.
     """
     if not page:
         return ""
-    found: dict[int, list] = {}
-    body = Element("body", "")  # a page or a piece of one need not name it
-    running: list[tuple[int, Element, list]] = [(0, body, [[]])]
+    pieces: list[tuple[str, bool, bool] | None] = []  # text, fixed, in a link; None ends a block
+    parts: list[list] = []  # element, first and last piece
+    running: list[list] = []
     apart_at: list[Element] = []
     fixed = set(template["fixed"])
-    n = 0
-
-    def part(blocks: list) -> None:
-        if blocks[-1]:
-            blocks.append([])
-
+    links = 0
     for kind, x in events(page):
         if kind == "open":
             if x.name not in INLINE:
-                for _, _, blocks in running:
-                    part(blocks)
-            own_title = x.name == "header" and any(e.rank >= 2 for _, e, _ in running)
+                pieces.append(None)
+            links += x.name == "a"
+            own_title = x.name == "header" and any(e.rank >= 2 for e, *_ in running)
             if x.apart and not own_title:
                 apart_at.append(x)
             if not apart_at and (x.token == template["main"] or x.rank >= 2):
-                n += 1
-                running.append((n, x, [[]]))
+                parts.append([x, len(pieces), 0])
+                running.append(parts[-1])
         elif kind == "close":
+            links -= x.name == "a"
             if x in apart_at:
                 apart_at.remove(x)
-            for i, (k, e, blocks) in enumerate(running):
-                if e is x:
-                    found[k] = [e, blocks]
-                    del running[i]
-                    break
+            if running and running[-1][0] is x:
+                running.pop()[2] = len(pieces)
             if x.name not in INLINE:
-                for _, _, blocks in running:
-                    part(blocks)
+                pieces.append(None)
         elif kind == "break":
             if x not in INLINE:
-                for _, _, blocks in running:
-                    part(blocks)
+                pieces.append(None)
         elif not apart_at:
-            for _, e, blocks in running:
-                blocks[-1].append((x, e.rank < 2 and _text_token(" ".join(x.split())) in fixed))
-    found[0] = [body, running[0][2]]
-    best, text = (-1, -1), ""
-    for e, blocks in found.values():
-        own = _joined(blocks, False) or _joined(blocks, True)  # fixed texts never leave the main slot empty
-        rank = (4 if e.token == template["main"] and template["rank"] >= e.rank else e.rank if e.name != "body" else 0, len(own))
-        if rank > best:
-            best, text = rank, own
-    return text
+            named = any(e.rank >= 2 for e, *_ in running)
+            pieces.append((x, bool(fixed) and not named and _text_token(" ".join(x.split())) in fixed, links > 0))
+    chosen = _side_by_side([x for x in parts if any(p and p[0].strip() for p in pieces[x[1] : x[2]])], pieces, template)
+    spans = [(first, last) for _, first, last in chosen] or [(0, len(pieces))]
+    # fixed texts never leave the main slot empty
+    return _joined(pieces, spans, False) or _joined(pieces, spans, True)
+
+
+def _side_by_side(parts: list[list], pieces: list, template: dict) -> list[list]:
+    """Of a page's parts those that make up its main text, none within another, in page order."""
+
+    def outer(some: list[list]) -> list[list]:
+        out: list[list] = []
+        for x in some:
+            if not out or x[1] >= out[-1][2]:
+                out.append(x)
+        return out
+
+    def links_only(x: list) -> bool:
+        return all(p[2] or not p[0].strip() for p in pieces[x[1] : x[2]] if p)
+
+    main = outer([x for x in parts if x[0].token == template["main"]])
+    main = [x for x in main if not links_only(x)] or main
+    rank = template["rank"] if main else max((x[0].rank for x in parts), default=0)
+    if rank < 2:
+        return main
+    beside = [x for x in parts if x[0].rank == rank and all(x[1] >= m[2] or x[2] <= m[1] for m in main)]
+    beside = [x for x in outer(beside) if not links_only(x)] or ([] if main else outer(beside))
+    return sorted(main + beside, key=lambda x: x[1])
+
+
+def _joined(pieces: list, spans: list[tuple[int, int]], fixed: bool) -> str:
+    """The text of some spans of pieces, with or without the fixed ones, block by block."""
+    blocks: list[list[str]] = []
+    for first, last in spans:
+        blocks.append([])
+        for p in pieces[first:last]:
+            if p is None:
+                blocks.append([])
+            elif fixed or not p[1]:
+                blocks[-1].append(p[0])
+    return " ".join(t for b in blocks if (t := " ".join("".join(b).split())))
 
 
 def templates(pages: DataFrame) -> DataFrame:

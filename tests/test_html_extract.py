@@ -28,3 +28,13 @@ def test_copied_pages_keep_their_text(spark):
     for i, _, html in rows:
         a, b = html.split("<p>")[1:]
         assert out[i] == f"{a.split('</p>')[0]} {b.split('</p>')[0]}"
+
+
+def test_parts_side_by_side_are_joined(spark):
+    two = '<body><div class="content"><p>one {0}</p></div><div class="ad">buy</div><div class="content"><p>two {0}</p></div></body>'
+    parts = "<body><main><article><p>one {0}</p></article><aside>buy</aside><article class=more><p>two {0}</p></article><article><a href=x>see also</a></article></main></body>"
+    assert html_extract.main_text(two.format(7), NONE) == "one 7 two 7"
+    assert html_extract.main_text(parts.format(7), NONE) == "one 7 two 7"
+    rows = [(10 * k + i, f"http://h{k}.org/{i}", page.format(f"w{i}")) for k, page in enumerate((two, parts)) for i in range(6)]
+    out = texts(spark, rows)
+    assert all(out[i] == f"one w{i % 10} two w{i % 10}" for i, *_ in rows)
