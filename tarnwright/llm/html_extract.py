@@ -18,6 +18,8 @@ import hashlib
 import html as entities
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -123,36 +125,59 @@ def _text_token(text: str) -> str:
 
 
 def tokens(page: str) -> dict[str, list[int]]:
-    """Each token's [occurrences, first position, characters of text in it, those of links]; elements apart count no text."""
-    out: dict[str, list[int]] = {}
+    """Each token's [occurrences, first position, characters of text in it, those of links, whether it encloses the page].
+
+    Elements apart count no text.  Where nine tenths of a page's text outside links lie in an element that would stand
+    apart by its name, as in a form round the whole page, that element encloses the page and counts.
+    """
+    found = [*events(page)]
+    whole: dict[int, int] = {}
     open_now: list[Element] = []
+    hidden = links = every = 0
+    for kind, x in found:
+        if kind in ("open", "close"):
+            step = 1 if kind == "open" else -1
+            hidden += step * (x.name in HIDDEN)
+            links += step * (x.name == "a")
+            if x.apart and x.name not in HIDDEN:
+                open_now.append(x) if kind == "open" else open_now.remove(x)
+        elif kind == "text" and not hidden and not links:
+            n = len(" ".join(x.split()))
+            every += n
+            for e in open_now:
+                whole[id(e)] = whole.get(id(e), 0) + n
+    enclosing = {k for k, n in whole.items() if n >= 0.9 * every > 0}
+
+    out: dict[str, list[int]] = {}
+    open_now = []
     apart = links = 0
 
-    def seen(token: str, chars: int = 0, linked: int = 0) -> None:
-        x = out.setdefault(token, [0, len(out), 0, 0])
+    def seen(token: str, chars: int = 0, linked: int = 0, encloses: bool = False) -> None:
+        x = out.setdefault(token, [0, len(out), 0, 0, 0])
         x[0] += 1
         x[2] += chars
         x[3] += linked
+        x[4] |= encloses
 
-    for kind, x in events(page):
+    for kind, x in found:
         if kind == "open":
             open_now.append(x)
-            apart += x.apart
+            apart += x.apart and id(x) not in enclosing
             links += x.name == "a"
-            seen(x.token)
+            seen(x.token, encloses=id(x) in enclosing)
         elif kind == "close":
             open_now.remove(x)
-            apart -= x.apart
+            apart -= x.apart and id(x) not in enclosing
             links -= x.name == "a"
             seen("/" + x.token, x.chars, x.links)
             if open_now:
                 open_now[-1].chars += x.chars
                 open_now[-1].links += x.links
         elif kind == "text" and open_now and (text := " ".join(x.split())):
-            if not apart:
-                open_now[-1].chars += len(text)
-                open_now[-1].links += len(text) * bool(links)
-            seen(_text_token(text))
+            n = 0 if apart else len(text)
+            open_now[-1].chars += n
+            open_now[-1].links += n * bool(links)
+            seen(_text_token(text), n, n * bool(links))
     return out
 
 
@@ -163,7 +188,7 @@ def _mix(x: int) -> int:
     return x ^ x >> 31
 
 
-TALLY = "host string, token string, pages long, total long, first long, chars long, links long, v1 long, v2 long"
+TALLY = "host string, token string, pages long, total long, first long, chars long, links long, encloses long, v1 long, v2 long"
 
 
 def _tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,9 +196,9 @@ def _tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         sums: dict[tuple[str, str], list[int]] = {}
         for host, key, page in zip(batch["host"], batch["key"], batch["html"], strict=True):
-            for token, (n, first, chars, links) in (tokens(page) | {"": [1, 0, 0, 0]}).items():
+            for token, (n, first, chars, links, encloses) in (tokens(page) | {"": [1, 0, 0, 0, 0]}).items():
                 h = _mix((int(key) & 0xFFFFFFFFFFFFFFFF) + n * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-                new = (1, n, first, chars, links, h >> 33, h & 0x7FFFFFFF)
+                new = (1, n, first, chars, links, encloses, h >> 33, h & 0x7FFFFFFF)
                 old = sums.get((host, token))
                 sums[host, token] = [*map(sum, zip(old, new, strict=True))] if old else list(new)
             if len(sums) > 200_000:
@@ -186,82 +211,133 @@ def _frame(sums: dict[tuple[str, str], list[int]]) -> pd.DataFrame:
     return pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=[x.split()[0] for x in TALLY.split(", ")])
 
 
-def _enclosed(names: list[str]) -> list[str]:
-    """The texts of a class, in page order, that stand between an opening tag and its closing tag of the class.
+def _enclosed(names: list[str]) -> dict[str, list[str]]:
+    """The texts of a class, in page order, that stand between an opening tag and its closing tag of the class: these tags.
 
     These come wherever their tags come, so no other text takes their slot; a text without tags of its own class may
     be one of several that fill a slot.
     """
-    out, last = [], -1
     ends = {t[1:]: i for i, t in enumerate(names) if t.startswith("/<")}
-    for i, t in enumerate(names):
-        last = max(last, ends.get(t, -1))
-        if t[0] == "#" and i < last:
-            out.append(t)
-    return out
+    pairs = [(i, ends[t], t) for i, t in enumerate(names) if t in ends]
+    return {t: [name for first, last, name in pairs if first < i < last] for i, t in enumerate(names) if t[0] == "#" and any(first < i < last for first, last, _ in pairs)}
 
 
 def deduce(table: pd.DataFrame, pages: int, texts: bool = True) -> dict:
-    """A host's template from its tokens' sums: root tokens in order, nested classes by gap, the main element's token and rank.
+    """A host's template from its tokens' sums: root tokens in order, nested classes by gap, main element and enclosing ones.
 
-    Tokens of the main element are an opening tag and its closing tag of one valid class; a named one may be repeated.  A higher rank (article; main
-    or content; any block) goes before more text; of blocks the innermost with nine tenths of the most text is taken.
+    Tokens of the main element are an opening tag and its closing tag of one valid class; a named one may be repeated.
+    It is chosen by the text of its slots: template texts don't count.  A higher rank (article; main or content; any
+    block) goes before more text if its slots hold a tenth of the most; of blocks the innermost with nine tenths of the
+    most text is taken.  Texts are template tokens only where tags of their class stand round them.
     """
     table = table[(table["pages"] >= SUPPORT * pages) & (table["token"] != "")]
     rows = [*table.sort_values(["first", "token"]).itertuples()]
+    texts = texts and pages >= MIN_PAGES
     classes: dict[tuple, list] = {}
     for r in rows:
         classes.setdefault((r.pages, r.total, r.v1, r.v2), []).append(r)
     once = [rs for k, rs in classes.items() if k[0] == k[1]]
     root = max(once, key=lambda rs: (rs[0].pages, len(rs)), default=[])
     starts = [r.first / r.pages for r in root]
-    nested: dict[int, list[list[str]]] = {}
+    nested: dict[int, list[dict]] = {}
+    fixed: list = []
+    own: list[str] = []
     for rs in classes.values():
-        if rs is not root and len(rs) > 1:
-            gaps = {sum(s <= r.first / r.pages for s in starts) for r in rs}
-            if len(gaps) == 1:  # all of the class within one slot of the root
-                nested.setdefault(gaps.pop(), []).append([r.token for r in rs])
-    fixed = [t for rs in [root, *classes.values()] for t in _enclosed([r.token for r in rs])] if texts and pages >= MIN_PAGES else []  # one host's
-    best: tuple = (0, 0, 0.0, "")
+        names = [r.token for r in rs]
+        within = _enclosed(names) if texts else {}
+        if rs is root:
+            own = [t for t in names if t[0] != "#" or t in within]
+        else:
+            gaps = [sum(s <= r.first / r.pages for s in starts) for r in rs]
+            # within one slot of the root: by its places, or as one element holds the class
+            if len(rs) < 2 or len({*gaps}) > 1 and names[-1] != "/" + names[0]:
+                continue
+            nested.setdefault(gaps[0], []).append({"tokens": [t for t in names if t[0] != "#"], "texts": within})
+        fixed += [r for r in rs if r.token in within]
+    encloses = [r.token for r in rows if r.encloses >= SUPPORT * pages]
     candidates = []
     for rs in classes.values():
-        names = {r.token for r in rs}
+        opened = {r.token: r for r in rs}
         for r in rs:
-            if r.token.startswith("/<") and r.token[1:] in names:
+            if r.token.startswith("/<") and r.token[1:] in opened:
                 name, _, attributes = r.token[2:-1].partition(" ")
                 e = Element(name, "".join(f' {k}="{v}"' for k, v in re.findall(r"(class|id|role|itemprop)=(.*?)(?= (?:class|id|role|itemprop)=|$)", attributes)))
                 if not e.apart and e.rank and r.chars and (e.rank > 1 or r.pages == r.total):
-                    candidates.append((e.rank, r.chars - r.links, r.first / r.pages, r.token[1:]))
+                    first, last = opened[r.token[1:]].first / r.pages, r.first / r.pages
+                    template = sum(f.chars - f.links for f in fixed if first < f.first / f.pages < last)
+                    candidates.append((e.rank, r.chars - r.links - template, last, r.token[1:]))
+    best: tuple = (0, 0, 0.0, "")
     if candidates:
-        rank = max(c[0] for c in candidates)
+        most = max(c[1] for c in candidates)
+        rank = max(c[0] for c in candidates if c[1] >= 0.1 * most)
         most = max(c[1] for c in candidates if c[0] == rank)
         # closing tags come the earlier the deeper an element lies
-        best = min((c for c in candidates if c[0] == rank and c[1] >= 0.9 * most), key=lambda c: (c[2], c[3]))
-    return {"root": [r.token for r in root], "nested": {str(k): v for k, v in sorted(nested.items())}, "main": best[3], "rank": best[0], "fixed": sorted(set(fixed))}
+        best = min((c for c in candidates if c[0] == rank and c[1] >= 0.9 * most), key=lambda c: (c[2], c[3]), default=best)
+    return {"root": own, "nested": {str(k): v for k, v in sorted(nested.items())}, "main": best[3], "rank": best[0], "encloses": encloses}
+
+
+def _aligned(found: list, template: dict) -> set[int]:
+    """The places among a page's events of template texts: of the longest run of root tokens in the root's order, and of
+    nested classes within their own tags."""
+    index = {t: i for i, t in enumerate(template["root"])}
+    nested = {t: tags for classes in template["nested"].values() for c in classes for t, tags in c["texts"].items()}
+    if not nested and not any(t[0] == "#" for t in index):
+        return set()
+    out: set[int] = set()
+    open_now: Counter[str] = Counter()
+    tails: list[tuple[int, int]] = []  # root index and place of the last token of the best run of each length
+    before: dict[int, int] = {}
+    texts: set[int] = set()
+    for place, (kind, x) in enumerate(found):
+        if kind == "text":
+            text = " ".join(x.split())
+            if not text:
+                continue
+            token = _text_token(text)
+            if any(open_now[t] for t in nested.get(token, ())):
+                out.add(place)
+        elif kind == "break":
+            continue
+        else:
+            token = x.token if kind == "open" else "/" + x.token
+            open_now[x.token] += 1 if kind == "open" else -1
+        i = index.get(token)
+        if i is not None:
+            if kind == "text":
+                texts.add(place)
+            at = bisect_left(tails, (i, -1))
+            before[place] = tails[at - 1][1] if at else -1
+            tails[at : at + 1] = [(i, place)]
+    place = tails[-1][1] if tails else -1
+    while place >= 0:
+        if place in texts:
+            out.add(place)
+        place = before[place]
+    return out
 
 
 def main_text(page: str | None, template: dict) -> str:
     """The text in the slots of the template's main element; without it, of the best elements by name, or of the body.
 
     Parts that lie beside each other are joined in page order: all main elements, and others of their rank, but for those
-    that hold links only.  Elements apart are left out, as are fixed texts where the main element isn't an article or main
-    part by name.
+    that hold links only.  Elements apart are left out unless they enclose the host's pages, as are the template's texts.
     """
     if not page:
         return ""
-    pieces: list[tuple[str, bool, bool] | None] = []  # text, fixed, in a link; None ends a block
+    pieces: list[tuple[str, bool, bool] | None] = []  # text, of the template, in a link; None ends a block
     parts: list[list] = []  # element, first and last piece
     running: list[list] = []
     apart_at: list[Element] = []
-    fixed = set(template["fixed"])
+    found = [*events(page)]
+    fixed = _aligned(found, template)
     links = 0
-    for kind, x in events(page):
+    for place, (kind, x) in enumerate(found):
         if kind == "open":
             if x.name not in INLINE:
                 pieces.append(None)
             links += x.name == "a"
             own_title = x.name == "header" and any(e.rank >= 2 for e, *_ in running)
-            if x.apart and not own_title:
+            if x.apart and not own_title and x.token not in template["encloses"]:
                 apart_at.append(x)
             if not apart_at and (x.token == template["main"] or x.rank >= 2):
                 parts.append([x, len(pieces), 0])
@@ -278,11 +354,10 @@ def main_text(page: str | None, template: dict) -> str:
             if x not in INLINE:
                 pieces.append(None)
         elif not apart_at:
-            named = any(e.rank >= 2 for e, *_ in running)
-            pieces.append((x, bool(fixed) and not named and _text_token(" ".join(x.split())) in fixed, links > 0))
+            pieces.append((x, place in fixed, links > 0))
     chosen = _side_by_side([x for x in parts if any(p and p[0].strip() for p in pieces[x[1] : x[2]])], pieces, template)
     spans = [(first, last) for _, first, last in chosen] or [(0, len(pieces))]
-    # fixed texts never leave the main slot empty
+    # template texts never leave the main slot empty
     return _joined(pieces, spans, False) or _joined(pieces, spans, True)
 
 
@@ -327,7 +402,7 @@ def templates(pages: DataFrame) -> DataFrame:
     keyed = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     # copies of a page say nothing of its template: each content of a host counts once
     keyed = keyed.withColumn("content", F.md5("html")).filter("html != ''").dropDuplicates(["host", "content"]).select("host", F.xxhash64("host", "content").alias("key"), "html")
-    names = ("pages", "total", "first", "chars", "links", "v1", "v2")
+    names = ("pages", "total", "first", "chars", "links", "encloses", "v1", "v2")
     sums = written(keyed.mapInPandas(_tally, TALLY).groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in names]), "tokens")
     sizes = sums.filter("token = ''").select("host", F.col("pages").alias("size"))
     n = sizes.count()
@@ -351,7 +426,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     known = written(templates(pages), "templates")
     default = known.filter(F.col("host") == ALL).select("template").first()
-    default = default[0] if default else json.dumps({"root": [], "nested": {}, "main": "", "rank": 0, "fixed": []})
+    default = default[0] if default else json.dumps({"root": [], "nested": {}, "main": "", "rank": 0, "encloses": []})
     own = known.filter(F.col("host") != ALL)
     keyed = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     size = own.agg(F.coalesce(F.sum(F.length("template") + F.length("host")), F.lit(0))).first()[0]

@@ -4,7 +4,7 @@ import pytest
 
 from tarnwright.llm import html_extract
 
-NONE = {"root": [], "nested": {}, "main": "", "rank": 0, "fixed": []}
+NONE = {"root": [], "nested": {}, "main": "", "rank": 0, "encloses": []}
 
 
 @pytest.mark.parametrize("empty", ["<svg/>", '<svg viewBox="0 0 1 1" />', "<math/>"])
@@ -38,3 +38,15 @@ def test_parts_side_by_side_are_joined(spark):
     rows = [(10 * k + i, f"http://h{k}.org/{i}", page.format(f"w{i}")) for k, page in enumerate((two, parts)) for i in range(6)]
     out = texts(spark, rows)
     assert all(out[i] == f"one w{i % 10} two w{i % 10}" for i, *_ in rows)
+
+
+def test_template_decides(spark):
+    inside = "<body><article><p>text {0}</p><p>Support our paper.</p><div class=box><b>Read more</b></div></article></body>"
+    form = '<body><form id=f><div class="nav"><a href=x>home</a></div><div><p>a whole text {0}</p></div></form></body>'
+    names = '<body><div class="content"><p>Welcome to the site of all sites.</p></div><div class="x"><p>text {0}</p></div></body>'
+    rows = [(10 * k + i, f"http://t{k}.org/{i}", page.format(f"w{i}")) for k, page in enumerate((inside, form, names)) for i in range(6)]
+    rows[5] = (5, "http://t0.org/5", "<body><article><p>text w5</p><p>Support our paper.</p></article></body>")
+    out = texts(spark, rows)
+    assert [out[i] for i in range(6)] == [f"text w{i}" for i in range(6)]
+    assert [out[10 + i] for i in range(6)] == [f"a whole text w{i}" for i in range(6)]
+    assert [out[20 + i] for i in range(6)] == [f"text w{i}" for i in range(6)]
