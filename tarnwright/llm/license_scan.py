@@ -14,6 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: The work that a notice of the GNU licences is about, and the parts of such notices.
+_WORK = r"(?:this )?\w+(?: \w+){0,4}?"
+_FREE = rf"{_WORK} is free software you can redistribute it and or modify it under the terms of the"
+_LATER = r"(?:of the license )?or at your option any later version"
+
 # Sentences of well-known licence texts, normalised (lower case, letters and digits only, one space), as
 # patterns that a whole sentence must match; the first that matches names it.
 SENTENCES: list[tuple[str, str]] = [
@@ -33,12 +38,11 @@ SENTENCES: list[tuple[str, str]] = [
     ("apache-copy", r"you may obtain a copy of the license at (?:https? )?www apache org licenses license 2 0"),
     ("apache-as-is", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
     ("apache-see", r"see the license for the specific language governing permissions and limitations under the license"),
-    ("gpl3-or-later", r"this (?:program|file|library|software) is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
-    ("gpl2-or-later", r"this (?:program|file|library|software) is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
-    ("gpl-hope", r"this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("gpl3-or-later", rf"{_FREE} gnu general public license as published by the free software foundation either version 3 {_LATER}"),
+    ("gpl2-or-later", rf"{_FREE} gnu general public license as published by the free software foundation either version 2 {_LATER}"),
+    ("gpl-hope", rf"{_WORK} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
     ("gpl-see", r"see the gnu (?:lesser |affero )?general public license for more details"),
-    ("gpl-copy", r"you should have received a copy of the gnu general public license along with this program.*"),
-    ("spdx", r"spdx license identifier (?:mit|apache 2 0|gpl [23] 0(?: only| or later)?|bsd [23] clause|mpl 2 0|cc0 1 0|isc)"),
+    ("gpl-copy", r"you should have received a copy of the gnu general public license along with .*"),
     ("under-mit", r"(?:this (?:work|software|project|code|file|document) is )?(?:licensed|released|distributed|available|provided) under (?:the terms of )?(?:the )?mit licen[cs]e"),
     ("under-apache", r"(?:this (?:work|software|project|code|file|document) is )?(?:licensed|released|distributed|available|provided) under (?:the terms of )?(?:the )?apache (?:licen[cs]e )?(?:version )?2(?: 0)?(?: licen[cs]e)?"),
     ("under-gpl3", r"(?:this (?:work|software|project|code|file|document) is )?(?:licensed|released|distributed|available|provided) under (?:the terms of )?(?:the )?(?:gnu general public licen[cs]e|gnu gpl|gpl) (?:version |v )?3(?: 0)?"),
@@ -75,7 +79,6 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("CC-BY-NC", ("under-cc-nc",)),
     ("CC-BY", ("under-cc",)),
     ("CC0-1.0", ("under-cc0",)),
-    ("SPDX", ("spdx",)),
 ]
 UNKNOWN = "unknown"
 #: Words of which every known sentence has some; texts without any are read no further.
@@ -84,8 +87,15 @@ HINT = r"(?i)licen[sc]e|permission|redistribut|warrant|liable|gnu general|(?:rel
 LINES = 30
 
 _COMPILED = [(i, re.compile(p)) for i, p in SENTENCES]
+#: An identifier, or an expression of some, in a line of its own or at the end of a sentence.
+_ID = r"\(*[A-Za-z0-9](?:[A-Za-z0-9.:-]*[A-Za-z0-9])?\+?\)*"
+_SPDX = re.compile(rf"[^0-9A-Za-z]*SPDX-License-Identifier:[ \t]*({_ID}(?:[ \t]+(?:AND|OR|WITH)[ \t]+{_ID})*)(?=[^0-9A-Za-z\n]*(?:\n|\Z)|[.,;][ \t])", re.I)
+#: Identifiers that are a word without a version or variant; others have a digit or a hyphen.
+_SPDX_WORDS = {x.lower(): x for x in ("MIT", "ISC", "Zlib", "Unlicense", "WTFPL", "NCSA", "PostgreSQL", "OpenSSL", "Ruby", "Vim", "curl", "NTP", "Beerware", "Info-ZIP", "libtiff", "Libpng", "TCL", "OLDAP", "NONE", "NOASSERTION")}
+#: Heads of sentences that run on over a colon, a semicolon or a blank line.
+_RUNS_ON = re.compile(rf"{_WORK} is (?:free software|distributed in the hope)\b|you may obtain a copy of the license at\b")
 #: First words of the known sentences.
-_HEADS = re.compile(r"(?:permission|the|in|redistributions?|neither|this|licensed|released|distributed|available|provided|you|unless|see|refer|spdx|\d+)\b")
+_HEADS = re.compile(r"(?:permission|the|in|redistributions?|neither|this|licensed|released|distributed|available|provided|you|unless|see|refer|\d+)\b")
 _ATOM = re.compile(r"[^.!?;:\n]*(?:[.:](?=[^\s.!?;:])[^.!?;:\n]*)*")
 _DROP = re.compile(r"[^0-9a-z]+")
 
@@ -102,19 +112,38 @@ def identify(sentence: str) -> str | None:
     return None
 
 
+def _identifier(text: str, at: int) -> tuple[str, int] | None:
+    """The SPDX identifier or expression that a tag at a place gives, and its end."""
+    m = _SPDX.match(text, at)
+    if not m:
+        return None
+    words = re.split(r"([ \t()+]+)", m[1])
+    if not all(re.search(r"[0-9-]", w) or w.lower() in _SPDX_WORDS or w.lower() in ("and", "or", "with") for w in words[::2] if w):
+        return None
+    return "".join(w.upper() if w.lower() in ("and", "or", "with") else _SPDX_WORDS.get(w.lower(), w) for w in words), m.end(1)
+
+
 def sentences(text: str) -> list[tuple[str, int, int]]:
     """(identifier, start, end) of the known sentences of a text, in order; a sentence ends at .!?;: or where a line does.
 
-    A sentence that is wrapped over lines is found too: lines are joined while no sentence ends between them.
+    A sentence that is wrapped over lines is found too: lines are joined while no sentence ends between them.  Known
+    sentences with : or ; or a blank line within are joined over these.  An SPDX tag is a sentence, "spdx" and the identifier.
     """
     atoms = [(m.start(), m.end()) for m in _ATOM.finditer(text) if m.end() > m.start()]
     out, i = [], 0
     while i < len(atoms):
         start = atoms[i][0]
         taken = None
-        if _HEADS.match(normalised(text[start : start + 200])):
+        head = normalised(text[start : start + 200])
+        if head.startswith("spdx license identifier") and (tag := _identifier(text, start)):
+            j = i
+            while j + 1 < len(atoms) and atoms[j + 1][0] < tag[1]:
+                j += 1
+            taken = (f"spdx {tag[0]}", start, tag[1], j)
+        elif (runs_on := bool(_RUNS_ON.match(head))) or _HEADS.match(head):
+            ends = re.compile(r"[.!?]" if runs_on else r"[.!?;:]|\n\n")
             last = i
-            while last + 1 < len(atoms) and last - i < LINES and not re.search(r"[.!?;:]", text[atoms[last][1] : atoms[last + 1][0]]) and "\n\n" not in text[atoms[last][1] : atoms[last + 1][0]]:
+            while last + 1 < len(atoms) and last - i < LINES and not ends.search(text, atoms[last][1], atoms[last + 1][0]):
                 last += 1
             for j in range(last, i - 1, -1):
                 name = identify(normalised(text[start : atoms[j][1]]))
@@ -133,6 +162,10 @@ def licenses(found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """(licence, start, end) by the ordered rules; a known sentence that no rule takes is an unknown licence."""
     names, out, i = [x[0] for x in found], [], 0
     while i < len(names):
+        if names[i].startswith("spdx "):
+            out.append((names[i][5:], *found[i][1:]))
+            i += 1
+            continue
         for name, sequence in RULES:
             if tuple(names[i : i + len(sequence)]) == sequence:
                 out.append((name, found[i][1], found[i + len(sequence) - 1][2]))
