@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 _WORK = r"(?:this )?\w+(?: \w+){0,4}?"
 _FREE = rf"{_WORK} is free software you can redistribute it and or modify it under the terms of the"
 _LATER = r"(?:of the license )?or at your option any later version"
+_LATER_OR_NOT = [("", "(?: only)?"), ("-or-later", rf" (?:{_LATER}|or (?:any )?later(?: version)?)")]
+_UNDER = r"(?:this (?:work|software|project|code|file|document|library|program) is )?(?:licensed|released|distributed|available|provided) under(?: the terms of)?"
 
 # Sentences of well-known licence texts, normalised (lower case, letters and digits only, one space), as
 # patterns that a whole sentence must match; the first that matches names it.
@@ -40,17 +42,22 @@ SENTENCES: list[tuple[str, str]] = [
     ("apache-see", r"see the license for the specific language governing permissions and limitations under the license"),
     ("gpl3-or-later", rf"{_FREE} gnu general public license as published by the free software foundation either version 3 {_LATER}"),
     ("gpl2-or-later", rf"{_FREE} gnu general public license as published by the free software foundation either version 2 {_LATER}"),
+    *[(f"lgpl{v}-or-later".replace(" ", ""), rf"{_FREE} gnu (?:lesser|library) general public license as published by the free software foundation either version {v} {_LATER}") for v in ("2", "2 1", "3")],
+    ("agpl3-or-later", rf"{_FREE} gnu affero general public license as published by the free software foundation either version 3 {_LATER}"),
     ("gpl-hope", rf"{_WORK} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
-    ("gpl-see", r"see the gnu (?:lesser |affero )?general public license for more details"),
-    ("gpl-copy", r"you should have received a copy of the gnu general public license along with .*"),
+    ("gpl-see", r"see the gnu (?:lesser |library |affero )?general public license for more details"),
+    ("gpl-copy", r"you should have received a copy of the gnu (?:lesser |library |affero )?general public license along with .*"),
     ("under-mit", r"(?:this (?:work|software|project|code|file|document) is )?(?:licensed|released|distributed|available|provided) under (?:the terms of )?(?:the )?mit licen[cs]e"),
     ("under-apache", r"(?:this (?:work|software|project|code|file|document) is )?(?:licensed|released|distributed|available|provided) under (?:the terms of )?(?:the )?apache (?:licen[cs]e )?(?:version )?2(?: 0)?(?: licen[cs]e)?"),
+    *[(f"under-lgpl{v}{n}".replace(" ", ""), rf"{_UNDER} (?:the )?(?:gnu (?:lesser|library) general public licen[cs]e|gnu lgpl|lgpl) (?:version |v ?)?{v}{'' if ' ' in v else '(?: 0)?'}{tail}") for v in ("2 1", "2", "3") for n, tail in _LATER_OR_NOT],
+    *[(f"under-agpl3{n}", rf"{_UNDER} (?:the )?(?:gnu affero general public licen[cs]e|gnu agpl|agpl) (?:version |v ?)?3(?: 0)?{tail}") for n, tail in _LATER_OR_NOT],
     ("under-gpl3", r"(?:this (?:work|software|project|code|file|document) is )?(?:licensed|released|distributed|available|provided) under (?:the terms of )?(?:the )?(?:gnu general public licen[cs]e|gnu gpl|gpl) (?:version |v )?3(?: 0)?"),
     ("under-gpl2", r"(?:this (?:work|software|project|code|file|document) is )?(?:licensed|released|distributed|available|provided) under (?:the terms of )?(?:the )?(?:gnu general public licen[cs]e|gnu gpl|gpl) (?:version |v )?2(?: 0)?"),
     ("under-bsd", r"(?:this (?:work|software|project|code|file|document) is )?(?:licensed|released|distributed|available|provided) under (?:the terms of )?(?:the |a )?(?:[23] clause )?bsd(?: [23] clause)? licen[cs]e"),
     ("under-mpl", r"(?:this (?:work|software|project|code|file|document) is )?(?:licensed|released|distributed|available|provided) under (?:the terms of )?(?:the )?mozilla public licen[cs]e (?:version |v )?2 0"),
     ("under-cc", r"(?:this (?:work|software|project|code|file|document) is )?(?:licensed|released|distributed|available|provided) under (?:the terms of )?(?:a |the )?(?:cc|creative commons) (?:by|attribution)(?: (?:nc|noncommercial))?(?: (?:sa|sharealike|nd|noderivatives))? (?:[1234] 0|international)(?: .*)?"),
     ("under-cc0", r"(?:this (?:work|software|project|code|file|document) is )?(?:licensed|released|distributed|available|provided) under (?:the terms of )?(?:the )?cc0(?: 1 0)?(?: .*)?"),
+    ("all-rights", r"(?:(?:copyright|c \d{4}|\d{4})(?: (?:(?!licen[cs]|permi[st]|redistrib|free software).){0,200})? )?all rights reserved"),
     ("terms-of-license", r"(?:see|refer to) the licen[cs]e file for (?:details|more information|terms)"),
 ]
 
@@ -70,19 +77,24 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("GPL-3.0-or-later", ("gpl3-or-later",)),
     ("GPL-2.0-or-later", ("gpl2-or-later", "gpl-hope", "gpl-see", "gpl-copy")),
     ("GPL-2.0-or-later", ("gpl2-or-later",)),
+    *[(f"LGPL-{v}-or-later", (f"lgpl{w}-or-later", *more)) for v, w in (("2.0", "2"), ("2.1", "21"), ("3.0", "3")) for more in (("gpl-hope", "gpl-see", "gpl-copy"), ())],
+    ("AGPL-3.0-or-later", ("agpl3-or-later", "gpl-hope", "gpl-see", "gpl-copy")),
+    ("AGPL-3.0-or-later", ("agpl3-or-later",)),
     ("MIT", ("under-mit",)),
     ("Apache-2.0", ("under-apache",)),
     ("GPL-3.0", ("under-gpl3",)),
     ("GPL-2.0", ("under-gpl2",)),
+    *[(f"{name}{n}", (f"under-{key}{n}",)) for name, key in (("LGPL-2.1", "lgpl21"), ("LGPL-2.0", "lgpl2"), ("LGPL-3.0", "lgpl3"), ("AGPL-3.0", "agpl3")) for n, _ in _LATER_OR_NOT],
     ("BSD", ("under-bsd",)),
     ("MPL-2.0", ("under-mpl",)),
     ("CC-BY-NC", ("under-cc-nc",)),
     ("CC-BY", ("under-cc",)),
     ("CC0-1.0", ("under-cc0",)),
+    ("All-Rights-Reserved", ("all-rights",)),
 ]
 UNKNOWN = "unknown"
 #: Words of which every known sentence has some; texts without any are read no further.
-HINT = r"(?i)licen[sc]e|permission|redistribut|warrant|liable|gnu general|(?:released|distributed|available|provided)[^0-9a-z]+under"
+HINT = r"(?i)licen[sc]e|permission|redistribut|warrant|liable|gnu general|rights[^0-9a-z]+reserved|(?:released|distributed|available|provided)[^0-9a-z]+under"
 #: Lines that a wrapped sentence may take.
 LINES = 30
 
@@ -95,7 +107,7 @@ _SPDX_WORDS = {x.lower(): x for x in ("MIT", "ISC", "Zlib", "Unlicense", "WTFPL"
 #: Heads of sentences that run on over a colon, a semicolon or a blank line.
 _RUNS_ON = re.compile(rf"{_WORK} is (?:free software|distributed in the hope)\b|you may obtain a copy of the license at\b")
 #: First words of the known sentences.
-_HEADS = re.compile(r"(?:permission|the|in|redistributions?|neither|this|licensed|released|distributed|available|provided|you|unless|see|refer|\d+)\b")
+_HEADS = re.compile(r"(?:permission|the|in|all|copyright|c|redistributions?|neither|this|licensed|released|distributed|available|provided|you|unless|see|refer|\d+)\b")
 _ATOM = re.compile(r"[^.!?;:\n]*(?:[.:](?=[^\s.!?;:])[^.!?;:\n]*)*")
 _DROP = re.compile(r"[^0-9a-z]+")
 

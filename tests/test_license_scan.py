@@ -60,3 +60,16 @@ def test_spdx_tags_give_the_identifier():
     assert found("/* SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 */") == ["GPL-2.0-or-later WITH Classpath-exception-2.0"]
     assert found("# SPDX-License-Identifier: (mit OR Apache-2.0). More.") == ["(MIT OR Apache-2.0)"]
     assert found("SPDX-License-Identifier: the tag that names a licence") == []
+
+
+@pytest.mark.parametrize("form", [str, commented])
+def test_all_rights_reserved_and_other_gnu_licences(spark, form):
+    assert found(form(gnu("Lesser ", "2.1", "This library"))) == ["LGPL-2.1-or-later"]
+    assert found(form(gnu("Lesser ", "3"))) == ["LGPL-3.0-or-later"]
+    assert found(form(gnu("Affero ", "3"))) == ["AGPL-3.0-or-later"]
+    assert found("Licensed under the GNU Affero General Public License v3.0.") == ["AGPL-3.0"]
+    assert found("Released under the LGPL v2.1 or later.") == ["LGPL-2.1-or-later"]
+    texts = ["Words.\nAll rights reserved.", "Copyright (c) 2020 Some Body\nAll rights reserved.", "(c) 2020-2024 A, all rights reserved", "All rights\nreserved", "No such line. Rights."]
+    docs = spark.createDataFrame([(i, form(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.licenses for r in license_scan.digest(docs).collect()} == {i: "All-Rights-Reserved" if i < 4 else "" for i in range(5)}
+    assert found("Copyright 2020 A\nLicensed under the MIT License.\nAll rights reserved.") == ["MIT", "All-Rights-Reserved"]
