@@ -7,9 +7,12 @@ are counted without a row for each pair; of its links a block passes on a spanni
 from these.
 
 Equal vectors of a label are compared once and counted as often as they stand.  A leaf too large for one block is dealt
-out as pairs of blocks.  A pair at the threshold stays together in a tree of depth d with a chance of about 0.93**d, so
-with 8 trees the share missed is under one in a thousand up to depth 7 and grows slowly from there; pairs closer than
-the threshold are missed much less.
+out as pairs of blocks.
+
+How often a pair stays together depends on how dense its label is, so it is measured: pairs at the threshold are made
+from the sample, of each large label and of all, and the number of trees and the depth are the cheapest at which a share
+of RECALL of each kind meets in some leaf.  Depth 0 compares all of a label, in one tree.  Pairs closer than the threshold
+are missed less.
 """
 
 from __future__ import annotations
@@ -28,7 +31,12 @@ from tarnwright.llm.components import components
 from tarnwright.llm.shared import hinted, written
 
 THRESHOLD = 0.93
-TREES = 8
+#: Trees at least, unless all of a label is compared, and at most.
+TREES, MOST_TREES = 8, 64
+#: Share of made pairs at the threshold that must meet, of every kind; a kind has so many.
+RECALL, PROBES = 0.999, 1000
+#: Cost of a row in a leaf, in comparisons of two vectors.
+ROW_COST = 2000
 #: Vectors of a label that a leaf should hold, spill aside.
 LEAF = 256
 #: Vectors that the splits are fitted on, about; they bound the depth to a few vectors a leaf.
@@ -78,6 +86,69 @@ class Forest:
         return np.concatenate(rows_out), np.concatenate(codes)
 
 
+    def together(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """(level, tree, pair): whether the vectors of a pair share a node of that level."""
+        out = np.ones((self.depth + 1, len(self.directions), len(a)), bool)
+        for t in range(len(self.directions)):
+            rows, node = np.arange(len(a)), np.ones(len(a), np.int64)
+            for level in range(self.depth):
+                p, q = a[rows] @ self.directions[t, level], b[rows] @ self.directions[t, level]
+                at, spill = self.at[t, node], self.spill[t, node]
+                left, right = np.maximum(p, q) <= at + spill, np.minimum(p, q) > at - spill
+                rows, node = np.concatenate([rows[left], rows[right]]), np.concatenate([2 * node[left], 2 * node[right] + 1])
+                out[level + 1, t] = False
+                out[level + 1, t, rows] = True
+        return out
+
+    def cut(self, depth: int, trees: int) -> Forest:
+        """The first trees down to a depth."""
+        self.depth = depth
+        self.directions = self.directions[:trees, : max(depth, 1)]
+        self.at, self.spill = self.at[:trees, : 1 << depth], self.spill[:trees, : 1 << depth]
+        return self
+
+
+def probes(sample: np.ndarray, labels: np.ndarray, threshold: float, seed: int = 23) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Kinds of pairs at the threshold: from all vectors apart in any direction, and for each large label of the sample
+    from its vectors, in any direction and in that of another of its vectors."""
+    rng = np.random.default_rng(seed)
+    out = []
+
+    def pairs(of: np.ndarray, toward: np.ndarray) -> None:
+        w = toward - (toward * of).sum(axis=1, keepdims=True) * of
+        size = np.linalg.norm(w, axis=1)
+        of, w, size = of[size > 1e-9], w[size > 1e-9], size[size > 1e-9]
+        if len(of):
+            out.append((of, threshold * of + math.sqrt(max(0.0, 1 - threshold**2)) * w / size[:, None]))
+
+    names, counts = np.unique(labels, return_counts=True)
+    large = [sample[labels == n] for n in names[np.argsort(-counts)][:16] if (labels == n).sum() >= 20]
+    for i, group in enumerate([sample, *large]):
+        of = group[rng.integers(0, len(group), PROBES)]
+        pairs(of, rng.standard_normal(of.shape))
+        if i:
+            pairs(of, group[rng.integers(0, len(group), PROBES)])
+    return out
+
+
+def forest(sample: np.ndarray, labels: np.ndarray, depth: int, largest: int, threshold: float, trees: int = TREES) -> Forest:
+    """The cheapest forest up to a depth in which made pairs at the threshold meet (see RECALL); `largest` is the largest label's size."""
+    if not depth or not len(sample):
+        return Forest(sample[:0], 0, 1)
+    out = Forest(sample, depth, max(trees, MOST_TREES))
+    kinds = [np.logical_or.accumulate(out.together(a, b), axis=1).mean(axis=2) for a, b in probes(sample, labels, threshold)]
+    met = np.min(kinds, axis=0)  # by level, and by number of trees
+    twice = 1 + 2 * SPILL / math.sqrt(2 * math.pi)  # nodes below a node that a vector goes to, about
+    best = (math.inf, 0, 1)
+    for level in range(depth + 1):
+        enough = np.flatnonzero(met[level] >= RECALL)
+        if len(enough):
+            n = max(trees, int(enough[0]) + 1) if level else 1
+            leaf = largest * (twice / 2) ** level
+            best = min(best, (n * twice**level * (ROW_COST * max(1.0, leaf / BLOCK) + leaf), level, n))
+    return out.cut(*best[1:])
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
@@ -152,20 +223,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, trees: int
     dims = [r.dims for r in classes.select("dims").distinct().limit(64).collect()]
     draw = F.pmod(F.xxhash64("cid", F.lit("forest")), F.lit(1_000_000)) / 1e6
     depth = max(0, min(math.ceil(math.log2(max(largest, 1) / LEAF)), int(math.log2(SAMPLE / 16)), 20))
-    sample = classes.filter(draw < F.lit(SAMPLE / max(total, 1) if depth else 0.0)).select("dims", "embedding").toArrow()
+    sample = classes.filter(draw < F.lit(SAMPLE / max(total, 1) if depth else 0.0)).select("dims", "label", "embedding").toArrow()
     forests = {}
     for d in dims:
-        of = sample.filter(pc.equal(sample["dims"], d))["embedding"].combine_chunks()
+        rows = sample.filter(pc.equal(sample["dims"], d))
+        of = rows["embedding"].combine_chunks()
         points = unit(of.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(of), d))
-        forests[d] = Forest(points, depth if len(of) else 0, trees)
+        forests[d] = forest(points, np.array(rows["label"].to_pylist(), object).astype(str), depth, largest, threshold, trees)
     sent = vectors.sparkSession.sparkContext.broadcast(forests)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             leaves: list = [None] * len(batch)
             for d, rows in batch.groupby("dims").indices.items():
-                forest = sent.value.get(d) or Forest(np.zeros((0, d)), 0, 1)
-                at, codes = forest.leaves(unit(_doubles(batch["embedding"].iloc[rows])))
+                trees_of = sent.value.get(d) or Forest(np.zeros((0, d)), 0, 1)
+                at, codes = trees_of.leaves(unit(_doubles(batch["embedding"].iloc[rows])))
                 order = np.argsort(at, kind="stable")
                 for i, x in zip(rows, np.split(codes[order], np.cumsum(np.bincount(at, minlength=len(rows)))[:-1]), strict=True):
                     leaves[i] = np.sort(x)

@@ -1,0 +1,39 @@
+"""Recall of near-duplicate vectors where a label is dense."""
+
+import numpy as np
+
+from tarnwright.llm import embedding_dedup
+
+
+def dense(n, pairs, seed=5, dims=64, cosine=0.8, at=0.931):
+    """Unit vectors, a third of them a hot label with cosines of about 0.8, and pairs of the hot label at a cosine."""
+    rng = np.random.default_rng(seed)
+    even = embedding_dedup.unit(rng.standard_normal((n - n // 3, dims)))
+    center = embedding_dedup.unit(rng.standard_normal((1, dims)))
+    hot = embedding_dedup.unit(cosine**0.5 * center + (1 - cosine) ** 0.5 * embedding_dedup.unit(rng.standard_normal((n // 3, dims))))
+    a = hot[:pairs]
+    w = rng.standard_normal(a.shape)
+    w = embedding_dedup.unit(w - (w * a).sum(axis=1, keepdims=True) * a)
+    return even, hot, at * a + (1 - at**2) ** 0.5 * w
+
+
+def test_forest_finds_pairs_of_a_dense_label_at_depth_9():
+    even, hot, partner = dense(10_000, 800)
+    labels = np.array(["even"] * len(even) + ["hot"] * len(hot))
+    sample = np.concatenate([even, hot])
+    found = embedding_dedup.forest(sample, labels, 9, 131_072, embedding_dedup.THRESHOLD)
+    met = found.together(hot[:800], partner)[-1].any(axis=0).mean()
+    before = embedding_dedup.Forest(sample, 9).together(hot[:800], partner)[-1].any(axis=0).mean()
+    print(f"depth {found.depth}, {len(found.directions)} trees: {met:.4f}; 8 trees of depth 9: {before:.4f}")
+    assert met >= 0.995 > before
+
+
+def test_pairs_of_a_dense_label_link(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "LEAF", 8)
+    even, hot, partner = dense(4_000, 300)
+    rows = [(i, "hot", x.tolist()) for i, x in enumerate(np.concatenate([hot, partner]))] + [(10_000 + i, "even", x.tolist()) for i, x in enumerate(even)]
+    every = embedding_dedup.unit(np.concatenate([hot, partner]))
+    links = (every @ every.T >= embedding_dedup.THRESHOLD).sum(axis=1) - 1
+    out = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).collect()}
+    assert len(out) == len(rows) and all(out[i] <= n for i, n in enumerate(links))
+    assert sum(out[i] for i in range(len(every))) >= 0.995 * links.sum() > 0
