@@ -1,0 +1,17 @@
+"""Very long words: the heap's ids are those of the merge rounds."""
+
+import random
+from pathlib import Path
+
+from tarnwright.llm import bpe
+from tarnwright.llm.queries import tokenizer
+
+
+def test_heap_gives_the_ids_of_the_rounds():
+    v = bpe.Vocabulary(Path(tokenizer("byte_bpe_50k.json")).read_text(encoding="utf-8"))
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdeinorst", k=n)).encode() for n in (1, 2, 50, 2500, 4000)] + [b"a" * 3001, b"ab" * 1501, "é".encode() * 1500]
+    out = [None] * len(words)
+    v._rounds(words, [*range(len(words))], out)
+    assert [x.tolist() for x in out] == [v._by_heap(w).tolist() for w in words]
+    assert [x.tolist() for x in v.encode_words(words)] == [x.tolist() for x in out]
