@@ -337,7 +337,7 @@ def main_text(page: str | None, template: dict) -> str:
                 pieces.append(None)
             links += x.name == "a"
             own_title = x.name == "header" and any(e.rank >= 2 for e, *_ in running)
-            if x.apart and not own_title and x.token not in template["encloses"]:
+            if x.apart and not own_title and x.token not in template.get("encloses", ()):
                 apart_at.append(x)
             if not apart_at and (x.token == template["main"] or x.rank >= 2):
                 parts.append([x, len(pieces), 0])
