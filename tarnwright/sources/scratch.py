@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCOPE: ContextVar[str | None] = ContextVar("scope", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``.  Where none is set, a temporary one, and only if all run on one machine."""
@@ -23,7 +28,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, within the present scope's own folder."""
+    return f"{_SCOPE.get() or shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a path of the shared folder, in whatever store that is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession, name: str) -> Iterator[None]:
+    """While it lasts, scratch tables go to a folder of their own; at its end this is deleted.  What is computed from them
+    must be written elsewhere before."""
+    path = scratch_path(spark, name)
+    token = _SCOPE.set(path)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        dropped(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
