@@ -2,14 +2,14 @@
 
 A text is cut at single spaces between visible characters, where every match of the word pattern begins anew; each
 piece is looked up in a bounded cache.  The words of all pieces not seen before are encoded at once: their symbols lie
-in one flat array, and each round finds the lowest-ranked pair of every word by binary search over the sorted pair
-keys and merges all its occurrences, from left to right.
+in one flat array, and each round finds the lowest-ranked pairs by binary search over the sorted pair keys and merges
+them, from left to right.  A pair is merged if none of a lower rank stands within as many symbols as the longest token
+has bytes: what could take a symbol from it is merged out of these alone.  So a word of any length takes few rounds.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -20,18 +20,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwright.llm.shared import use_cache, worker_cache
+from tarnwright.llm.shared import lean
 
 #: Fixed value: the word pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces that the cache of one Python worker holds before it starts anew; it outlives a task.
-CACHE = 700_000
-#: Symbols of a word from which a heap replaces the rounds, which take time in proportion to its length each.
-LONG_WORD = 2_000
+#: Pieces that the cache of one Python worker holds before it starts anew.
+CACHE = 200_000
 #: Characters of a piece from which it isn't cached.
 LONG_PIECE = 256
 #: Symbols that one call of the merge rounds takes, about.
-BATCH = 2_000_000
+BATCH = 200_000
+#: Characters of text that are encoded together, about.
+RUN = 2_000_000
 
 _LOOSE = re.compile(r" \s|\s ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -64,6 +64,13 @@ class Vocabulary:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        made, used = np.full(size, -1), np.full(size, len(pairs))
+        np.maximum.at(made, self.merged, np.arange(len(pairs)))
+        for side in (0, 1):
+            np.minimum.at(used, [vocab[x[side]] for x in pairs], np.arange(len(pairs)))
+        if (made >= used).any():
+            raise ValueError("a merge uses a token that a later one makes")
+        self.longest = max((len(self.bytes_of[i]) for i in self.merged), default=1)
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -79,9 +86,6 @@ class Vocabulary:
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
         batch, total = [], 0
         for i, w in enumerate(words):
-            if len(w) > LONG_WORD:
-                out[i] = self._by_heap(w)
-                continue
             batch.append(i)
             total += len(w)
             if total >= BATCH:
@@ -108,8 +112,15 @@ class Vocabulary:
             live = np.repeat(~done, sizes)
             if not live.any():
                 return
-            hit = (rank == np.repeat(least, sizes)) & live
-            # of overlapping hits (the same symbol repeated) every second one counts, from the left of each run
+            least = np.repeat(least, sizes)
+            wide = np.repeat(sizes > self.longest, sizes) & live
+            if wide.any():
+                least = np.where(wide, _least_near(np.where(wide, rank, last), self.longest), least)
+            hit = (rank == least) & (rank < last)
+            # pairs that overlap are of one symbol, repeated: such a run goes as a whole, or waits
+            new_run = np.flatnonzero(np.diff(rank, prepend=-1))
+            hit &= np.repeat(np.logical_and.reduceat(hit, new_run), np.diff(new_run, append=len(rank)))
+            # every second of them counts, from the left of each run
             at = np.flatnonzero(hit)
             new_run = np.diff(at, prepend=-2) != 1
             run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
@@ -120,39 +131,26 @@ class Vocabulary:
             keep[at + 1] = False
             symbols, owner = symbols[keep], owner[keep]
 
-    def _by_heap(self, word: bytes) -> np.ndarray:
-        """The same merges for one very long word, by a heap of pairs over a linked list."""
-        ids: list[int] = self.of_byte[np.frombuffer(word, np.uint8)].tolist()
-        after, before = [*range(1, len(ids)), -1], [-1, *range(len(ids) - 1)]
-        ranks = self.rank(np.array(ids[:-1]), np.array(ids[1:])).tolist()
-        last = len(self.ranks)
-        heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(ranks) if r < last]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j < 0 or ids[j] != b:
-                continue
-            ids[i], ids[j] = int(self.merged[r]), -1
-            after[i] = after[j]
-            if after[i] >= 0:
-                before[after[i]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y >= 0:
-                    rank = int(self.rank(np.array([ids[x]]), np.array([ids[y]]))[0])
-                    if rank < last:
-                        heapq.heappush(heap, (rank, x, ids[x], ids[y]))
-        return np.array([x for x in ids if x >= 0], np.int64)
+
+def _least_near(x: np.ndarray, width: int) -> np.ndarray:
+    """The least value within `width` places of each."""
+    fill = np.full(width, x.max(initial=0))
+    y, span, window = np.concatenate([fill, x, fill]), 1, 2 * width + 1
+    while 2 * span <= window:
+        y = np.minimum(y[:-span], y[span:])
+        span *= 2
+    rest = window - span
+    return np.minimum(y[: len(y) - rest], y[rest:]) if rest else y
 
 
 _ENCODERS: dict[str, Encoder] = {}
-worker_cache("bpe", _ENCODERS.clear)
 
 
 def encoder_of(source: str) -> Encoder:
-    """This Python worker's encoder for a tokenizer file's content."""
+    """This Python worker's encoder for a tokenizer file's content; it and its cache outlive a task."""
     key = hashlib.sha256(source.encode()).hexdigest()
     if key not in _ENCODERS:
+        _ENCODERS.clear()
         _ENCODERS[key] = Encoder(Vocabulary(source))
     return _ENCODERS[key]
 
@@ -196,7 +194,7 @@ class Encoder:
         return b"".join(map(self.v.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-def batched(batch: pa.RecordBatch, column: str, most: int = 8_000_000) -> Iterator[tuple[int, list[str]]]:
+def batched(batch: pa.RecordBatch, column: str, most: int = RUN) -> Iterator[tuple[int, list[str]]]:
     """The texts of a batch (null: empty) in runs of bounded length, each with its first row's number."""
     start, run, size = 0, [], 0
     for i, text in enumerate(batch.column(column)):
@@ -219,7 +217,6 @@ def encode(docs: DataFrame, tokenizer: str, *, decode: bool = False) -> DataFram
         source = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use_cache("bpe")
         encoder = encoder_of(source.value)
         for batch in batches:
             for start, texts in batched(batch, "text"):
@@ -232,7 +229,7 @@ def encode(docs: DataFrame, tokenizer: str, *, decode: bool = False) -> DataFram
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return narrow.mapInArrow(run, "doc_id long, ids binary, n_tokens long" + ", decoded string" * decode)
+    return narrow.mapInArrow(lean(run), "doc_id long, ids binary, n_tokens long" + ", decoded string" * decode)
 
 
 def digests(docs: DataFrame, tokenizer: str) -> DataFrame:

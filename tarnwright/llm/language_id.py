@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwright.llm.shared import hinted, use_cache
+from tarnwright.llm.shared import hinted, lean
 
 #: n-grams in a profile.
 PROFILE = 400
@@ -113,7 +113,6 @@ def identify(docs: DataFrame, learnt: dict[str, list[int]] | None = None) -> Dat
     ranks = docs.sparkSession.sparkContext.broadcast(Ranks(learnt))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use_cache("language")
         known = ranks.value
         for batch in batches:
             found = [known.predict(t.as_py()) for t in batch.column("text")]
@@ -121,7 +120,7 @@ def identify(docs: DataFrame, learnt: dict[str, list[int]] | None = None) -> Dat
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    return narrow.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return narrow.mapInArrow(lean(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def with_language(docs: DataFrame, learnt: dict[str, list[int]] | None = None, least: float = 0.0) -> DataFrame:
@@ -131,10 +130,9 @@ def with_language(docs: DataFrame, learnt: dict[str, list[int]] | None = None, l
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use_cache("language")
         known = ranks.value
         for batch in batches:
             found = [known.predict(t.as_py()) for t in batch.column(at)]
             yield batch.filter(pa.array([lang != UNKNOWN and score > least for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -4,12 +4,12 @@ With slack(n) = n - ceil(t * n), two sets of similarity t or more share at least
 L(n) = 2 * slack + 1 of each, under any order of all tokens.  So:
 
 1. One scan makes each document's set of hashed n-grams.  The first L of them, in the order of the hashes, go to the
-   owners of slices of the hash range, packed in binary messages.  Equal sets are one class from here on.  An owner counts
-   for each class the tokens that another class has too; a class with fewer than `need` of them can't be similar to any
-   other and is dropped.  That takes nearly all of a corpus, documents that only share a passage with others too.
-2. The classes left send their whole sets in the same way.  Now a similar class shares ceil(t * n) tokens, and owners
-   answer with the tokens that are shared and the number of classes that have each.  Those are put in several orders:
-   rarest first, and by two more hashes.  Under each order similar classes share one of the first (shared tokens -
+   owners of slices of the hash range, packed in one binary message a task and owner.  Equal sets are one class from here
+   on.  A token that several classes of a message have goes into it once; else an owner finds the tokens that another class has
+   too.  A class with fewer than `need` of either can't be similar to any other and is dropped.  That takes nearly all of a
+   corpus, documents that only share a passage with others too.
+2. For the classes left each token's number of classes is counted, over their whole sets.  Now a similar class shares
+   ceil(t * n) tokens.  A class's shared tokens are put in several orders: rarest first, and by two more hashes.  Under each order similar classes share one of the first (shared tokens -
    ceil(t * n) + 1), so a class with many tokens of its own has few left to meet others at.
 3. Only components are wanted, so classes of one component need no comparison.  Two rounds compare each class with one
    drawn member of each token's list, so near copies become a component in a number of comparisons linear in theirs.
@@ -30,58 +30,48 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwright.llm.components import components
-from tarnwright.llm.shared import hinted, use_cache, worker_cache, written
+from tarnwright.llm.shared import BROADCAST_ROWS, hinted, lean, whole, written
+from tarnwright.llm.words import SPACED, hashed, mixed
 
 #: Tokens that an owner holds, about.
-PER_OWNER = 1_000_000
-#: Characters of text that a message covers, about.
-RUN = 8_000_000
-#: Distinct words whose hashes a Python worker keeps before it starts anew.
-WORDS_KEPT = 400_000
+PER_OWNER = 250_000
+#: Tokens of first prefixes that a message covers, about; a task with fewer sends one.
+RUN = 1_000_000
 STARS = 2
+#: Pairs with one drawn class that are verified together.
+SALT = 4096
 #: Classes in a token's list up to which its pairs are made by a join.
 SMALL = 4
 #: Classes in a block; longer lists, together with those they share classes with, are compared as pairs of blocks.
 BLOCK = 1024
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_WORDS = _Words()
-worker_cache("ngram_join", _WORDS.clear)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ x >> np.uint64(33)) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ x >> np.uint64(33)
-
-
-def shingles(text: str | None, words: int) -> np.ndarray:
-    """The sorted distinct hashes of a text's word n-grams: A-Z in lower case, words parted by ASCII white space.
+def shingles(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """The sorted distinct hashes of each text's word n-grams: A-Z in lower case, words parted by ASCII white space.
 
     Fewer words than n make one n-gram of them all; no words, none.
     """
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    if len(_WORDS) > WORDS_KEPT:
-        _WORDS.clear()
-    h = np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
-    n = min(words, len(h))
-    out = np.full(len(h) - n + 1, n, np.uint64)
-    for i in range(n):
-        out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - n + 1 + i])
-    return np.unique(out)
+    for w in hashed(texts, SPACED):
+        count = len(w.hashes)
+        grams = np.full(max(0, count - words + 1), words, np.uint64)
+        for i in range(words):
+            grams = mixed(grams * np.uint64(0x9E3779B97F4A7C15) + w.hashes[i : count - words + 1 + i])
+        for a, b in zip(w.starts[:-1].tolist(), w.starts[1:].tolist(), strict=True):
+            if b - a >= words:
+                x = np.sort(grams[a : b - words + 1])
+                keep = np.ones(len(x), bool)
+                keep[1:] = x[1:] != x[:-1]
+                yield x[keep]
+            else:
+                x = np.full(min(1, b - a), b - a, np.uint64)
+                for h in w.hashes[a:b]:
+                    x = mixed(x * np.uint64(0x9E3779B97F4A7C15) + h)
+                yield x
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -104,115 +94,100 @@ def key_of(tokens: np.ndarray) -> tuple[int, int]:
     return struct.unpack("<qq", hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
 
 
-ROWS = "doc_id long, n long, k1 long, k2 long, owner int, body binary"
-MESSAGE = pa.schema([("owner", pa.int32()), ("body", pa.binary())])
+#: Rows of documents (doc_id, n, k1, k2); of messages to owners (message, owner, body); and of tokens that several
+#: classes of a message share, by class (message, k1, n).
+ROWS = "doc_id long, n long, k1 long, k2 long, message long, owner int, body binary"
+SCHEMA = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("message", pa.int64()), ("owner", pa.int32()), ("body", pa.binary())])
 
 
-def _messages(held: dict[int, np.ndarray], bits: int) -> tuple[np.ndarray, list[bytes]]:
-    """Owners and bodies: for each owner the classes and, for each token, 32 bits of its hash and its class's number."""
+def _messages(held: dict[int, np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """For each class the number of its tokens that another of `held` has; owners and bodies.
+
+    A body tells an owner the tokens of its slice, by 32 bits of their hashes: those of one class, with it, and those of
+    several, each once.  So a token that a third of all documents have costs its owner one entry a message.
+    """
     refs = np.array([*held], np.int64)
-    lengths = np.array([len(x) for x in held.values()], np.int64)
+    tokens = np.concatenate([*held.values()])
+    doc = np.repeat(np.arange(len(refs)), [len(x) for x in held.values()])
     # the low end of the hash range is spread over all owners before its high bits name one
-    spread = np.concatenate([*held.values()]) * np.uint64(0x9E3779B97F4A7C15)
+    spread = tokens * np.uint64(0x9E3779B97F4A7C15)
+    order = np.argsort(spread, kind="stable")
+    spread, doc = spread[order], doc[order]
+    first = np.ones(len(spread), bool)
+    first[1:] = spread[1:] != spread[:-1]
+    of = np.diff(np.flatnonzero(first), append=len(spread))
+    several = np.repeat(of > 1, of)
+    shared = np.bincount(doc[several], minlength=len(refs))
+    spread, doc, several = spread[first], doc[first], several[first]
     owner = (spread >> np.uint64(64 - bits)).astype(np.int32)
     short = (spread >> np.uint64(32 - bits)).astype(np.uint32)
-    doc = np.repeat(np.arange(len(refs)), lengths)
-    order = np.argsort(owner, kind="stable")
-    owner, short, doc = owner[order], short[order], doc[order]
     cuts = np.flatnonzero(np.diff(owner, prepend=-1))
     bodies = []
     for a, b in zip(cuts, [*cuts[1:], len(owner)], strict=True):
-        own, at = np.unique(doc[a:b], return_inverse=True)
-        bodies.append(struct.pack("<II", len(own), b - a) + refs[own].astype("<i8").tobytes() + short[a:b].astype("<u4").tobytes() + at.astype("<u4" if len(own) > 65_536 else "<u2").tobytes())
-    return owner[cuts], bodies
+        alone = ~several[a:b]
+        own, at = np.unique(doc[a:b][alone], return_inverse=True)
+        parts = (refs[own].astype("<i8"), short[a:b][alone].astype("<u4"), short[a:b][~alone].astype("<u4"), at.astype("<u4" if len(own) > 65_536 else "<u2"))
+        bodies.append(struct.pack("<III", len(own), alone.sum(), (~alone).sum()) + b"".join(x.tobytes() for x in parts))
+    return shared, owner[cuts], bodies
+
+
+def _read(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a body the tokens of one class and these classes, and the tokens of several."""
+    own, alone, several = struct.unpack_from("<III", body)
+    end = 12 + 8 * own + 4 * (alone + several)
+    short = np.frombuffer(body, "<u4", alone + several, 12 + 8 * own)
+    at = np.frombuffer(body, "<u4" if own > 65_536 else "<u2", alone, end)
+    return short[:alone], np.frombuffer(body, "<i8", own, 12)[at], short[alone:]
 
 
 def _scan(words: int, percent: int, bits: int):
-    """Rows of documents (owner null) and messages to owners (doc_id, n, k1 and k2 null) about their first tokens."""
+    """ROWS of documents; see there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use_cache("ngram_join")
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), *MESSAGE])
+        number = TaskContext.get().partitionId() << 32
         held: dict[int, np.ndarray] = {}
         size = 0
 
-        def messages() -> pa.RecordBatch:
-            owners, bodies = _messages(held, bits)
-            none = pa.nulls(len(owners), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(owners, pa.int32()), pa.array(bodies, pa.binary())], schema=schema)
+        def made(rows: int, **columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in SCHEMA], schema=SCHEMA)
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            shared, owners, bodies = _messages(held, bits)
+            yield made(len(owners), message=np.full(len(owners), number), owner=owners, body=bodies)
+            some = np.flatnonzero(shared)
+            yield made(len(some), message=np.full(len(some), number), k1=np.array([*held], np.int64)[some], n=shared[some])
 
         for batch in batches:
-            ids, out = batch.column("doc_id"), []
-            for text in batch.column("text"):
-                text = text.as_py()
-                tokens = shingles(text, words)
-                k1, k2 = key_of(tokens)
-                out.append((len(tokens), k1, k2))
-                if len(tokens) and k1 not in held:
-                    held[k1] = tokens[: prefix_length(len(tokens), percent)]
-                    size += len(text)
+            n, k1, k2 = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
+            for i, tokens in enumerate(shingles(batch.column("text"), words)):
+                n[i], (k1[i], k2[i]) = len(tokens), key_of(tokens)
+                if len(tokens) and k1[i] not in held:
+                    held[int(k1[i])] = tokens[: prefix_length(len(tokens), percent)].copy()
+                    size += len(held[int(k1[i])])
                     if size >= RUN:
-                        yield messages()
-                        held, size = {}, 0
-            none = pa.nulls(len(out))
-            yield pa.RecordBatch.from_arrays([ids, *[pa.array([x[i] for x in out], pa.int64()) for i in range(3)], none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
+                        yield from sent()
+                        held, size, number = {}, 0, number + 1
+            yield made(batch.num_rows, doc_id=batch.column("doc_id"), n=n, k1=k1, k2=k2)
         if held:
-            yield messages()
-
-    return run
-
-
-def _whole(bits: int):
-    """Messages about whole sets: columns cid, set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held, size = {}, 0
-            for i, cid in enumerate(batch.column("cid").to_pylist()):
-                held[cid] = batch.column("set")[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                size += len(held[cid])
-                if size >= PER_OWNER or i + 1 == batch.num_rows:
-                    owners, bodies = _messages(held, bits)
-                    yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int32()), pa.array(bodies, pa.binary())], schema=MESSAGE)
-                    held, size = {}, 0
+            yield from sent()
 
     return run
 
 
-def _shared(messages: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of an owner's messages the tokens that more than one class has, by class: token, class, number of classes."""
-    short, refs = [], []
-    for body in messages["body"]:
-        docs, n = struct.unpack_from("<II", body)
-        own = np.frombuffer(body, "<i8", docs, 8)
-        short.append(np.frombuffer(body, "<u4", n, 8 + 8 * docs))
-        refs.append(own[np.frombuffer(body, "<u4" if docs > 65_536 else "<u2", n, 8 + 8 * docs + 4 * n)])
-    token, ref = np.concatenate(short).astype(np.int64), np.concatenate(refs)
-    order = np.lexsort((ref, token))
-    token, ref = token[order], ref[order]
-    once = np.ones(len(token), bool)
-    once[1:] = (token[1:] != token[:-1]) | (ref[1:] != ref[:-1])
-    token, ref = token[once], ref[once]
-    starts = np.flatnonzero(np.diff(token, prepend=-1))
-    counts = np.diff(starts, append=len(token))
-    classes = np.repeat(counts, counts)
-    keep = classes > 1
-    token, ref, classes = token[keep], ref[keep], classes[keep]
-    order = np.argsort(ref, kind="stable")
-    return token[order], ref[order], classes[order]
-
-
 def _count(key: tuple[Any, ...], messages: pd.DataFrame) -> pd.DataFrame:
-    refs, counts = np.unique(_shared(messages)[1], return_counts=True)
-    return pd.DataFrame({"k1": refs, "shared": counts})
-
-
-def _list(key: tuple[Any, ...], messages: pd.DataFrame) -> pd.DataFrame:
-    token, ref, classes = _shared(messages)
-    token = token + (int(key[0]) << 32)
-    cuts = np.flatnonzero(np.diff(ref, prepend=ref[:1] - 1)) if len(ref) else np.zeros(0, np.int64)
-    parts = {k: pd.Series(np.split(v, cuts[1:]) if len(cuts) else [], dtype=object) for k, v in (("tokens", token), ("classes", classes))}
-    return pd.DataFrame({"cid": ref[cuts], **parts})
+    """Of an owner's messages by class the tokens alone in their message that another class of any message has."""
+    read = [_read(x) for x in messages["body"]]
+    token, ref = np.concatenate([x[0] for x in read]), np.concatenate([x[1] for x in read])
+    number = np.repeat(messages["message"].to_numpy(np.int64), [len(x[0]) for x in read])
+    order = np.lexsort((ref, token))
+    token, ref, number = token[order], ref[order], number[order]
+    first = np.ones(len(token), bool)
+    first[1:] = token[1:] != token[:-1]
+    at = np.flatnonzero(first)
+    other = np.add.reduceat(ref != np.repeat(ref[at], np.diff(at, append=len(token))), at) > 0 if len(at) else np.zeros(0, bool)
+    shared = np.repeat(other, np.diff(at, append=len(token))) | np.isin(token, np.concatenate([x[2] for x in read]))
+    counts = pd.DataFrame({"k1": ref[shared], "message": number[shared]}).groupby(["k1", "message"]).size().reset_index(name="shared")
+    return counts.astype("int64")
 
 
 def _need(n: Column, percent: int) -> Column:
@@ -227,9 +202,8 @@ def _bits(tokens: float) -> int:
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use_cache("ngram_join")
         for batch in batches:
-            sets = [shingles(t.as_py(), words) for t in batch.column("text")]
+            sets = [*shingles(batch.column("text"), words)]
             keys = [key_of(x) for x in sets]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["k1", "k2", "tokens"])
 
@@ -237,18 +211,26 @@ def _sets(words: int):
 
 
 def _pairs(one: DataFrame, two: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a < b) of classes that meet at a token, lie in different components, and have sizes that allow a link."""
+    """Distinct pairs (a, b, salt) of classes of one and two that meet at a token, lie in different components, and have
+    sizes that allow a link.  salt deals out the pairs of a class b that has very many (two's column salts)."""
     left, right = one.alias("x"), two.alias("y")
     sizes = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
     met = left.join(right, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & sizes)
-    return met.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
+    salt = F.pmod(F.xxhash64("x.cid"), F.col("y.salts")).cast("int")
+    return met.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"), salt.alias("salt")).distinct()
+
 
+def _verified(pairs: DataFrame, live: DataFrame, salts: DataFrame | None, percent: int) -> DataFrame:
+    """The pairs that link: first the prefixes of the further orders must meet, then the whole sets are compared.
 
-def _verified(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
-    """The pairs that link: first the prefixes of the further orders must meet, then the whole sets are compared."""
+    salts (cid, salts) names the classes b whose pairs are dealt out: they stand once for each salt.
+    """
+    pairs = written(pairs, "pairs")
     one = live.select(*[F.col(c).alias(f"{c}_a") for c in live.columns])
-    two = live.select(*[F.col(c).alias(f"{c}_b") for c in live.columns])
-    both = pairs.join(one, F.col("a") == F.col("cid_a")).join(two, F.col("b") == F.col("cid_b"))
+    two = live.withColumn("salts", F.lit(1)) if salts is None else live.join(hinted(salts, salts.count()), "cid", "left")
+    two = two.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+    two = two.select(F.col("salt"), *[F.col(c).alias("b" if c == "cid" else f"{c}_b") for c in live.columns])
+    both = one.join(hinted(pairs, pairs.count()), F.col("a") == F.col("cid_a")).join(two, ["b", "salt"])
     shared = F.size(F.array_intersect("set_a", "set_b"))
     links = shared * 100 >= (F.col("n_a") + F.col("n_b") - shared) * percent
     filtered = F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")
@@ -313,15 +295,33 @@ def _merged(parts: DataFrame | None, links: DataFrame) -> DataFrame:
     return written(known.unionByName(fresh), "parts")
 
 
+def _with_counts(sets: DataFrame, tokens: int) -> DataFrame:
+    """cid and found, an array of (classes, token): the tokens of each class that another class has too.
+
+    Counts are summed in each task first.  The most frequent tokens, at most BROADCAST_ROWS as each has at least that
+    part of all, are joined by broadcast, so no key of the shuffled join has more rows.
+    """
+    flat = sets.select("cid", F.explode("set").alias("token"))
+    counts = written(flat.groupBy("token").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1"), "counts")
+    few = counts.count() <= BROADCAST_ROWS
+    hot = F.broadcast(counts if few else counts.filter(F.col("classes") > tokens // BROADCAST_ROWS + 1))
+    found = flat.join(hot, "token")
+    if not few:
+        found = found.unionByName(flat.join(hot, "token", "left_anti").join(counts, "token").select(*found.columns))
+    return found.groupBy("cid").agg(F.collect_list(F.struct("classes", "token")).alias("found"))
+
+
 def candidates(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The documents' rows with their class (doc_id, n, cid: null without n-grams); the classes that may link (cid, n, set and three orders); their first tokens (cid, n, token)."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chars = narrow.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     bits = _bits(chars / 6 * min(1, 2 * (100 - percent) / 100))
-    scanned = written(narrow.mapInArrow(_scan(words, percent, bits), ROWS), "shingles")
-    rows = scanned.filter("owner IS NULL").select("doc_id", "n", "k1", "k2")
-    counts = scanned.filter("owner IS NOT NULL").select("owner", "body").groupBy("owner").applyInPandas(_count, "k1 long, shared long")
-    counts = counts.groupBy("k1").agg(F.sum("shared").alias("shared"))
+    scanned = written(narrow.mapInArrow(lean(_scan(words, percent, bits)), ROWS), "shingles")
+    rows = scanned.filter("message IS NULL").select("doc_id", "n", "k1", "k2")
+    counts = scanned.filter("owner IS NOT NULL").select("owner", "message", "body").groupBy("owner").applyInPandas(_count, "k1 long, message long, shared long")
+    within = scanned.filter("message IS NOT NULL AND owner IS NULL").select("k1", "message", F.col("n").alias("shared"))
+    # a class that several messages tell of has the same sum in each
+    counts = counts.unionByName(within).groupBy("k1", "message").agg(F.sum("shared").alias("shared")).groupBy("k1").agg(F.max("shared").alias("shared"))
     classes = rows.filter("n > 0").groupBy("k1", "k2").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"))
     classes = written(classes.select(F.monotonically_increasing_id().alias("cid"), "k1", "k2", "n", "doc_id"), "classes")
     left = written(classes.join(counts, "k1").filter(F.col("shared") >= _need(F.col("n"), percent)).drop("shared"), "left")
@@ -329,25 +329,24 @@ def candidates(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Da
 
     ids = left.select(F.col("doc_id").alias("id")).distinct()
     texts = narrow.join(hinted(ids, n_left), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets(words), "k1 long, k2 long, tokens array<long>")
+    sets = texts.mapInArrow(lean(_sets(words)), "k1 long, k2 long, tokens array<long>")
     sets = written(sets.join(hinted(left.select("cid", "k1", "k2", "n"), n_left), ["k1", "k2"]).select("cid", "n", F.col("tokens").alias("set")), "sets")
-    messages = sets.select("cid", "set").mapInArrow(_whole(_bits(tokens)), "owner int, body binary")
-    shared = messages.groupBy("owner").applyInPandas(_list, "cid long, tokens array<long>, classes array<long>")
-    shared = shared.groupBy("cid").agg(F.flatten(F.collect_list("tokens")).alias("tokens"), F.flatten(F.collect_list("classes")).alias("classes"))
-    size = F.size("tokens") - F.ceil(F.col("n") * percent / 100) + 1
+    if sets.count() > n_left:  # rows that repeat a doc_id and its text
+        sets = written(sets.dropDuplicates(["cid"]), "sets")
+    shared = _with_counts(sets, tokens)
+    size = F.size("found") - F.ceil(F.col("n") * percent / 100) + 1
     shared = shared.join(hinted(left.select("cid", "n"), n_left), "cid").withColumn("size", size.cast("int")).filter("size > 0")
 
     def first(key) -> Column:
-        return F.transform(F.slice(F.array_sort(F.transform("zipped", key)), F.lit(1), F.col("size")), lambda x: x["token"])
+        return F.transform(F.slice(F.array_sort(F.transform("found", key)), F.lit(1), F.col("size")), lambda x: x["token"])
 
-    shared = shared.withColumn("zipped", F.arrays_zip("tokens", "classes"))
     orders = written(
         shared.select(
             "cid",
             "n",
-            first(lambda x: F.struct(x["classes"].alias("o"), x["tokens"].alias("token"))).alias("first"),
-            first(lambda x: F.struct(F.xxhash64(x["tokens"], F.lit(2)).alias("o"), x["tokens"].alias("token"))).alias("second"),
-            first(lambda x: F.struct(F.xxhash64(x["tokens"], F.lit(3)).alias("o"), x["tokens"].alias("token"))).alias("third"),
+            first(lambda x: F.struct(x["classes"].alias("o"), x["token"].alias("token"))).alias("first"),
+            first(lambda x: F.struct(F.xxhash64(x["token"], F.lit(2)).alias("o"), x["token"].alias("token"))).alias("second"),
+            first(lambda x: F.struct(F.xxhash64(x["token"], F.lit(3)).alias("o"), x["token"].alias("token"))).alias("third"),
         ),
         "orders",
     )
@@ -368,14 +367,18 @@ def classes_and_links(docs: DataFrame, words: int, percent: int) -> tuple[DataFr
     for star in range(STARS):
         now = placed()
         drawn = F.min(F.struct(F.xxhash64("cid", F.lit(star)).alias("h"), "cid", "n", "comp")).alias("drawn")
-        drawn = now.groupBy("token").agg(drawn, F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token", "drawn.cid", "drawn.n", "drawn.comp")
-        parts = _merged(parts, written(_verified(_pairs(now, drawn, percent), live, percent), "links"))
+        drawn = now.groupBy("token").agg(drawn, F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m")).filter("low < high")
+        drawn = written(drawn.select("token", "drawn.cid", "drawn.n", "drawn.comp", F.ceil(F.col("m") / SALT).cast("int").alias("salts")), "drawn")
+        salts = written(drawn.filter("salts > 1").groupBy("cid").agg(F.max("salts").alias("salts")), "salts")
+        dealt = drawn.drop("salts").join(hinted(salts, salts.count()), "cid", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+        parts = _merged(parts, written(_verified(_pairs(now, dealt, percent), live, salts, percent), "links"))
 
     now = placed()
     sizes = now.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m"), F.min("cid").alias("least")).filter("low < high")
     still = written(now.join(sizes.select("token", "m", "least"), "token"), "open")
     few = still.filter(F.col("m") <= SMALL)
-    found = _verified(_pairs(few, few, percent), live, percent)
+    pairs = _pairs(few, few.withColumn("salts", F.lit(1)), percent).filter("a < b")
+    found = _verified(pairs, live, None, percent)
     # a class stands in many long lists, so lists that share one are compared together, each class once a block
     many = written(components(still.filter(F.col("m") > SMALL).select(F.col("cid").alias("a"), F.col("least").alias("b"))), "many")
     blocks = many.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -404,10 +407,11 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
 
 
 def representatives(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, all columns as they are, that stay: of each component the document with the smallest doc_id.
+    """The rows of docs, with all their columns, whatever these are named, that stay: of each component the document with
+    the smallest doc_id.
 
     Rows that repeat that doc_id all stay, as does a row with a null doc_id.
     """
-    at = join(docs, words, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    at = join(docs.select("doc_id", "text"), words, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
     gone = written(at, "gone")
-    return docs.join(hinted(gone, gone.count()), F.col("doc_id") == F.col("__gone"), "left_anti")
+    return whole(docs).join(hinted(gone, gone.count()), F.col("row.doc_id") == F.col("gone"), "left_anti").select("row.*")

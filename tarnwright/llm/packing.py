@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwright.llm.bpe import batched
-from tarnwright.llm.shared import use_cache, worker_cache
+from tarnwright.llm.shared import lean
 
 LENGTH = 2048
 #: Tokens that are packed together; a task holds no more ids at a time, but for one document.
@@ -27,16 +27,12 @@ GROUP = 2_000_000
 LINEAR = 4096.0
 #: Sequence ids of a partition start at its number times this.
 STRIDE = 1 << 36
-CACHE = 600_000
+#: Words whose ids one Python worker keeps before it starts anew.
+CACHE = 200_000
 #: Distinct words that the library encodes at once.
 RUN = 1_000
 END = (1).to_bytes(4, "little")
 
-_PIECES: dict[str, dict[bytes, bytes]] = {}
-_TOKENIZERS: dict[str, object] = {}
-worker_cache("packing", lambda: (_PIECES.clear(), _TOKENIZERS.clear()))
-
-
 def assign(lengths: list[int], capacity: int = LENGTH) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of documents of the given lengths; sequences count from 0."""
     out, rest, sequence = [], [], 0
@@ -72,30 +68,41 @@ def assign(lengths: list[int], capacity: int = LENGTH) -> list[tuple[int, int, i
     return out
 
 
-def _tokens(texts: list[str], source: str) -> list[bytes]:
-    """The ids of each text as the library gives them, little-endian; the library sees each distinct word once.
+class Words:
+    """Ids of texts as the library gives them, little-endian; the library sees each distinct word once.
 
     For tokenizers that drop white space and never join what it parts, a text's ids are those of its words in turn.
     """
-    from tokenizers import Tokenizer
-
-    if source not in _TOKENIZERS:
-        _TOKENIZERS.clear()
-        _TOKENIZERS[source] = t = Tokenizer.from_str(source)
-        t.no_padding()
-        t.no_truncation()
-        _PIECES[source] = {}
-    library, cache = _TOKENIZERS[source], _PIECES[source]
-    # words part at ASCII white space, the library sees any other; it makes A-Z lower too, but after it looks for special tokens
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    cut = [(x if b"<|" in x else x.lower()).split() for x in raw]
-    if len(cache) > CACHE:
-        cache.clear()
-    new = list(set().union(*cut).difference(cache))
-    for a in range(0, len(new), RUN):
-        part = new[a : a + RUN]
-        _learn(library, part, cache)
-    return [b"".join(map(cache.__getitem__, words)) + END for words in cut]
+
+    def __init__(self, source: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_str(source)
+        self.library.no_padding()
+        self.library.no_truncation()
+        self.known: dict[bytes, bytes] = {}
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        # words part at ASCII white space, the library sees any other; it makes A-Z lower too, but after it looks for special tokens
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        cut = [(x if b"<|" in x else x.lower()).split() for x in raw]
+        if len(self.known) > CACHE:
+            self.known.clear()
+        new = list(set().union(*cut).difference(self.known))
+        for a in range(0, len(new), RUN):
+            _learn(self.library, new[a : a + RUN], self.known)
+        return [b"".join(map(self.known.__getitem__, words)) + END for words in cut]
+
+
+_WORDS: dict[str, Words] = {}
+
+
+def words_of(source: str) -> Words:
+    """This Python worker's Words for a tokenizer file's content; they outlive a task."""
+    if source not in _WORDS:
+        _WORDS.clear()
+        _WORDS[source] = Words(source)
+    return _WORDS[source]
 
 
 def _learn(library, words: list[bytes], cache: dict[bytes, bytes]) -> None:
@@ -123,8 +130,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = LENGTH, *, with_ids: b
         source = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use_cache("packing")
-        text, sequence = source.value, TaskContext.get().partitionId() * STRIDE
+        words, sequence = words_of(source.value), TaskContext.get().partitionId() * STRIDE
         ids, held, size = [], [], 0
 
         def packed() -> pa.RecordBatch:
@@ -145,7 +151,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = LENGTH, *, with_ids: b
 
         for batch in batches:
             for first, texts in batched(batch, "text"):
-                for i, x in enumerate(_tokens(texts, text), first):
+                for i, x in enumerate(words.ids(texts), first):
                     ids.append(batch.column("doc_id")[i].as_py())
                     held.append(x)
                     size += len(x) // 4
@@ -156,4 +162,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = LENGTH, *, with_ids: b
             yield packed()
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return narrow.mapInArrow(run, SCHEMA + ", ids binary" * with_ids)
+    return narrow.mapInArrow(lean(run), SCHEMA + ", ids binary" * with_ids)

@@ -1,108 +1,126 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, and a Gumbel top-k draw.
 
-The target is the text of labelled good documents, the raw text is that of all documents.  Both are multinomial models
-over hashed words and word pairs.  A document's log weight is its mean log ratio of the two, so that length alone
-neither keeps nor rejects it, over a temperature.  Adding Gumbel noise to the log weights and taking the k largest
-draws k documents without replacement in proportion to their weights.
+The target is the text of labelled good documents, the raw text is that of all documents.  Both are generative models
+over hashed words and word pairs.  A document's weight is the ratio of its likelihoods under the two: its log weight is
+the sum, over its n-grams, of the log ratio of their probabilities.  Adding Gumbel noise to the log weights and taking
+the k largest draws k documents without replacement in proportion to their weights.
 """
 
 from __future__ import annotations
 
 import math
-import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tarnwright.llm.shared import hinted, use_cache, worker_cache, written
+from tarnwright.llm.shared import hinted, lean, whole, written
+from tarnwright.llm.words import WRITTEN, hashed, mixed
 
 #: Buckets that words and word pairs are hashed to; the models' size, whatever the corpus.
 BUCKETS = 1 << 16
 #: Labelled good documents that the target model is learnt from, about; chosen by a hash of doc_id.
 TARGET_SAMPLE = 100_000
-TEMPERATURE = 0.01
+#: Occurrences, as expected from the raw text, that a bucket's ratio starts from: one that is rare says little either way.
+PRIOR = 100.0
+#: Standard errors that are added to the labels' share of good.
+MARGIN = 3.0
 SEED = 20
-_TOKEN = re.compile(r"\w+|[^\w\s]+")
-_WORDS: dict[str, int] = {}
-_WORDS_MOST = 400_000
-worker_cache("quality", _WORDS.clear)
-
-
-def hashes(text: str | None) -> np.ndarray:
-    """The buckets of a text's words (runs of letters and digits, or of other marks; lower case) and of its word pairs."""
-    known = _WORDS
-    words = _TOKEN.findall((text or "").lower())
-    try:
-        one = np.array([known[w] for w in words], np.uint64)
-    except KeyError:
-        if len(known) > _WORDS_MOST:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = zlib.crc32(w.encode("utf-8", "surrogatepass"))
-        one = np.array([known[w] for w in words], np.uint64)
-    two = (one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:]) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(40)
-    return np.concatenate([one, two]).astype(np.int64) % BUCKETS
+
+
+def grams(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """First row, rows, and each n-gram's row and bucket, in runs of a column's texts.
+
+    The n-grams are words (runs of letters, digits and bytes beyond ASCII, or of other visible characters; A-Z in lower
+    case) and pairs of words that follow each other.
+    """
+    for w in hashed(column, WRITTEN):
+        row = np.repeat(np.arange(len(w.sizes)), np.diff(w.starts))
+        pairs = row[:-1] == row[1:]
+        two = mixed(w.hashes[:-1] * np.uint64(3) + w.hashes[1:])[pairs]
+        yield w.first, len(w.sizes), np.concatenate([row, row[:-1][pairs]]), (np.concatenate([w.hashes, two]) % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    use_cache("quality")
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        for text, good in zip(batch.column("text"), batch.column("good"), strict=True):
-            n = np.bincount(hashes(text.as_py()), minlength=BUCKETS)
-            raw += n
-            if good.as_py():
-                target += n
+        good = batch.column("good").to_numpy(zero_copy_only=False)
+        for first, n, row, bucket in grams(batch.column("text")):
+            raw += np.bincount(bucket, minlength=BUCKETS)
+            target += np.bincount(bucket[good[first : first + n][row]], minlength=BUCKETS)
     at = np.flatnonzero(raw)
     for a in range(0, len(at), 8192):
         i = at[a : a + 8192]
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(raw[i]), pa.array(target[i])], ["bucket", "raw", "target"])
 
 
-def good_ids(labels: DataFrame, sample: int = TARGET_SAMPLE) -> tuple[DataFrame, int, float]:
-    """About `sample` documents labelled good (quality 1 in each of their labels), how many, and the labels' share of good."""
-    by = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    labelled, good = by.agg(F.count(F.lit(1)), F.count_if(F.col("quality") == 1)).first()
+def _by_document(labels: DataFrame) -> DataFrame:
+    return labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+
+
+def good_ids(labels: DataFrame, sample: int = TARGET_SAMPLE) -> tuple[DataFrame, int]:
+    """About `sample` documents labelled good (quality 1 in each of their labels), and how many at most."""
+    by = _by_document(labels).filter(F.col("quality") == 1)
+    good = by.count()
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("target")), F.lit(1_000_000)) / 1e6
-    ids = by.filter(F.col("quality") == 1).filter(draw < F.lit(sample / max(good, 1))).select("doc_id", F.lit(True).alias("good"))
-    upper = min(1.0, good / labelled + 3 * math.sqrt(good / labelled * (1 - good / labelled) / labelled)) if labelled else 1.0
-    return ids, min(good, 2 * sample), upper
+    return by.filter(draw < F.lit(sample / max(good, 1))).select("doc_id", F.lit(True).alias("good")), min(good, 2 * sample)
+
+
+def expected_good(labels: DataFrame, rows: int, margin: float = MARGIN) -> int:
+    """How many of some rows are good if they are as the labelled documents: their share of good and `margin` standard
+    errors more, so that a good document isn't drawn against others.  All, if no document is labelled good."""
+    labelled, good = _by_document(labels).agg(F.count(F.lit(1)), F.count_if(F.col("quality") == 1)).first()
+    if not good:
+        return rows
+    share = good / labelled
+    return math.ceil(rows * min(1.0, share + margin * math.sqrt(share * (1 - share) / labelled)))
+
 
+def log_ratios(docs: DataFrame, labels: DataFrame, prior: float = PRIOR) -> np.ndarray:
+    """The log ratio of target to raw of each bucket; zeros if there is no target.
 
-def log_ratios(docs: DataFrame, ids: DataFrame, n_ids: int) -> np.ndarray:
-    """The log ratio of target to raw of each bucket, with one count added to each; zeros if there is no target."""
+    `prior` occurrences, as expected and as found, are added to those of each bucket: the mean of a gamma posterior.
+    """
+    ids, n_ids = good_ids(labels)
     marked = docs.select("doc_id", "text").join(hinted(ids, n_ids), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    sums = marked.mapInArrow(_tally, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
-    raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
+    sums = marked.mapInArrow(lean(_tally), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
+    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for bucket, r, t in sums:  # at most BUCKETS rows
-        raw[bucket] += r
-        target[bucket] += t
-    return np.log(target / target.sum()) - np.log(raw / raw.sum()) if target.sum() > BUCKETS else np.zeros(BUCKETS)
+        raw[bucket], target[bucket] = r, t
+    if not target.any():
+        return np.zeros(BUCKETS)
+    return np.log((target + prior) / (raw * (target.sum() / raw.sum()) + prior))
 
 
-def gumbel(seed: int = SEED) -> Column:
+def gumbel(doc_id: Column, seed: int = SEED) -> Column:
     """Standard Gumbel noise, fixed by doc_id and seed."""
-    uniform = (F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    uniform = (F.pmod(F.xxhash64(doc_id.cast("string"), F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     return -F.log(-F.log(uniform))
 
 
 def weighed(docs: DataFrame, ratios: np.ndarray, seed: int = SEED) -> DataFrame:
-    """doc_id, n_grams, log_weight and key (the log weight with noise) of each row; the log weight of no n-grams is minus infinity."""
+    """row (a struct of the columns of docs), n_grams, log_weight and key (the log weight with noise) of each row.
+
+    A text without n-grams has the log weight minus infinity.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(ratios)
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use_cache("quality")
         for batch in batches:
-            found = [hashes(t.as_py()) for t in batch.column("text")]
-            means = [float(sent.value[x].mean()) / TEMPERATURE if len(x) else -math.inf for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array(means, pa.float64())], ["doc_id", "n_grams", "log_weight"])
+            n, weight = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            for first, rows, row, bucket in grams(batch.column("row").field(at)):
+                n[first : first + rows] = np.bincount(row, minlength=rows)
+                weight[first : first + rows] = np.bincount(row, weights=sent.value[bucket], minlength=rows)
+            weight[n == 0] = -np.inf
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n), pa.array(weight)], ["row", "n_grams", "log_weight"])
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return narrow.mapInArrow(run, "doc_id long, n_grams long, log_weight double").withColumn("key", F.col("log_weight") + gumbel(seed))
+    rows = whole(docs)
+    schema = T.StructType([*rows.schema.fields, T.StructField("n_grams", T.LongType()), T.StructField("log_weight", T.DoubleType())])
+    return rows.mapInArrow(lean(run), schema).withColumn("key", F.col("log_weight") + gumbel(F.col("row.doc_id"), seed))
 
 
 def placed(key: Column) -> Column:
@@ -127,42 +145,29 @@ def kth_largest(df: DataFrame, column: str, k: int) -> int:
     return prefix
 
 
-def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = SEED) -> DataFrame:
+def _drawn(docs: DataFrame, labels: DataFrame, k: int | None, seed: int) -> tuple[DataFrame, Column]:
+    """The weighed rows, written once, and whether each is among the k with the largest keys."""
+    ratios = log_ratios(docs, labels)
+    rows = written(weighed(docs, ratios, seed).withColumn("placed", placed(F.col("key"))), "weighed")
+    if k is None:
+        k = expected_good(labels, rows.count())
+    return rows, F.col("placed") >= (kth_largest(rows, "placed", k) if k else 1 << 48)
+
+
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED) -> DataFrame:
     """One row for each row of docs: doc_id, n_grams, log_weight, key, selected.
 
-    The k rows with the largest keys are selected, k being the given share of the rows; by default the share of good
-    among labelled documents, at the upper end of its error (three standard errors), so that good documents stay.  Rows
-    whose key ties with the k-th (to a millionth) are selected too.  A null or empty text has no n-grams, the log weight
-    minus infinity and is never selected before another; labels with nulls are ignored, and with no good label every
-    document weighs alike and stays.  Repeated rows repeat; other columns are ignored.
+    The k rows with the largest keys are selected; by default k is expected_good(), the number of good rows that the
+    labels let expect.  Rows whose key ties with the k-th (to a millionth) are selected too, so repeated rows stay or go
+    together.  A null or empty text has no n-grams, the log weight minus infinity and is never selected before another.
+    Labels with nulls are ignored; with no good label every document weighs alike and all stay.  Very long texts are
+    read whole.  Other columns are ignored; an empty table gives an empty result.
     """
-    ids, n_ids, upper = good_ids(labels)
-    ratios = log_ratios(docs, ids, n_ids)
-    out = written(weighed(docs, ratios, seed).withColumn("__placed", placed(F.col("key"))), "weighed")
-    total = out.count()
-    k = math.ceil(total * (upper if share is None else share)) if ratios.any() or share is not None else total
-    least = kth_largest(out, "__placed", k) if k else 1 << 48
-    return out.withColumn("selected", F.col("__placed") >= least).drop("__placed")
-
-
-def selected(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = SEED) -> DataFrame:
-    """The rows of docs that resample() selects, all columns as they are: each is weighed again and held against the k-th key."""
-    ids, n_ids, upper = good_ids(labels)
-    ratios = log_ratios(docs, ids, n_ids)
-    narrow = written(weighed(docs, ratios, seed).select(placed(F.col("key")).alias("__placed")), "weighed")
-    total = narrow.count()
-    k = math.ceil(total * (upper if share is None else share)) if ratios.any() or share is not None else total
-    least = kth_largest(narrow, "__placed", k) if k else 1 << 48
-    at, sent = docs.columns.index("text"), docs.sparkSession.sparkContext.broadcast(ratios)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use_cache("quality")
-        for batch in batches:
-            found = [hashes(t.as_py()) for t in batch.column(at)]
-            weight = pa.array([float(sent.value[x].mean()) / TEMPERATURE if len(x) else -math.inf for x in found], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, weight], [*batch.schema.names, "__log_weight"])
+    rows, chosen = _drawn(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, k, seed)
+    return rows.select(F.col("row.doc_id").alias("doc_id"), "n_grams", "log_weight", "key", chosen.alias("selected"))
 
-    from pyspark.sql import types as T
 
-    wide = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__log_weight", T.DoubleType())]))
-    return wide.filter(placed(F.col("__log_weight") + gumbel(seed)) >= least).drop("__log_weight")
+def selected(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED) -> DataFrame:
+    """The rows of docs that resample() selects, with all their columns, whatever these are named."""
+    rows, chosen = _drawn(docs, labels, k, seed)
+    return rows.filter(chosen).select("row.*")

@@ -62,6 +62,38 @@ def test_matches_brute_force(spark, monkeypatch, words, percent, block, small):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in out) == brute(rows, words, percent)
 
 
+def test_token_in_every_document(spark, monkeypatch):
+    """A passage that all texts have, in many messages, tasks, salted pairs and blocks."""
+    monkeypatch.setattr(op, "RUN", 200)
+    monkeypatch.setattr(op, "SALT", 8)
+    monkeypatch.setattr(op, "BLOCK", 32)
+    monkeypatch.setattr(op, "BROADCAST_ROWS", 20)
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(40)]
+    rows = []
+    for i in range(240):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([0, 3, 5, 6, 8, 9, 40]))]
+        rows.append((i, " ".join(passage + own)))
+    for i in range(60):
+        rows.append((1000 + i, rows[i * 3][1] + (" z" * (i % 2))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    out = op.join(docs, 4, 85).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in out) == brute(rows, 4, 85)
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(2, "a b c d e f g", 1, 5, 6, 7), (1, "A b c d e f g", 2, 5, 6, 7), (3, "x", 3, 5, 6, 7)], "doc_id long, text string, `gone` int, `__gone` int, `row` int, `a.b``c` int")
+    out = op.representatives(docs)
+    assert out.columns == docs.columns and sorted(r[2] for r in out.collect()) == [2, 3]
+
+
+def test_very_long_row(spark):
+    long = " ".join(f"w{i}" for i in range(300_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " end"), (3, "z" * 3_000_000), (4, "short text of five words")], "doc_id long, text string")
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in op.join(docs).collect()}
+    assert out == {1: (299_997, 1), 2: (299_998, 1), 3: (1, 3), 4: (2, 4)}
+
+
 def test_bounds():
     for percent in (50, 70, 80, 85, 95, 100):
         for n in range(1, 300):
