@@ -19,6 +19,19 @@ _WORK = r"(?:this )?\w+(?: \w+){0,4}?"
 _FREE = rf"{_WORK} is free software you can redistribute it and or modify it under the terms of the"
 _LATER = r"(?:of the license )?or at your option any later version"
 _LATER_OR_NOT = [("", "(?: only)?"), ("-or-later", rf" (?:{_LATER}|or (?:any )?later(?: version)?)")]
+#: Variants of the Creative Commons licences: a key, the licence, and how its parts and version read.
+_CC = [
+    (f"cc{name}{version}".lower(), f"CC-BY{name}{version}", parts, "".join(f" {x}" for x in version[1:].split(".")) if version else "(?: international| licen[cs]e)?")
+    for name, parts in (
+        ("-NC-SA", " (?:nc|non ?commercial) (?:sa|share ?alike)"),
+        ("-NC-ND", " (?:nc|non ?commercial) (?:nd|no ?deriv(?:ative)?s?(?: works)?)"),
+        ("-NC", " (?:nc|non ?commercial)"),
+        ("-SA", " (?:sa|share ?alike)"),
+        ("-ND", " (?:nd|no ?deriv(?:ative)?s?(?: works)?)"),
+        ("", ""),
+    )
+    for version in ("-1.0", "-2.0", "-2.5", "-3.0", "-4.0", "")
+]
 _UNDER = r"(?:this (?:work|software|project|code|file|document|library|program) is )?(?:licensed|released|distributed|available|provided) under(?: the terms of)?"
 
 # Sentences of well-known licence texts, normalised (lower case, letters and digits only, one space), as
@@ -47,16 +60,20 @@ SENTENCES: list[tuple[str, str]] = [
     ("gpl-hope", rf"{_WORK} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
     ("gpl-see", r"see the gnu (?:lesser |library |affero )?general public license for more details"),
     ("gpl-copy", r"you should have received a copy of the gnu (?:lesser |library |affero )?general public license along with .*"),
-    ("under-mit", r"(?:this (?:work|software|project|code|file|document) is )?(?:licensed|released|distributed|available|provided) under (?:the terms of )?(?:the )?mit licen[cs]e"),
-    ("under-apache", r"(?:this (?:work|software|project|code|file|document) is )?(?:licensed|released|distributed|available|provided) under (?:the terms of )?(?:the )?apache (?:licen[cs]e )?(?:version )?2(?: 0)?(?: licen[cs]e)?"),
+    ("under-mit", rf"{_UNDER} (?:the )?mit licen[cs]e"),
+    ("under-apache", rf"{_UNDER} (?:the )?apache (?:licen[cs]e )?(?:version )?2(?: 0)?(?: licen[cs]e)?"),
     *[(f"under-lgpl{v}{n}".replace(" ", ""), rf"{_UNDER} (?:the )?(?:gnu (?:lesser|library) general public licen[cs]e|gnu lgpl|lgpl) (?:version |v ?)?{v}{'' if ' ' in v else '(?: 0)?'}{tail}") for v in ("2 1", "2", "3") for n, tail in _LATER_OR_NOT],
     *[(f"under-agpl3{n}", rf"{_UNDER} (?:the )?(?:gnu affero general public licen[cs]e|gnu agpl|agpl) (?:version |v ?)?3(?: 0)?{tail}") for n, tail in _LATER_OR_NOT],
-    ("under-gpl3", r"(?:this (?:work|software|project|code|file|document) is )?(?:licensed|released|distributed|available|provided) under (?:the terms of )?(?:the )?(?:gnu general public licen[cs]e|gnu gpl|gpl) (?:version |v )?3(?: 0)?"),
-    ("under-gpl2", r"(?:this (?:work|software|project|code|file|document) is )?(?:licensed|released|distributed|available|provided) under (?:the terms of )?(?:the )?(?:gnu general public licen[cs]e|gnu gpl|gpl) (?:version |v )?2(?: 0)?"),
-    ("under-bsd", r"(?:this (?:work|software|project|code|file|document) is )?(?:licensed|released|distributed|available|provided) under (?:the terms of )?(?:the |a )?(?:[23] clause )?bsd(?: [23] clause)? licen[cs]e"),
-    ("under-mpl", r"(?:this (?:work|software|project|code|file|document) is )?(?:licensed|released|distributed|available|provided) under (?:the terms of )?(?:the )?mozilla public licen[cs]e (?:version |v )?2 0"),
-    ("under-cc", r"(?:this (?:work|software|project|code|file|document) is )?(?:licensed|released|distributed|available|provided) under (?:the terms of )?(?:a |the )?(?:cc|creative commons) (?:by|attribution)(?: (?:nc|noncommercial))?(?: (?:sa|sharealike|nd|noderivatives))? (?:[1234] 0|international)(?: .*)?"),
-    ("under-cc0", r"(?:this (?:work|software|project|code|file|document) is )?(?:licensed|released|distributed|available|provided) under (?:the terms of )?(?:the )?cc0(?: 1 0)?(?: .*)?"),
+    *[(f"under-gpl{v}{n}", rf"{_UNDER} (?:the )?(?:gnu general public licen[cs]e|gnu gpl|gpl) (?:version |v ?)?{v}(?: 0)?{tail}") for v in ("2", "3") for n, tail in _LATER_OR_NOT],
+    *[(f"under-bsd{n}", rf"{_UNDER} (?:the |a )?(?:{n} clause bsd|bsd {n} clause|{word} clause bsd|bsd {word} clause)(?: licen[cs]e)?") for n, word in (("2", "two"), ("3", "three"))],
+    ("under-bsd", rf"{_UNDER} (?:the |a )?bsd licen[cs]e"),
+    ("under-mpl", rf"{_UNDER} (?:the )?(?:mozilla public licen[cs]e|mpl) (?:version |v ?)?2 0"),
+    ("mpl-terms", r"this source code form is subject to the terms of the mozilla public licen[cs]e v(?:ersion)?(?: 2 0)?"),
+    ("mpl-copy", r"if a copy of the mpl was not distributed with this file you can obtain one at (?:https? )?(?:www )?mozilla org mpl 2 0"),
+    ("unlicense-free", r"this is free and unencumbered software released into the public domain"),
+    ("unlicense-anyone", r"anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    *[(f"under-{key}", rf"{_UNDER} (?:a |the )?(?:cc|creative commons) (?:by|attribution){parts}{version}(?: (?!nc |nd |sa |\d).*)?") for key, _, parts, version in _CC],
+    ("under-cc0", rf"{_UNDER} (?:the )?(?:cc0|cc zero|creative commons zero)(?: 1 0)?(?: .*)?"),
     ("all-rights", r"(?:(?:copyright|c \d{4}|\d{4})(?: (?:(?!licen[cs]|permi[st]|redistrib|free software).){0,200})? )?all rights reserved"),
     ("terms-of-license", r"(?:see|refer to) the licen[cs]e file for (?:details|more information|terms)"),
 ]
@@ -82,21 +99,25 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("AGPL-3.0-or-later", ("agpl3-or-later",)),
     ("MIT", ("under-mit",)),
     ("Apache-2.0", ("under-apache",)),
-    ("GPL-3.0", ("under-gpl3",)),
-    ("GPL-2.0", ("under-gpl2",)),
+    *[(f"GPL-{v}.0{n}", (f"under-gpl{v}{n}",)) for v in ("2", "3") for n, _ in _LATER_OR_NOT],
     *[(f"{name}{n}", (f"under-{key}{n}",)) for name, key in (("LGPL-2.1", "lgpl21"), ("LGPL-2.0", "lgpl2"), ("LGPL-3.0", "lgpl3"), ("AGPL-3.0", "agpl3")) for n, _ in _LATER_OR_NOT],
+    ("BSD-2-Clause", ("under-bsd2",)),
+    ("BSD-3-Clause", ("under-bsd3",)),
     ("BSD", ("under-bsd",)),
+    ("MPL-2.0", ("mpl-terms", "mpl-copy")),
+    ("MPL-2.0", ("mpl-copy",)),
     ("MPL-2.0", ("under-mpl",)),
-    ("CC-BY-NC", ("under-cc-nc",)),
-    ("CC-BY", ("under-cc",)),
+    ("Unlicense", ("unlicense-free", "unlicense-anyone")),
+    ("Unlicense", ("unlicense-free",)),
+    *[(name, (f"under-{key}",)) for key, name, _, _ in _CC],
     ("CC0-1.0", ("under-cc0",)),
     ("All-Rights-Reserved", ("all-rights",)),
 ]
 UNKNOWN = "unknown"
 #: Words of which every known sentence has some; texts without any are read no further.
-HINT = r"(?i)licen[sc]e|permission|redistribut|warrant|liable|gnu general|rights[^0-9a-z]+reserved|(?:released|distributed|available|provided)[^0-9a-z]+under"
-#: Lines that a wrapped sentence may take.
-LINES = 30
+HINT = r"(?i)licen[sc]e|unencumbered|anyone[^0-9a-z]+is[^0-9a-z]+free|mozilla|permission|redistribut|warrant|liable|gnu general|rights[^0-9a-z]+reserved|(?:released|distributed|available|provided)[^0-9a-z]+under"
+#: Words that no known sentence has more of: the longest has about 100, and what names and lists may add.
+WORDS = 400
 
 _COMPILED = [(i, re.compile(p)) for i, p in SENTENCES]
 #: An identifier, or an expression of some, in a line of its own or at the end of a sentence.
@@ -107,21 +128,20 @@ _SPDX_WORDS = {x.lower(): x for x in ("MIT", "ISC", "Zlib", "Unlicense", "WTFPL"
 #: Heads of sentences that run on over a colon, a semicolon or a blank line.
 _RUNS_ON = re.compile(rf"{_WORK} is (?:free software|distributed in the hope)\b|you may obtain a copy of the license at\b")
 #: First words of the known sentences.
-_HEADS = re.compile(r"(?:permission|the|in|all|copyright|c|redistributions?|neither|this|licensed|released|distributed|available|provided|you|unless|see|refer|\d+)\b")
+_HEADS = re.compile(r"(?:permission|the|in|all|if|anyone|copyright|c|redistributions?|neither|this|licensed|released|distributed|available|provided|you|unless|see|refer|\d+)\b")
 _ATOM = re.compile(r"[^.!?;:\n]*(?:[.:](?=[^\s.!?;:])[^.!?;:\n]*)*")
 _DROP = re.compile(r"[^0-9a-z]+")
+#: The words that tell whether a known sentence may begin, however far apart they stand.
+_FIRST = re.compile(r"(?:[^0-9A-Za-z]*[0-9A-Za-z]+){1,16}")
 
 
 def normalised(sentence: str) -> str:
     return _DROP.sub(" ", sentence.lower()).strip()
 
 
-def identify(sentence: str) -> str | None:
+def identify(sentence: str, known: list[tuple[str, re.Pattern]] = _COMPILED) -> str | None:
     """The identifier of a normalised sentence."""
-    for name, pattern in _COMPILED:
-        if pattern.fullmatch(sentence):
-            return "under-cc-nc" if name == "under-cc" and re.search(r"\b(?:nc|noncommercial)\b", sentence) else name
-    return None
+    return next((name for name, pattern in known if pattern.fullmatch(sentence)), None)
 
 
 def _identifier(text: str, at: int) -> tuple[str, int] | None:
@@ -146,7 +166,7 @@ def sentences(text: str) -> list[tuple[str, int, int]]:
     while i < len(atoms):
         start = atoms[i][0]
         taken = None
-        head = normalised(text[start : start + 200])
+        head = normalised(m[0]) if (m := _FIRST.match(text, start)) else ""
         if head.startswith("spdx license identifier") and (tag := _identifier(text, start)):
             j = i
             while j + 1 < len(atoms) and atoms[j + 1][0] < tag[1]:
@@ -154,11 +174,15 @@ def sentences(text: str) -> list[tuple[str, int, int]]:
             taken = (f"spdx {tag[0]}", start, tag[1], j)
         elif (runs_on := bool(_RUNS_ON.match(head))) or _HEADS.match(head):
             ends = re.compile(r"[.!?]" if runs_on else r"[.!?;:]|\n\n")
-            last = i
-            while last + 1 < len(atoms) and last - i < LINES and not ends.search(text, atoms[last][1], atoms[last + 1][0]):
+            last, words = i, 0
+            while last + 1 < len(atoms) and words <= WORDS and not ends.search(text, atoms[last][1], atoms[last + 1][0]):
+                words += len(text[slice(*atoms[last])].split())
                 last += 1
-            for j in range(last, i - 1, -1):
-                name = identify(normalised(text[start : atoms[j][1]]))
+            # what matches the whole of a part also matches the beginning of all
+            whole = normalised(text[start : atoms[last][1]])
+            known = [x for x in _COMPILED if x[1].match(whole)]
+            for j in range(last, i - 1, -1) if known else ():
+                name = identify(normalised(text[start : atoms[j][1]]), known)
                 if name:
                     taken = (name, start, atoms[j][1], j)
                     break

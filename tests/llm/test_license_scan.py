@@ -19,9 +19,21 @@ AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
 LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE."""
 LINES = {
     "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
-    "Licensed under CC BY-NC 4.0.": "CC-BY-NC",
-    "Licensed under CC BY 4.0.": "CC-BY",
-    "Available under the Creative Commons Attribution 4.0.": "CC-BY",
+    "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+    "Licensed under CC BY 4.0.": "CC-BY-4.0",
+    "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0",
+    "Licensed under CC BY-ND 3.0.": "CC-BY-ND-3.0",
+    "Licensed under CC BY-NC-SA 2.5 by its authors.": "CC-BY-NC-SA-2.5",
+    "Licensed under CC BY-NC-ND.": "CC-BY-NC-ND",
+    "Available under the Creative Commons Attribution 4.0.": "CC-BY-4.0",
+    "Available under the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": "CC-BY-NC-SA-4.0",
+    "Licensed under the BSD 3-Clause License.": "BSD-3-Clause",
+    "Licensed under a two-clause BSD license.": "BSD-2-Clause",
+    "Licensed under the BSD License.": "BSD",
+    "Licensed under the GPL version 2 or later.": "GPL-2.0-or-later",
+    "Licensed under the Mozilla Public License, version 2.0.": "MPL-2.0",
+    "This is free and unencumbered software released into the public domain.": "Unlicense",
+    "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.": "MPL-2.0",
     "Released under CC0 1.0.": "CC0-1.0",
     "Released under the MIT License.": "MIT",
     "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
@@ -44,6 +56,32 @@ def test_whole_texts_and_lines():
     assert names("The licence of a driver was under the MIT building. He licensed under nothing.") == []
 
 
+def test_wrapped_at_any_width():
+    """Sentences run over as many lines as they take, down to a word a line, with any white space and marks between."""
+    words = MIT.split()
+    for width in (1, 2, 3, 7, 1000):
+        lines = [" ".join(words[i : i + width]) for i in range(0, len(words), width)]
+        assert names("\n".join(lines)) == ["MIT"], width
+        assert names(("\n" + " " * 300).join(lines)) == ["MIT"], width
+    assert names("This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/.") == ["MPL-2.0"]
+
+
+def test_long_text_without_sentence_ends_takes_linear_time():
+    import time
+
+    text = "the software is licensed under\n" * 20_000
+    began = time.perf_counter()
+    assert names(text) == [] and time.perf_counter() - began < 60
+
+
+def test_every_head_is_known():
+    for name, pattern in op.SENTENCES:
+        if not pattern.startswith((op._WORK, op._FREE)):
+            first = re.sub(r"^\(\?:(?:this \(\?:.*? is \))?\)?\??", "", pattern).strip("(?:")
+            word = re.match(r"\\d\+ \)\?(\w+)|(\w+)", first)
+            assert op._HEADS.match((word[1] or word[2]) + " "), (name, first[:30])
+
+
 def test_every_sentence_has_a_hint():
     for line in [*LINES, *re.split(r"(?<=[.:])\s", MIT)]:
         if op.identify(op.normalised(line)):
@@ -57,5 +95,5 @@ def test_scan(spark):
     rows = [(1, None), (2, ""), (3, MIT), (3, MIT), (None, "Released under the MIT License."), (5, "word " * 50000 + "\nLicensed under CC BY-NC 4.0.\n" + MIT), (6, "plain words")]
     docs = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id int, text string, hinted int")
     out = sorted((str(r.doc_id), r.n_sentences, r.n_licenses, r.licenses) for r in op.digest(docs).collect())
-    assert out == sorted([("1", 0, 0, ""), ("2", 0, 0, ""), ("3", 4, 1, "MIT"), ("3", 4, 1, "MIT"), ("None", 1, 1, "MIT"), ("5", 5, 2, "CC-BY-NC,MIT"), ("6", 0, 0, "")])
+    assert out == sorted([("1", 0, 0, ""), ("2", 0, 0, ""), ("3", 4, 1, "MIT"), ("3", 4, 1, "MIT"), ("None", 1, 1, "MIT"), ("5", 5, 2, "CC-BY-NC-4.0,MIT"), ("6", 0, 0, "")])
     assert op.scan(docs.filter("false")).count() == 0
