@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnwright.llm import bpe, embedding_dedup, exact_dedup, html_extract, language_id, license_scan, ngram_join, packing, quality, url_filter
-from tarnwright.llm.shared import table
+from tarnwright.llm.shared import small_batches
+from tarnwright.llm.shared import table as stored
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the data set, in a session whose Arrow batches are bounded by bytes."""
+    small_batches(spark)
+    return stored(spark, sf_dir, name)
 
 
 def tokenizer(name: str) -> str:
@@ -21,42 +28,52 @@ RULES: list[url_filter.Rule] = [("block", "net", "/"), ("allow", "example.net",
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page: extract() of html_extract, which says what nulls, empty, repeated and clashing columns give."""
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences of every document: a digest of license_scan.scan(), which says what nulls, empty and repeated rows give."""
     return license_scan.digest(table(spark, sf_dir, "documents"))
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector at a cosine of 0.93: near_duplicates(), which says what nulls, repeats and ties give."""
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document in sequences of 2048 tokens: pack(), which says what nulls, empty and repeated rows give."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weight of every document and whether the draw takes it: resample(), which says what nulls, ties and repeats give."""
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of every page: judge(), which says what null urls, ties of rules, repeats and empty tables give."""
     return url_filter.judge(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of equal texts of every document: exact_groups(), which says what nulls, repeats and ties give."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document by four-word shingles at 0.85: join(), which says what nulls and repeats give."""
     return ngram_join.join(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document: identify(), which says what nulls, texts without letters, ties and repeats give."""
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and the decoded text of every document: digests(), which says what nulls and repeats give."""
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
@@ -112,4 +129,40 @@ c AS (SELECT r.a AS i, min(w.doc_id) AS component_id FROM r JOIN w ON w.i = r.b
 SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id FROM w JOIN c USING (i) LEFT JOIN n USING (i)
 """
 
-SQL: dict[str, str] = {"op3_embedding_dedup": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_ngram_join": OP8_SQL}
+OP6_SQL = r"""
+WITH RECURSIVE u AS (
+  SELECT row_number() OVER () AS i, page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages
+), h AS (
+  SELECT i, page_id, html, translate(coalesce(regexp_extract(rest, '^([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u
+), rules(verdict, rhost, rpath, place) AS (VALUES ('block', 'net', '/', 1), ('allow', 'example.net', '/en/', 2), ('block', 'example.com', '/de/', 3), ('allow', 'org', '/fr/', 4)),
+f AS (
+  SELECT h.i, arg_max(rhost || rpath, length(rhost || rpath) * 10 - place) AS rule, arg_max(verdict, length(rhost || rpath) * 10 - place) AS verdict
+  FROM h JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY h.i
+), r AS (SELECT h.*, f.rule, f.verdict FROM h LEFT JOIN f USING (i)),
+seeds AS (
+  SELECT host, avg(CAST(coalesce(verdict, '') = 'allow' AS DOUBLE)) AS trust, avg(CAST(coalesce(verdict, '') = 'block' AS DOUBLE)) AS distrust FROM r WHERE host <> '' GROUP BY host
+), t AS (
+  SELECT host AS src, translate(regexp_extract(regexp_extract(link, '//(.*)', 1, 's'), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst
+  FROM (SELECT host, unnest(regexp_extract_all(html, '[ 	-
+]href[ 	-
+]*=[ 	-
+]*["'']?[ 	-
+]*((?:[a-z][a-z0-9+.-]*:)?//[^"'' 	-
+>]+)', 1, 'i')) AS link FROM r)
+), l AS (SELECT src, dst, count(*) AS n FROM t WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
+e AS (
+  SELECT 'trust' AS kind, src, dst, 0.85 * n / sum(n) OVER (PARTITION BY src) AS weight FROM l
+  UNION ALL SELECT 'distrust', dst, src, 0.85 * n / sum(n) OVER (PARTITION BY dst) FROM l
+), s AS (
+  SELECT 'trust' AS kind, host, trust AS value, 0 AS k FROM seeds WHERE trust > 0
+  UNION ALL SELECT 'distrust', host, distrust, 0 FROM seeds WHERE distrust > 0
+), p AS (
+  SELECT kind, host, value, k FROM s
+  UNION ALL SELECT e.kind, e.dst, sum(e.weight * p.value), p.k + 1 FROM p JOIN e ON e.kind = p.kind AND e.src = p.host WHERE p.k < 120 GROUP BY e.kind, e.dst, p.k
+), v AS (SELECT host, sum(value) FILTER (WHERE kind = 'trust') AS trust, sum(value) FILTER (WHERE kind = 'distrust') AS distrust FROM p GROUP BY host)
+SELECT page_id, r.host, path, rule, coalesce(verdict, CASE WHEN coalesce(v.distrust, 0) - coalesce(v.trust, 0) >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM r LEFT JOIN v ON v.host = r.host
+"""
+
+SQL: dict[str, str] = {"op6_url_filter": OP6_SQL, "op3_embedding_dedup": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_ngram_join": OP8_SQL}
