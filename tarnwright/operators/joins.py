@@ -6,36 +6,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def named(column: str) -> Column:
+    """A column by its whole name, whatever that holds."""
+    return F.col(f"`{column.replace('`', '``')}`")
+
+
+def whole(df: DataFrame) -> Column:
+    """All columns of a row as one struct, so that helper columns can't clash with them."""
+    return F.struct(*[named(c) for c in df.columns])
+
+
 def asof_join(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, take: list[str], slice_of: Column | None = None) -> DataFrame:
     """left with the columns `take` of right's last row of the same key at or before it (nulls if there is none).
 
     Ties in right_at are broken by the columns taken, the greatest first.  Rows meet by key and time slice, a day by
-    default, so that no key's rows need fit one task; what a slice inherits is the last row of the slices before it,
-    carried over one row for each key and slice.  Null keys and times match nothing.
+    default (slice_of gives another, from the column `at`), so that no key's rows need fit one task; what a slice inherits
+    is the last row of the slices before it, carried over one row for each key and slice.  Null keys and times match
+    nothing.
     """
-    day = slice_of if slice_of is not None else F.floor(F.unix_timestamp(F.col("__at").cast("timestamp")) / 86_400)
-    r = right.filter(F.col(key).isNotNull() & F.col(right_at).isNotNull()).select(F.col(key).alias("__key"), F.col(right_at).alias("__at"), *[F.col(c).alias(f"__{c}") for c in take])
-    r = r.withColumn("__slice", day)
-    newest = F.struct("__at", *[f"__{c}" for c in take])
-    ends = r.groupBy("__key", "__slice").agg(F.max(newest).alias("__end"))
-    l = left.withColumn("__key", F.col(key)).withColumn("__at", F.col(left_at)).withColumn("__slice", day)  # noqa: E741
-    slices = l.select("__key", "__slice").distinct().join(ends, ["__key", "__slice"], "full")
-    before = Window.partitionBy("__key").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    inherited = slices.select("__key", "__slice", F.last("__end", ignorenulls=True).over(before).alias("__inherited"))
-    row = F.struct(*[F.col(f"`{c}`") for c in left.columns])
-    both = l.select("__key", "__slice", "__at", F.lit(1).alias("__side"), row.alias("__row"), F.lit(None).cast(r.select(newest.alias("x")).schema["x"].dataType).alias("__own"))
-    both = both.unionByName(r.select("__key", "__slice", "__at", F.lit(0).alias("__side"), F.lit(None).cast(both.schema["__row"].dataType).alias("__row"), newest.alias("__own")))
-    upto = Window.partitionBy("__key", "__slice").orderBy("__at", "__side", "__own").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("__last", F.last("__own", ignorenulls=True).over(upto)).filter("__side = 1")
-    found = found.join(inherited, ["__key", "__slice"], "left").withColumn("__last", F.coalesce("__last", "__inherited"))
-    return found.select("__row.*", *[F.col(f"__last.__{c}").alias(c) for c in take])
+    part = slice_of if slice_of is not None else F.floor(F.unix_timestamp(F.col("at").cast("timestamp")) / 86_400)
+    newest = F.struct(named(right_at).alias("at"), *[named(c).alias(f"take{i}") for i, c in enumerate(take)])
+    r = right.filter(named(key).isNotNull() & named(right_at).isNotNull()).select(named(key).alias("key"), named(right_at).alias("at"), newest.alias("own")).withColumn("slice", part)
+    ends = r.groupBy("key", "slice").agg(F.max("own").alias("end"))
+    l = left.select(named(key).alias("key"), named(left_at).alias("at"), whole(left).alias("row")).withColumn("slice", part)  # noqa: E741
+    slices = l.select("key", "slice").distinct().join(ends, ["key", "slice"], "full")
+    before = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    inherited = slices.select("key", "slice", F.last("end", ignorenulls=True).over(before).alias("inherited"))
+    both = l.select("key", "slice", "at", F.lit(1).alias("side"), "row", F.lit(None).cast(r.schema["own"].dataType).alias("own"))
+    both = both.unionByName(r.select("key", "slice", "at", F.lit(0).alias("side"), F.lit(None).cast(both.schema["row"].dataType).alias("row"), "own"))
+    upto = Window.partitionBy("key", "slice").orderBy("at", "side", "own").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("last", F.last("own", ignorenulls=True).over(upto)).filter("side = 1")
+    found = found.join(inherited, ["key", "slice"], "left").withColumn("last", F.coalesce("last", "inherited"))
+    return found.select("row.*", *[F.col(f"last.take{i}").alias(c) for i, c in enumerate(take)])
 
 
 def range_join(points: DataFrame, at: str, ranges: DataFrame, low: str, high: str, width: float) -> DataFrame:
     """Inner join where low <= at <= high, as an equi-join on buckets of the given width: about that of a usual range.
 
-    Each range is repeated for the buckets that it touches, each point stands in one, so no pair is made twice.
+    A range takes the least power of two times the width that holds it, so it touches two buckets of its own level at
+    most, however wide it is; a point stands in one bucket of each level that some range has.  So no pair is made twice.
     """
-    p = points.withColumn("__bucket", F.floor(F.col(at) / width))
-    r = ranges.filter(F.col(low) <= F.col(high)).withColumn("__bucket", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    return p.join(r, "__bucket").filter((F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high))).drop("__bucket")
+    size = named(high) - named(low)
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(size / width, F.lit(1.0)))).cast("int"))
+    r = ranges.filter(named(low) <= named(high)).select(whole(ranges).alias("range"), named(low).alias("low"), named(high).alias("high"), level.alias("level"))
+    # levels are at most as many as doublings of the width up to the widest range
+    levels = r.agg(F.array_sort(F.collect_set("level")).alias("levels"))
+    bucket = lambda x: F.floor(x / (F.lit(float(width)) * F.pow(F.lit(2.0), F.col("level"))))
+    p = points.select(whole(points).alias("point"), named(at).alias("at")).withColumn("level", F.explode(levels.scalar()))
+    p = p.withColumn("bucket", bucket(F.col("at")))
+    r = r.withColumn("bucket", F.explode(F.sequence(bucket(F.col("low")), bucket(F.col("high")))))
+    return p.join(r, ["level", "bucket"]).filter(F.col("at").between(F.col("low"), F.col("high"))).select("point.*", "range.*")

@@ -6,14 +6,17 @@ sides agree in type as well as value.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnwright.functions.types import big, dbl, money, ntz
-from tarnwright.operators import joins, windows
+from tarnwright.operators import aggregates, joins, windows
 from tarnwright.sources import formats
 from tarnwright.sources.scratch import scratch_path, table
 from tarnwright.streaming import events as streams
@@ -144,14 +147,29 @@ def agg_count_distinct(events):
     return events.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
 
 
-@query("SELECT abs(n - true_n) <= 0.1 * true_n AS close FROM (SELECT count(DISTINCT l_partkey) AS n, count(DISTINCT l_partkey) AS true_n FROM lineitem)")
+@query("SELECT l_returnflag, CAST(count(DISTINCT l_partkey) AS BIGINT) AS parts, true AS close FROM lineitem GROUP BY l_returnflag")
 def agg_approx_distinct(lineitem):
-    return lineitem.agg(F.approx_count_distinct("l_partkey", 0.02).alias("n"), F.count_distinct("l_partkey").alias("true_n")).select((F.abs(F.col("n") - F.col("true_n")) <= 0.1 * F.col("true_n")).alias("close"))
+    # the sketch is held against an exact count, which the SQL gives too
+    n, parts = F.approx_count_distinct("l_partkey", 0.01), F.count_distinct("l_partkey")
+    return lineitem.groupBy("l_returnflag").agg(parts.alias("parts"), (F.abs(n - parts) <= 0.05 * parts).alias("close"))
+
+
+@query("SELECT l_returnflag, CAST(approx AS BIGINT) AS n FROM (SELECT l_returnflag, count(DISTINCT l_shipdate) AS approx FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-02-01' GROUP BY l_returnflag)")
+def agg_sketch_merge(lineitem):
+    # a sketch for each day and flag, merged by flag: few distinct values, so the estimate is exact
+    early = lineitem.filter(F.col("l_shipdate") < F.lit("1995-02-01").cast("timestamp_ntz"))
+    daily = early.groupBy("l_returnflag", "l_shipdate").agg(F.hll_sketch_agg(F.col("l_shipdate").cast("string"), F.lit(16)).alias("s"))
+    return daily.groupBy("l_returnflag").agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("n"))
 
 
 @query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS median_price FROM lineitem GROUP BY l_returnflag")
 def agg_percentile(lineitem):
-    return lineitem.groupBy("l_returnflag").agg(F.round(F.percentile("l_extendedprice", 0.5), 4).alias("median_price"))
+    return aggregates.percentile(lineitem, ["l_returnflag"], "l_extendedprice", 0.5).select("l_returnflag", F.round("percentile", 4).alias("median_price"))
+
+
+@query("SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.25), 4) AS q FROM orders GROUP BY o_orderpriority")
+def agg_percentile_builtin(orders):
+    return orders.groupBy("o_orderpriority").agg(F.round(F.percentile("o_totalprice", 0.25), 4).alias("q"))
 
 
 @query("SELECT c_mktsegment, round(stddev_samp(c_acctbal), 4) AS sd, round(var_samp(c_acctbal), 2) AS v FROM customer GROUP BY c_mktsegment")
@@ -245,7 +263,8 @@ def set_except_all(customer, supplier):
 
 
 SCALAR = "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem l WHERE l_quantity > (SELECT 1.9 * avg(l_quantity) FROM lineitem m WHERE m.l_partkey = l.l_partkey)"
-EXISTS = "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)"
+NOT_EXISTS = "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)"
+EXISTS = "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_discount > 0.09)"
 RECURSIVE = "WITH RECURSIVE f(n, a, b) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT n + 1, b, a + b FROM f WHERE n < 40) SELECT n, a FROM f"
 
 
@@ -266,6 +285,11 @@ def subquery_exists(spark, orders, lineitem):
     return sql(spark, EXISTS, orders=orders, lineitem=lineitem)
 
 
+@query(NOT_EXISTS)
+def subquery_not_exists(spark, orders, lineitem):
+    return sql(spark, NOT_EXISTS, orders=orders, lineitem=lineitem)
+
+
 @query(RECURSIVE)
 def subquery_recursive(spark):
     return spark.sql(RECURSIVE)
@@ -383,7 +407,55 @@ def stream_sessions(spark, sf_dir):
 
 @query("SELECT event_id, event_type FROM events")
 def stream_dedup(spark, sf_dir):
-    return streams.to_end(streams.stream(spark, sf_dir).dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "event_type"), "append")
+    # every event comes twice within the watermark, in this and in the next file
+    files = _in_files(table(spark, sf_dir, "events"), 4)
+    repeated = files.unionByName(files.withColumn("file", F.col("file") + 1))
+    rows = streams.folder(spark, _written_in_order(repeated, "repeated"), repeated.drop("file").schema, watermark="30 days")
+    return streams.to_end(rows.dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "event_type"), "append")
+
+
+LATE = """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, CAST(count(*) AS BIGINT) AS n FROM events
+WHERE {kept} time_bucket(INTERVAL 1 HOUR, ts) < time_bucket(INTERVAL 1 HOUR, (SELECT max(ts) - INTERVAL 2 DAY FROM events)) GROUP BY 1"""
+
+
+def _late(spark, sf_dir, delay):
+    """Hours of events in append mode.  Of the first seven days, events whose number divides by 10 come in a file of their own
+    after all others; the file after it holds one event of long after, so that the watermark passes all."""
+    events = table(spark, sf_dir, "events")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    late = (F.col("event_id") % 10 == 0) & (F.col("ts") < F.lit(first + datetime.timedelta(days=7)).cast("timestamp_ntz"))
+    ordered = _in_files(events.filter(~late), 3).unionByName(events.filter(late).withColumn("file", F.lit(3)))
+    end = events.limit(1).withColumn("event_id", F.lit(-1).cast("bigint")).withColumn("ts", F.lit(last + datetime.timedelta(days=90)).cast("timestamp_ntz"))
+    rows = streams.folder(spark, _written_in_order(ordered.unionByName(end.withColumn("file", F.lit(4))), "late"), events.schema, watermark=delay)
+    # the days before the end of the events are left out, so that no hour is compared at which the watermark stands
+    until = (last - datetime.timedelta(days=2)).replace(minute=0, second=0, microsecond=0)
+    return streams.to_end(streams.tumbling(rows), "append").select(ntz("start").alias("start"), "n").filter(F.col("start") < F.lit(until).cast("timestamp_ntz"))
+
+
+@query(LATE.format(kept="NOT (event_id % 10 = 0 AND ts < (SELECT min(ts) + INTERVAL 7 DAY FROM events)) AND"))
+def stream_late_dropped(spark, sf_dir):
+    # a tenth of a week's events comes after the watermark, an hour behind, has passed them: they are dropped
+    return _late(spark, sf_dir, "1 hour")
+
+
+@query(LATE.format(kept=""))
+def stream_late_kept(spark, sf_dir):
+    # the same with a watermark of 60 days: late events are counted
+    return _late(spark, sf_dir, "60 days")
+
+
+def _in_files(events: DataFrame, n: int) -> DataFrame:
+    """Events with the file, from 0, that they stand in: equal spans of time."""
+    first, last = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    return events.withColumn("file", F.least(F.lit(n - 1), F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(first)) * n / max(1, (last or 0) - (first or 0))).cast("int")))
+
+
+def _written_in_order(rows: DataFrame, name: str) -> str:
+    """A folder with one file for each value of `file`, written in turn, so that a stream reads them in turn."""
+    path = scratch_path(rows.sparkSession, name)
+    for (n,) in sorted(rows.select("file").distinct().collect()):  # as many as the query asks for
+        rows.filter(F.col("file") == n).drop("file").coalesce(1).write.mode("append").parquet(path)
+    return path
 
 
 @query("""SELECT p.event_id, v.event_id AS view_id FROM events p JOIN events v ON p.user_id = v.user_id AND v.ts BETWEEN p.ts - INTERVAL 1 DAY AND p.ts
@@ -400,7 +472,7 @@ def stream_custom_state(spark, sf_dir):
     return streams.latest(streams.running_totals(streams.stream(spark, sf_dir)), lambda all_rows: all_rows.groupBy("user_id").agg(F.max("n").alias("n"), F.max("last_at").alias("last_at")))
 
 
-# --- functions in Python: Arrow batches, never single rows
+# --- functions in Python, on Arrow batches
 
 
 @query("SELECT p_partkey, round(p_retailprice * 1.19, 4) AS gross FROM part")
@@ -423,18 +495,27 @@ def python_grouped(orders):
     return parts.groupBy("o_orderstatus").agg((F.max("most") - F.min("least")).alias("span"))
 
 
+@query("SELECT user_id, round(avg(value), 6) AS mean FROM events GROUP BY user_id")
+def python_aggregate(events):
+    # a pandas aggregate sees a whole group at once, so its groups must be bounded: here a user's events
+    @F.pandas_udf("double")
+    def mean(values: pd.Series) -> float:
+        return float(values.mean())
+
+    return events.groupBy("user_id").agg(F.round(mean("value"), 6).alias("mean"))
+
+
 @query("SELECT n_nationkey, CAST(i AS BIGINT) AS i FROM nation, unnest(range(0, n_regionkey + 1)) AS t(i)")
 def python_table_function(spark, nation):
-    from pyspark.sql.functions import udtf
-
-    @udtf(returnType="i: bigint")
+    @F.arrow_udtf(returnType="n_nationkey: int, i: bigint")
     class Upto:
-        def eval(self, n: int):
-            for i in range(n + 1):
-                yield (i,)
+        def eval(self, rows: pa.RecordBatch) -> Iterator[pa.Table]:
+            n = rows.column("n_regionkey").to_numpy() + 1
+            i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.table({"n_nationkey": pa.array(np.repeat(rows.column("n_nationkey").to_numpy(), n), pa.int32()), "i": pa.array(i, pa.int64())})
 
     spark.udtf.register("upto", Upto)
-    return spark.sql("SELECT n_nationkey, i FROM {nation}, LATERAL upto(n_regionkey)", nation=nation)
+    return spark.sql("SELECT n_nationkey, i FROM upto(TABLE(SELECT n_nationkey, n_regionkey FROM {nation}))", nation=nation)
 
 
 # --- sources and sinks: written in each format, read again
@@ -473,6 +554,20 @@ def source_csv(spark, customer):
     return _round_trip(spark, _customers(customer), "csv")
 
 
+@query("SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal FROM customer")
+def source_json_inferred(spark, customer):
+    path = scratch_path(spark, "json")
+    formats.write(_customers(customer), path, "json")
+    return formats.read(spark, path, "json", infer=1.0).select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
+
+
+@query("SELECT CAST(c_custkey AS INTEGER) AS c_custkey, c_name, c_nationkey, c_acctbal FROM customer")
+def source_csv_inferred(spark, customer):
+    path = scratch_path(spark, "csv")
+    formats.write(_customers(customer), path, "csv")
+    return formats.read(spark, path, "csv", infer=1.0)
+
+
 @query("SELECT n_name AS value FROM nation")
 def source_text(spark, nation):
     return _round_trip(spark, nation.select(F.col("n_name").alias("value")), "text")

@@ -1,4 +1,4 @@
-"""Reading and writing files by format; schemas are given, never inferred from data."""
+"""Reading and writing files by format; a schema is given, or inferred where that is asked for."""
 
 from __future__ import annotations
 
@@ -10,12 +10,18 @@ FORMATS = ("parquet", "orc", "json", "csv", "text")
 CSV = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
-def read(spark: SparkSession, path: str, fmt: str, schema: T.StructType | str | None = None, **options: str) -> DataFrame:
-    """A file or folder as a DataFrame.  csv and json need a schema, so that no pass over the data is spent on one."""
+def read(spark: SparkSession, path: str, fmt: str, schema: T.StructType | str | None = None, infer: float | None = None, **options: str) -> DataFrame:
+    """A file or folder as a DataFrame.
+
+    csv and json need a schema, so that no pass over the data is spent on one, or `infer`: the share of rows that the
+    schema is inferred from.  A value of another type than inferred is null, or for csv fails the query (ANSI).
+    """
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}")
     if fmt in ("csv", "json") and schema is None:
-        raise ValueError(f"{fmt} needs a schema")
+        if infer is None:
+            raise ValueError(f"{fmt} needs a schema, or a share of rows to infer it from")
+        options = {"inferSchema": "true", "samplingRatio": str(infer)} | options
     reader = spark.read.format(fmt).options(**(CSV if fmt == "csv" else {}) | options)
     return (reader.schema(schema) if schema is not None else reader).load(path)
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tarnwright.sources.scratch import scratch_path, table
@@ -21,17 +22,35 @@ def stream(spark: SparkSession, sf_dir: str, name: str = "events", watermark: st
     return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
 
 
-def to_end(df: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over all available input.  The results of complete and append mode are written to the shared folder."""
+def folder(spark: SparkSession, path: str, schema: T.StructType, watermark: str = "1 hour", files: int = 1) -> DataFrame:
+    """A folder of Parquet files as a stream, so many files a micro-batch, the oldest first; ts is made a zoned timestamp."""
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+
+
+def _drained(df: DataFrame, mode: str) -> DataFrame:
+    """Runs a stream over all available input; the rows of all batches, from the shared folder.
+
+    Each batch has a folder of its own, by its number, which it overwrites: a batch that is run again after a failure
+    leaves its rows once.
+    """
     spark = df.sparkSession
     path, schema = scratch_path(spark, "stream"), df.schema
+    query = df.writeStream.outputMode(mode).option("checkpointLocation", scratch_path(spark, "stream-state")).trigger(availableNow=True)
+    query.foreachBatch(lambda batch, number: keep(batch, number, path)).start().awaitTermination()
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
 
-    def sink(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
 
-    query = df.writeStream.outputMode(mode).option("checkpointLocation", scratch_path(spark, "stream-state")).trigger(availableNow=True).foreachBatch(sink).start()
-    query.awaitTermination()
-    return spark.read.schema(schema).parquet(path)
+def keep(batch: DataFrame, number: int, path: str) -> None:
+    batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+def to_end(df: DataFrame, mode: str) -> DataFrame:
+    """The result of a stream over all available input: in append mode the rows of all batches, in complete mode those of the last."""
+    rows = _drained(df, mode)
+    if mode == "complete":
+        rows = rows.filter(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+    return rows.drop("batch")
 
 
 def tumbling(events: DataFrame, width: str = "1 hour") -> DataFrame:
@@ -63,8 +82,4 @@ def running_totals(events: DataFrame) -> DataFrame:
 
 def latest(df: DataFrame, to: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Runs a stream in update mode; `to` reduces the rows of all batches to the last state of each key."""
-    spark = df.sparkSession
-    path, schema = scratch_path(spark, "stream"), df.schema
-    query = df.writeStream.outputMode("update").option("checkpointLocation", scratch_path(spark, "stream-state")).trigger(availableNow=True)
-    query.foreachBatch(lambda batch, _: batch.write.mode("append").parquet(path)).start().awaitTermination()
-    return to(spark.read.schema(schema).parquet(path))
+    return to(_drained(df, "update").drop("batch"))

@@ -34,6 +34,64 @@ def test_range_join_against_a_loop(spark):
     assert out == sorted((i, j) for i, x in points for j, a, b in ranges if None not in (x, a, b) and a <= x <= b)
 
 
+def test_range_join_of_very_wide_ranges_and_clashing_names(spark):
+    """A range a million times as wide as usual stands in two buckets, not in a million."""
+    points = [(i, float(i * 37 % 5_000)) for i in range(300)]
+    ranges = [(0, -1e6, 1e6), (1, 100.0, 100.0), (2, 99.5, 130.0), (3, 0.0, 5_000.0)] + [(10 + i, i * 17.0, i * 17.0 + 1) for i in range(100)]
+    p = spark.createDataFrame([(*x, 7, 8) for x in points], "id int, at double, level int, `a``b` int")
+    r = spark.createDataFrame([(*x, 9) for x in ranges], "rid int, low double, high double, bucket int")
+    out = joins.range_join(p, "at", r, "low", "high", 1.0)
+    assert out.columns == ["id", "at", "level", "a`b", "rid", "low", "high", "bucket"]
+    assert sorted((x.id, x.rid) for x in out.collect()) == sorted((i, j) for i, x in points for j, a, b in ranges if a <= x <= b)
+    assert joins.range_join(p, "at", r.filter("false"), "low", "high", 1.0).count() == 0
+
+
+def test_asof_join_keeps_columns_of_any_name(spark):
+    l = spark.createDataFrame([(1, at(3), "a", "b", "c", 5)], "k int, t timestamp_ntz, at string, `key` string, `slice` string, `x``y` int")  # noqa: E741
+    r = spark.createDataFrame([(1, at(1), 10, 11), (1, at(2), 20, 21), (1, at(4), 30, 31)], "k int, t timestamp_ntz, `v``w` int, own int")
+    (row,) = joins.asof_join(l, r, "k", "t", "t", ["v`w", "own"]).collect()
+    assert tuple(row) == (1, at(3), "a", "b", "c", 5, 20, 21)
+
+
+def test_percentile_in_slices_against_numpy(spark):
+    import numpy as np
+
+    from tarnwright.operators.aggregates import percentile
+
+    rng = np.random.default_rng(3)
+    rows = [("big", float(x)) for x in rng.normal(size=3_000)] + [("ties", float(x % 3)) for x in range(100)] + [("one", 5.0), ("none", None), (None, 1.0), (None, 2.0), ("big", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    for share in (0.0, 0.25, 0.5, 0.999, 1.0):
+        for slice_rows in (50, 1_000_000):
+            out = {r.g: r.percentile for r in percentile(df, ["g"], "v", share, slice_rows).collect()}
+            want = {g: float(np.quantile([v for h, v in rows if h == g and v is not None], share)) for g in ("big", "ties", "one", None)}
+            assert out.keys() == want.keys() and all(abs(out[g] - want[g]) < 1e-12 for g in want), (share, slice_rows)
+
+
+def test_a_batch_that_runs_again_leaves_its_rows_once(spark, tmp_path):
+    from tarnwright.streaming import events as streams
+
+    for _ in range(2):
+        streams.keep(spark.range(5), 0, str(tmp_path / "s"))
+    streams.keep(spark.range(3), 1, str(tmp_path / "s"))
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 8
+
+
+def test_several_batches_and_repeated_events(spark, tmp_path):
+    from tarnwright.streaming import events as streams
+
+    for n, ids in enumerate([[1, 2, 2], [2, 3], [1, 4, 4]]):
+        rows = spark.createDataFrame([(i, at(i), 1) for i in ids], "event_id long, ts timestamp_ntz, user_id long")
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    events = streams.folder(spark, str(tmp_path / "in"), rows.schema, watermark="10 days")
+    kept = streams.to_end(events.dropDuplicatesWithinWatermark(["event_id"]).select("event_id"), "append")
+    assert sorted(r.event_id for r in kept.collect()) == [1, 2, 3, 4]
+    counts = streams.to_end(streams.tumbling(events), "complete")
+    assert {r.start: r.n for r in counts.collect()} and counts.agg(F.sum("n")).first()[0] == 8
+    state = streams.latest(streams.running_totals(events), lambda r: r.groupBy("user_id").agg(F.max("n").alias("n")))
+    assert [tuple(r) for r in state.collect()] == [(1, 8)]
+
+
 def test_top_per_group_and_sessions(spark):
     df = spark.createDataFrame([(1, 5), (1, 7), (1, 6), (2, 1), (None, 3)], "g int, v int")
     assert sorted((str(r.g), r.v) for r in windows.top_per_group(df, ["g"], [F.desc("v")], 2).collect()) == [("1", 6), ("1", 7), ("2", 1), ("None", 3)]
