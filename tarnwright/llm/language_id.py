@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwright.llm.shared import hinted, lean
+from tarnwright.llm.shared import hinted, lean, whole
 
 #: n-grams in a profile.
 PROFILE = 400
@@ -55,7 +55,7 @@ def profiles(labelled: DataFrame, sample: int = SAMPLE, most: int = PROFILE) ->
 
     About `sample` rows of each language are read, those whose hash of doc_id is lowest; fewer if there are fewer.
     """
-    known = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
+    known = labelled.select("doc_id", "text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
     sizes = sizes.select("lang", (F.lit(float(sample)) / F.col("rows")).alias("share")).collect()
     if not sizes:
@@ -105,7 +105,8 @@ def identify(docs: DataFrame, learnt: dict[str, list[int]] | None = None) -> Dat
     """One row for each row of docs: doc_id, held_out, lang_pred, score.
 
     Profiles are learnt from rows that aren't held out, unless given.  A text that is null or has no letter is `und`
-    with score 0, and so is every text if no language could be learnt.  Repeated rows repeat; other columns are ignored.
+    with score 0, and so is every text if no language could be learnt.  Of languages equally near the first by name counts.
+    Repeated rows repeat; other columns are ignored; an empty table gives an empty result.
     """
     docs = docs.select("doc_id", "text", *[c for c in ("lang",) if learnt is None])
     if learnt is None:
@@ -124,7 +125,12 @@ def identify(docs: DataFrame, learnt: dict[str, list[int]] | None = None) -> Dat
 
 
 def with_language(docs: DataFrame, learnt: dict[str, list[int]] | None = None, least: float = 0.0) -> DataFrame:
-    """The rows of docs, all columns as they are, whose language is known with a score above `least`."""
+    """The rows of docs, with all their columns, whatever these are named, whose language is known with a score above `least`.
+
+    A text that is null, empty or has no letter is of no language and goes, and so does every row if none could be
+    learnt.  Of languages equally near the first by name counts.  Repeated rows stay or go together; very long texts are
+    read whole; an empty table gives an empty result.
+    """
     learnt = profiles(docs.filter(~held_out())) if learnt is None else learnt
     ranks = docs.sparkSession.sparkContext.broadcast(Ranks(learnt))
     at = docs.columns.index("text")
@@ -132,7 +138,8 @@ def with_language(docs: DataFrame, learnt: dict[str, list[int]] | None = None, l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = ranks.value
         for batch in batches:
-            found = [known.predict(t.as_py()) for t in batch.column(at)]
+            found = [known.predict(t.as_py()) for t in batch.column("row").field(at)]
             yield batch.filter(pa.array([lang != UNKNOWN and score > least for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(lean(run), docs.schema)
+    rows = whole(docs)
+    return rows.mapInArrow(lean(run), rows.schema).select("row.*")

@@ -1,5 +1,7 @@
 import zlib
 
+from pyspark.sql import functions as F
+
 from tarnwright.llm import language_id as op
 
 WORDS = {"en": "the house and the river with other things that were there when they thought", "de": "das Haus und der Fluss mit anderen Dingen die dort waren als sie nicht dachten", "fr": "la maison et la rivière avec les autres choses qui étaient là quand ils pensaient"}
@@ -43,3 +45,22 @@ def test_distance_against_a_plain_loop():
         d = {k: sum(abs(i - p.index(g)) if g in p else op.PROFILE for i, g in enumerate(own)) for k, p in learnt.items()}
         best = min(sorted(d), key=d.get)
         assert ranks.predict(text) == (best, 1 - d[best] / (op.PROFILE * len(own)))
+
+
+def test_accuracy_on_held_out_documents(spark):
+    """Profiles come from three quarters of the labelled documents; the others are predicted, without a look at lang."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    found = op.identify(docs).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id")
+    n, right = found.agg(F.count("*"), F.count_if(F.col("lang_pred") == F.col("lang"))).first()
+    assert n > 2_000 and right >= 0.99 * n
+
+
+def test_ties_clashing_names_and_long_texts(spark):
+    learnt = {"bb": op.ranked("same words in both").tolist(), "aa": op.ranked("same words in both").tolist()}
+    assert op.Ranks(learnt).predict("same words in both")[0] == "aa"
+    rows = [(i, "der und die das" if i % 2 else "the of and to", "de" if i % 2 else "en", 1, 2.0, "x") for i in range(40)]
+    rows += [(100, "the of and to " * 200_000, "en", 1, 2.0, "x"), (101, None, "en", 1, 2.0, "x"), (102, "123", "en", 1, 2.0, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, share int, rows double, gram string")
+    kept = op.with_language(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {*range(40), 100}
+    assert op.with_language(docs.filter("false")).count() == 0

@@ -1,15 +1,18 @@
 """The pipeline's stages against plain versions of them, on the smallest tables and on hard rows."""
 
+import pathlib
 import zlib
 
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_exact_dedup import norm
 from test_ngram_join import brute as near_brute
 from test_packing import library_ids
 
 from tarnwright.llm import language_id, quality
+from tarnwright.sources.scratch import shared_dir
 
 SF = "/root/testdata/sf0.001"
 
@@ -89,3 +92,24 @@ def test_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_clashing_names_in_every_stage(spark):
+    """Documents with columns of the names that operators use for their own."""
+    names = ("row", "norm", "short", "fingerprint", "gone", "key", "placed", "log_weight", "good", "share", "n", "component_id", "a`b", "a.b")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    docs = docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns
+        rows = kept.collect()
+        assert 0 < len(rows) <= 60 and all(tuple(r)[-len(names) :] == tuple(range(len(names))) for r in rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).select("doc_id").distinct().count() == 60
+
+
+def test_a_run_leaves_only_what_its_last_stage_reads(spark):
+    shared = pathlib.Path(shared_dir(spark).removeprefix("file://").removeprefix("file:"))
+    before = {p.name for p in shared.iterdir()}
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    left = {p.name.rpartition("-")[0] for p in shared.iterdir() if p.name not in before and not p.name.startswith(".")}
+    assert {x for x in left if x.startswith(("stage", "within"))} == {"stage-near"}
