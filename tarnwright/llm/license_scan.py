@@ -232,6 +232,10 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_sentences, n_licenses, licenses (distinct names, sorted, joined by commas), first_start (null if none)."""
+    """doc_id, n_sentences, n_licenses, licenses (distinct names, sorted, joined by commas), first_start (null if none).
+
+    One row for each row of docs, as of scan(): no licences, an empty string and a null start for a null or empty text.
+    Where several patterns know a sentence the first names it, and where several rules fit a place the first wins.
+    """
     names = F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["license"])))
     return scan(docs).select("doc_id", "n_sentences", F.size("licenses").cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"), F.array_min(F.transform("licenses", lambda x: x["start"])).alias("first_start"))

@@ -97,3 +97,50 @@ def test_scan(spark):
     out = sorted((str(r.doc_id), r.n_sentences, r.n_licenses, r.licenses) for r in op.digest(docs).collect())
     assert out == sorted([("1", 0, 0, ""), ("2", 0, 0, ""), ("3", 4, 1, "MIT"), ("3", 4, 1, "MIT"), ("None", 1, 1, "MIT"), ("5", 5, 2, "CC-BY-NC-4.0,MIT"), ("6", 0, 0, "")])
     assert op.scan(docs.filter("false")).count() == 0
+
+
+def plain(text):
+    """Licences without any shortcut: every run of lines from every place against every pattern, the longest first."""
+    atoms = [(m.start(), m.end()) for m in op._ATOM.finditer(text or "") if m.end() > m.start()]
+    found, i = [], 0
+    while i < len(atoms):
+        start, tag = atoms[i][0], op._identifier(text, atoms[i][0])
+        if tag:
+            found.append((f"spdx {tag[0]}", start, tag[1]))
+            i = next((j for j in range(i, len(atoms)) if atoms[j][0] >= tag[1]), len(atoms))
+            continue
+        ends = r"[.!?]" if op._RUNS_ON.match(op.normalised(text[start:])) else r"[.!?;:]|\n\n"
+        last = i
+        while last + 1 < len(atoms) and not re.search(ends, text[atoms[last][1] : atoms[last + 1][0]]):
+            last += 1
+        for j in range(last, i - 1, -1):
+            sentence = op.normalised(text[start : atoms[j][1]])
+            name = next((n for n, p in op.SENTENCES if re.fullmatch(p, sentence)), None)
+            if name:
+                found.append((name, start, atoms[j][1]))
+                i = j
+                break
+        i += 1
+    out, i = [], 0
+    while i < len(found):
+        if found[i][0].startswith("spdx "):
+            out.append((found[i][0][5:], *found[i][1:]))
+            i += 1
+            continue
+        fits = [(n, seq) for n, seq in op.RULES if [f[0] for f in found[i : i + len(seq)]] == list(seq)]
+        name, seq = fits[0] if fits else (op.UNKNOWN, (None,))
+        out.append((name, found[i][1], found[i + len(seq) - 1][2]))
+        i += len(seq)
+    return len(found), out
+
+
+def test_documents_match_a_plain_scan(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    mixed = [MIT, *LINES, "See: the software; is " * 30, "Copyright 2020 The Authors. All rights reserved.", "SPDX-License-Identifier: MIT OR Apache-2.0\nx"]
+    made = [(10_000 + i, "\n".join([a, b]) + (" end." if i % 2 else "")) for i, (a, b) in enumerate((a, b) for a in mixed for b in mixed)]
+    docs = docs.unionByName(spark.createDataFrame(made, docs.schema))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    out = {r.doc_id: (r.n_sentences, [tuple(x) for x in r.licenses]) for r in op.scan(docs).collect()}
+    assert out.keys() == texts.keys() and sum(bool(x) for _, x in out.values()) > 100
+    for d, t in texts.items():
+        assert out[d] == plain(t), d
