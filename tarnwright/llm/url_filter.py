@@ -71,8 +71,8 @@ def propagated(seeds: DataFrame, links: DataFrame, residual: float = RESIDUAL) -
     edges = cut(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.lit(DAMPING) * F.col("n") / F.col("of")).alias("weight")))
     own = seeds.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "value"))
     total = added = cut(own.filter("value > 0").select("kind", "host", "value"))
-    n, rounds = added.count(), 0
-    while n and not edges.isEmpty():
+    n, rounds = 0 if edges.isEmpty() else added.count(), 0
+    while n:
         sent = added.withColumnRenamed("host", "src")
         sent = edges.join(hinted(sent, n), ["kind", "src"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
         added = cut(sent)
