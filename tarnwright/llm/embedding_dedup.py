@@ -1,10 +1,11 @@
 """Near-duplicate vectors by a forest of random-projection trees.
 
 Each tree splits space by random directions at medians of a bounded sample, level by level; a vector close to a split
-goes down both sides (spill).  Vectors of one label that share a leaf are compared, block by block, in double precision.
-A pair that shares several leaves counts in the first of them only, which both vectors' lists of leaves tell, so links
-are counted without a row for each pair; of its links a block passes on a spanning forest, and components are united
-from these.
+goes down both sides (spill).  Below the levels that the sample supports, splits go on: all nodes below one that was
+fitted share a split for each level, at the mean of its sample, so a tree is as deep as its vectors are many.  Vectors of
+one label that share a leaf are compared, block by block, in double precision.  A pair that shares several leaves counts
+in the first of them only, which both vectors' lists of leaves tell, so links are counted without a row for each pair; of
+its links a block passes on a spanning forest, and components are united from these.
 
 Equal vectors of a label are compared once and counted as often as they stand.  A leaf too large for one block is dealt
 out as pairs of blocks.
@@ -19,16 +20,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwright.llm.components import components
-from tarnwright.llm.shared import hinted, written
+from tarnwright.llm.shared import hinted, lean, written
 
 THRESHOLD = 0.93
 #: Trees at least, unless all of a label is compared, and at most.
@@ -37,32 +37,38 @@ TREES, MOST_TREES = 8, 64
 RECALL, PROBES = 0.999, 1000
 #: Cost of a row in a leaf, in comparisons of two vectors.
 ROW_COST = 2000
-#: Vectors of a label that a leaf should hold, spill aside.
+#: Vectors of a label that a leaf should hold, spill aside; labels with no more are compared in full.
 LEAF = 256
-#: Vectors that the splits are fitted on, about; they bound the depth to a few vectors a leaf.
-SAMPLE = 10_000
+#: Vectors that the splits are fitted on, about, and those of a node below which none is fitted.
+SAMPLE, FITTED = 10_000, 16
 #: Half width of the spill at a split, in standard deviations of the sample's projections.
 SPILL = 0.08
-#: Vectors in a block; larger leaves are compared as pairs of blocks.
-BLOCK = 1024
+#: Numbers in a block of vectors, and vectors at most; larger leaves are compared as pairs of blocks.
+BLOCK_VALUES, BLOCK = 1 << 18, 4096
+#: Rows that are compared with all of a block, or two, at a time.
+STRIP = 256
 #: Codes of a tree's leaves start at its number times this.
-STRIDE = 1 << 24
+STRIDE = 1 << 40
 
 
 class Forest:
-    """directions (tree, level), split points and spill widths by node; nodes are numbered as in a heap from 1."""
+    """directions (tree, level), and split points and spill widths by node; nodes are numbered as in a heap from 1.
+
+    Nodes are fitted down to `fitted` levels; from there to `depth`, a level's splits are those of the fitted node above.
+    """
 
     def __init__(self, sample: np.ndarray, depth: int, trees: int = TREES, seed: int = 17):
         rng = np.random.default_rng(seed)
         dims = sample.shape[1]
         self.depth = depth
+        self.fitted = min(depth, max(0, int(math.log2(max(1, len(sample) / FITTED)))))
         self.directions = rng.standard_normal((trees, max(depth, 1), dims))
         self.directions /= np.linalg.norm(self.directions, axis=2, keepdims=True)
-        self.at = np.zeros((trees, 1 << depth))
-        self.spill = np.zeros((trees, 1 << depth))
+        self.at, self.spill = (np.zeros((trees, 1 << self.fitted)) for _ in range(2))
+        self.deep_at, self.deep_spill = (np.zeros((trees, depth - self.fitted, 2 << self.fitted)) for _ in range(2))
         for t in range(trees):
             nodes = {1: np.arange(len(sample))}
-            for level in range(depth):
+            for level in range(self.fitted):
                 below = {}
                 for node, rows in nodes.items():
                     p = sample[rows] @ self.directions[t, level]
@@ -70,6 +76,16 @@ class Forest:
                         self.at[t, node], self.spill[t, node] = np.median(p), SPILL * p.std()
                     below[2 * node], below[2 * node + 1] = rows[p <= self.at[t, node]], rows[p > self.at[t, node]]
                 nodes = below
+            for node, rows in nodes.items():
+                p = sample[rows] @ self.directions[t, self.fitted : depth].T
+                if len(p):
+                    self.deep_at[t, :, node], self.deep_spill[t, :, node] = p.mean(axis=0), SPILL * p.std(axis=0)
+
+    def _split(self, t: int, level: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if level < self.fitted:
+            return self.at[t, node], self.spill[t, node]
+        above = node >> (level - self.fitted)
+        return self.deep_at[t, level - self.fitted, above], self.deep_spill[t, level - self.fitted, above]
 
     def leaves(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers and leaf codes: each row at least once for each tree."""
@@ -78,14 +94,13 @@ class Forest:
             rows, node = np.arange(len(unit)), np.ones(len(unit), np.int64)
             for level in range(self.depth):
                 p = unit[rows] @ self.directions[t, level]
-                at, spill = self.at[t, node], self.spill[t, node]
+                at, spill = self._split(t, level, node)
                 left, right = p <= at + spill, p > at - spill
                 rows, node = np.concatenate([rows[left], rows[right]]), np.concatenate([2 * node[left], 2 * node[right] + 1])
             rows_out.append(rows)
             codes.append(t * STRIDE + node)
         return np.concatenate(rows_out), np.concatenate(codes)
 
-
     def together(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """(level, tree, pair): whether the vectors of a pair share a node of that level."""
         out = np.ones((self.depth + 1, len(self.directions), len(a)), bool)
@@ -93,7 +108,7 @@ class Forest:
             rows, node = np.arange(len(a)), np.ones(len(a), np.int64)
             for level in range(self.depth):
                 p, q = a[rows] @ self.directions[t, level], b[rows] @ self.directions[t, level]
-                at, spill = self.at[t, node], self.spill[t, node]
+                at, spill = self._split(t, level, node)
                 left, right = np.maximum(p, q) <= at + spill, np.minimum(p, q) > at - spill
                 rows, node = np.concatenate([rows[left], rows[right]]), np.concatenate([2 * node[left], 2 * node[right] + 1])
                 out[level + 1, t] = False
@@ -102,9 +117,15 @@ class Forest:
 
     def cut(self, depth: int, trees: int) -> Forest:
         """The first trees down to a depth."""
+        if depth < self.fitted:
+            # a node of the level at which the trees now end is never split
+            self.fitted = depth
+            self.at, self.spill = self.at[:, : 1 << depth], self.spill[:, : 1 << depth]
+            self.deep_at = self.deep_spill = np.zeros((trees, 0, 0))
         self.depth = depth
         self.directions = self.directions[:trees, : max(depth, 1)]
-        self.at, self.spill = self.at[:trees, : 1 << depth], self.spill[:trees, : 1 << depth]
+        self.at, self.spill = self.at[:trees], self.spill[:trees]
+        self.deep_at, self.deep_spill = (x[:trees, : depth - self.fitted] for x in (self.deep_at, self.deep_spill))
         return self
 
 
@@ -150,58 +171,94 @@ def forest(sample: np.ndarray, labels: np.ndarray, depth: int, largest: int, thr
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-
-
-def _doubles(column: pd.Series) -> np.ndarray:
-    return np.array(column.tolist(), np.float64)
-
-
-def _linked(vectors: np.ndarray, block: np.ndarray, threshold: float) -> np.ndarray:
-    """Which pairs are links: of two blocks only those across."""
-    u = unit(vectors)
-    out = u @ u.T >= threshold
-    np.fill_diagonal(out, False)
-    if block.any() and not block.all():
-        out &= block[:, None] != block[None, :]
+    """Vectors of length 1; none is zero, and none is so large or small that its square isn't a number."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
+def _units(column: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = flat.flatten()
+    return unit(flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat) // dims, dims))
+
+
+def _met_before(leaves: list[np.ndarray], code: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs of rows (a, b) share a leaf of a smaller code."""
+    out = np.zeros(len(a), bool)
+    flat = np.concatenate(leaves)
+    owner = np.repeat(np.arange(len(leaves)), [len(x) for x in leaves])
+    for t in range(code // STRIDE + 1):
+        mine = (flat // STRIDE == t) & (flat < code)
+        if not mine.any():
+            continue
+        rows, codes = owner[mine], flat[mine]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        table = np.full((len(leaves), place.max() + 1), -1, np.int64)
+        table[rows, place] = codes
+        left = ~out
+        for i in range(table.shape[1]):
+            for j in range(table.shape[1]):
+                x = table[a[left], i]
+                out[np.flatnonzero(left)] |= (x == table[b[left], j]) & (x >= 0)
     return out
 
 
 def compare(threshold: float):
-    """Links within a leaf's block, or across two: each vector's number of first links, and an edge to its part's first vector."""
-
-    def run(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) < 2:
-            return pd.DataFrame({"cid": [], "links": [], "to": []}).astype("int64")
-        code, one, two = key[1], key[2], key[3]
-        cid, times = rows["cid"].to_numpy(np.int64), rows["times"].to_numpy(np.int64)
-        linked = _linked(_doubles(rows["embedding"]), (rows["block"].to_numpy() == two) & (one != two), threshold)
-        touched = linked.any(axis=1)
-        index = np.flatnonzero(touched)
-        linked = linked[np.ix_(index, index)]
-        cid, times = cid[index], times[index]
-        earlier = [[c for c in x if c < code] for x in rows["leaves"].iloc[index]]
-        numbers = {c: i for i, c in enumerate(sorted({c for x in earlier for c in x}))}
-        member = np.zeros((len(index), len(numbers)), np.float32)
-        for i, x in enumerate(earlier):
-            member[i, [numbers[c] for c in x]] = 1
-        first = linked & ~(member @ member.T > 0) if numbers else linked
-        label = np.arange(len(index))
-        while len(label):
-            least = np.minimum(label, np.where(linked, label[None, :], len(label)).min(axis=1))
-            least = least[least]
-            if (least == label).all():
+    """Links within a leaf's block, or across two: each vector's number of first links, and an edge to its part's first vector.
+
+    Strips of rows are held against all others, so memory is bounded by a block's rows times a strip's.
+    """
+    schema = pa.schema([("cid", pa.int64()), ("links", pa.int64()), ("to", pa.int64())])
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        if table.num_rows < 2:
+            return schema.empty_table()
+        dims, code, one, two = (key[i].as_py() for i in (1, 2, 3, 4))
+        u = _units(table["embedding"], dims)
+        cid, times = table["cid"].to_numpy(), table["times"].to_numpy()
+        second = (table["block"].to_numpy() == two) & (one != two)
+
+        def linked(first: int) -> np.ndarray:
+            out = u[first : first + STRIP] @ u.T >= threshold
+            out[np.arange(len(out)), first + np.arange(len(out))] = False
+            if one != two:
+                out &= second[first : first + STRIP, None] != second[None, :]
+            return out
+
+        links, label, touched = np.zeros(len(u), np.int64), np.arange(len(u)), np.zeros(len(u), bool)
+        for first in range(0, len(u), STRIP):
+            a, b = np.nonzero(linked(first))
+            if not len(a):
+                continue
+            touched[a + first] = touched[b] = True
+            # a part's first vector: each row takes the least of its neighbours' so far
+            np.minimum.at(label, a + first, label[b])
+            np.minimum.at(label, b, label[a + first])
+            if code > 1:  # there are other leaves
+                some, at = np.unique(np.concatenate([a + first, b]), return_inverse=True)
+                met = _met_before([np.asarray(x) for x in table["leaves"].take(some).to_pylist()], code, at[: len(a)], at[len(a) :])
+                a, b = a[~met], b[~met]
+            links += np.bincount(a + first, weights=times[b], minlength=len(u)).astype(np.int64)
+        while True:  # until no link joins two labels
+            before = label.copy()
+            label = label[label]
+            for first in range(0, len(u), STRIP):
+                if touched[first : first + STRIP].any():
+                    a, b = np.nonzero(linked(first))
+                    np.minimum.at(label, label[a + first], label[b])
+                    np.minimum.at(label, a + first, label[b])
+            if (label == before).all():
                 break
-            label = least
-        return pd.DataFrame({"cid": cid, "links": first @ times, "to": cid[label]})
+        i = np.flatnonzero(touched)
+        return pa.table([pa.array(cid[i]), pa.array(links[i]), pa.array(cid[label[i]])], schema=schema)
 
     return run
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """Rows that can link: a label, and a vector with no null or non-finite component whose length isn't zero."""
+def usable(vectors: DataFrame) -> Column:
+    """Whether a row can link: it has a label, and a vector with no null or non-finite component whose length isn't zero."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.filter(F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)).filter(F.coalesce(finite, F.lit(False)) & F.exists("embedding", lambda x: x != 0))
+    return F.col("label").isNotNull() & F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = TREES) -> DataFrame:
@@ -212,54 +269,58 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, trees: int
     all rows with the smallest vec_id of a component are kept.  A null vec_id is never a component's id unless there is
     no other.  Other columns are ignored; an empty table gives an empty result.
     """
-    own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    good = usable(own)
-    classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("times"))
-    # as wide as it came: floats travel as floats and are compared as doubles
-    vector = F.col("embedding").cast(vectors.schema["embedding"].dataType).alias("embedding")
-    classes = written(classes.select(F.monotonically_increasing_id().alias("cid"), F.col("label").cast("string").alias("label"), F.size("embedding").alias("dims"), vector, "least", "times"), "classes")
+    # equal vectors have equal hashes, of 128 bits, which stand for them in all joins
+    k1, k2 = (F.when(usable(vectors), F.xxhash64(F.lit(seed), "embedding")).alias(f"k{seed}") for seed in (1, 2))
+    own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.size("embedding").alias("dims"), k1, k2, "embedding")
+    good = own.filter("k1 IS NOT NULL")
+    classes = good.groupBy("label", "dims", "k1", "k2").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("times"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("cid"), "*"), "classes")
     total = classes.count()
-    largest = classes.groupBy("label", "dims").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    dims = [r.dims for r in classes.select("dims").distinct().limit(64).collect()]
-    draw = F.pmod(F.xxhash64("cid", F.lit("forest")), F.lit(1_000_000)) / 1e6
-    depth = max(0, min(math.ceil(math.log2(max(largest, 1) / LEAF)), int(math.log2(SAMPLE / 16)), 20))
-    sample = classes.filter(draw < F.lit(SAMPLE / max(total, 1) if depth else 0.0)).select("dims", "label", "embedding").toArrow()
-    forests = {}
-    for d in dims:
-        rows = sample.filter(pc.equal(sample["dims"], d))
-        of = rows["embedding"].combine_chunks()
-        points = unit(of.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(of), d))
-        forests[d] = forest(points, np.array(rows["label"].to_pylist(), object).astype(str), depth, largest, threshold, trees)
+    sizes = classes.groupBy("label", "dims").count().groupBy("dims").agg(F.max("count").alias("largest"), F.sum("count").alias("all")).filter(F.col("largest") > LEAF)
+    forests: dict[int, Forest] = {}
+    for d, largest, every in sizes.collect():  # a row for each length of vectors of which a label has many
+        draw = F.pmod(F.xxhash64("k1", F.lit("forest")), F.lit(1_000_000_000)) / 1e9
+        rows = good.filter((F.col("dims") == d) & (draw < SAMPLE / every)).dropDuplicates(["label", "k1", "k2"]).select("label", "embedding").toArrow()
+        if rows.num_rows:
+            forests[d] = forest(_units(rows["embedding"], d), np.array(rows["label"].to_pylist(), object).astype(str), math.ceil(math.log2(largest / LEAF)), largest, threshold, trees)
     sent = vectors.sparkSession.sparkContext.broadcast(forests)
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaves: list = [None] * len(batch)
-            for d, rows in batch.groupby("dims").indices.items():
-                trees_of = sent.value.get(d) or Forest(np.zeros((0, d)), 0, 1)
-                at, codes = trees_of.leaves(unit(_doubles(batch["embedding"].iloc[rows])))
-                order = np.argsort(at, kind="stable")
-                for i, x in zip(rows, np.split(codes[order], np.cumsum(np.bincount(at, minlength=len(rows)))[:-1]), strict=True):
-                    leaves[i] = np.sort(x)
-            yield pd.DataFrame({"cid": batch["cid"], "leaves": leaves})
-
-    leaves = written(classes.select("cid", "dims", "embedding").mapInPandas(place, "cid long, leaves array<int>"), "leaves")
-    rows = classes.join(leaves, "cid").withColumn("code", F.explode("leaves"))
-    sizes = classes.select("cid", "label", "dims").join(leaves, "cid").select("label", "dims", F.explode("leaves").alias("code")).groupBy("label", "dims", "code").count()
-    large = written(sizes.filter(F.col("count") > BLOCK).select("label", "dims", "code", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "large")
-    rows = rows.join(hinted(large, large.count()), ["label", "dims", "code"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+            leaves: list = [np.ones(1, np.int64)] * batch.num_rows
+            of = batch.column("dims").to_numpy()
+            for d, known in sent.value.items():
+                rows = np.flatnonzero(of == d)
+                if len(rows) and known.depth:
+                    at, codes = known.leaves(_units(batch.column("embedding").take(pa.array(rows)), d))
+                    order = np.lexsort((codes, at))
+                    for i, x in zip(rows, np.split(codes[order], np.cumsum(np.bincount(at, minlength=len(rows)))[:-1]), strict=True):
+                        leaves[i] = x
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.list_(pa.int64()))], [*batch.schema.names, "leaves"])
+
+    # one row of each class brings its vector; where the classes are few no vector is shuffled for it
+    keys = classes.select("cid", "times", *[F.col(c).alias(f"{c}_c") for c in ("label", "k1", "k2", "least")])
+    same = (F.col("label") == F.col("label_c")) & (F.col("k1") == F.col("k1_c")) & (F.col("k2") == F.col("k2_c")) & F.col("vec_id").eqNullSafe(F.col("least_c"))
+    found = good.join(hinted(keys, total), same).select("cid", "times", "label", "dims", "embedding")
+    rows = written(found.mapInArrow(lean(place), f"cid long, times long, label string, dims int, embedding {found.schema['embedding'].dataType.simpleString()}, leaves array<long>"), "placed")
+    if rows.count() > total:  # rows that repeat a vec_id and its vector
+        rows = written(rows.dropDuplicates(["cid"]), "placed")
+    block = F.least(F.lit(BLOCK), F.greatest(F.lit(2), F.floor(F.lit(BLOCK_VALUES) / F.col("dims"))))
+    sizes = rows.select("label", "dims", F.explode("leaves").alias("code")).groupBy("label", "dims", "code").count()
+    large = written(sizes.filter(F.col("count") > block).select("label", "dims", "code", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "large")
+    rows = rows.withColumn("code", F.explode("leaves")).join(hinted(large, large.count()), ["label", "dims", "code"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("cid", F.lit("block")), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
-    rows = rows.withColumn("group", F.concat_ws("/", "dims", "label"))
-    found = rows.groupBy("group", "code", "one", "two").applyInPandas(compare(threshold), "cid long, links long, to long")
+    rows = rows.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other")).drop("blocks", "other")
+    found = rows.groupBy("label", "dims", "code", "one", "two").applyInArrow(compare(threshold), "cid long, links long, to long")
     found = written(found.groupBy("cid", "to").agg(F.sum("links").alias("links")), "links")
     parts = components(found.select(F.col("cid").alias("a"), F.col("to").alias("b")))
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    known = classes.join(links, "cid", "left").join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "label", "embedding", "least", "times", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "cid").alias("root"))
-    known = written(known, "known")
-    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = known.join(least, "root").select("label", F.col("embedding").cast("array<double>").alias("embedding"), (F.col("links") + F.col("times") - 1).alias("n_links"), "component_id")
-    # rows meet their class by its vector; a class is one row, so only a row's own partition can be large
-    out = own.withColumn("__label", F.when(F.col("label").isNotNull(), F.col("label").cast("string"))).join(hinted(by_class.withColumnRenamed("label", "__label"), total * 64), ["__label", "embedding"], "left")
+    known = classes.join(links, "cid", "left").join(parts.withColumnRenamed("node", "cid"), "cid", "left")
+    known = written(known.select("label", "k1", "k2", "least", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), "root"), "known")
+    least = known.filter("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("component_id"))
+    least = written(least, "least")
+    by_class = known.join(hinted(least, least.count()), "root", "left").select("label", "k1", "k2", "n_links", F.coalesce("component_id", "least").alias("component_id"))
+    # rows meet their class by its hashes; a class is one row, so only a row's own partition can be large
+    out = own.drop("embedding", "dims").join(hinted(by_class, total), ["label", "k1", "k2"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, component.isNull()).alias("kept"))

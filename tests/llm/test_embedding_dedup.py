@@ -44,6 +44,17 @@ def test_matches_brute_force(spark, monkeypatch, leaf, block):
     assert all(r.kept == (r.vec_id == r.component_id) for r in out if r.vec_id is not None)
 
 
+def test_many_lengths_and_extreme_numbers(spark):
+    rng = np.random.default_rng(6)
+    rows = [(1000 * d + i, (v + rng.standard_normal(d) * 0.01 * (i % 3)).tolist(), d % 2) for d in range(2, 90) for v in [rng.standard_normal(d)] for i in range(4)]
+    rows += [(1, [1e200, 2e200], 0), (2, [1e-200, 2e-200], 0), (3, [1.0, 2.0], 0), (4, [3e307, 1e307], 0)]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<double>, label int, cid int, `k1` string")
+    out = {r.vec_id: (r.n_links, r.component_id) for r in op.near_duplicates(df).collect()}
+    scaled = [(i, (np.array(v) / np.abs(v).max()).tolist(), lab) for i, v, lab in rows]
+    assert sorted((str(i), *map(lambda x: x, (n, str(c)))) for i, (n, c) in out.items()) == brute(scaled)
+    assert out[1][0] >= 2 and out[1][1] == 1
+
+
 def test_empty(spark):
     assert op.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 

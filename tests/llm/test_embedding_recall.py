@@ -1,6 +1,7 @@
 """Recall of near-duplicate vectors where a label is dense."""
 
 import numpy as np
+import pytest
 
 from tarnwright.llm import embedding_dedup
 
@@ -37,3 +38,25 @@ def test_pairs_of_a_dense_label_link(spark, monkeypatch):
     out = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).collect()}
     assert len(out) == len(rows) and all(out[i] <= n for i, n in enumerate(links))
     assert sum(out[i] for i in range(len(every))) >= 0.995 * links.sum() > 0
+
+
+@pytest.mark.parametrize("depth", [5, 7, 9, 12, 16])
+def test_recall_by_depth(depth):
+    """Trees of each depth, as many as forest() may take; from depth 10 levels lie below those that 10,000 vectors fit."""
+    even, hot, partner = dense(10_000, 800)
+    sample = np.concatenate([even, hot])
+    trees = embedding_dedup.Forest(sample, depth, embedding_dedup.MOST_TREES)
+    assert trees.fitted == min(depth, 9)
+    met = trees.together(hot[:800], partner)[-1].any(axis=0).mean()
+    rows, codes = trees.leaves(hot)
+    largest = np.unique(codes, return_counts=True)[1].max()
+    print(f"depth {depth}: {met:.4f}, of {len(hot)} the largest leaf has {largest}")
+    assert met >= 0.98 and largest < len(hot) * 0.75**depth + 40
+
+
+def test_depth_follows_the_largest_label():
+    even, hot, _ = dense(10_000, 100)
+    labels = np.array(["even"] * len(even) + ["hot"] * len(hot))
+    found = embedding_dedup.forest(np.concatenate([even, hot]), labels, 20, 256 << 20, embedding_dedup.THRESHOLD)
+    print(f"268 million vectors: depth {found.depth}, {len(found.directions)} trees")
+    assert found.depth > 9
