@@ -33,7 +33,10 @@ from tarnwright.llm.url_filter import host_of
 SUPPORT = 0.6
 #: Pages from which a host has a template of its own.
 MIN_PAGES = 4
-ALL = "*"
+#: Contents that stand more than once, of two longs each, up to which they are broadcast; counted before.
+COPIES = 2_000_000
+#: The name of all hosts together, which no host can have.
+ALL = "/"
 
 # The element names of HTML.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -45,10 +48,13 @@ BLOCKS_END_P = {"address", "article", "aside", "blockquote", "div", "dl", "field
 APART = {"nav", "aside", "footer", "header", "form", "menu", "button", "select", "dialog"} | HIDDEN
 APART_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar"}
 APART_WORD = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "popup", "promo", "related", "replies", "respond", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar"}
+#: Words that say where or how an element stands; with one of APART_WORD they name an element apart, any other word doesn't.
+PLACE_WORD = {"area", "bar", "block", "bottom", "box", "btn", "button", "buttons", "center", "column", "container", "content", "desktop", "fixed", "form", "global", "group", "header", "holder", "icons", "inner", "item", "items", "left", "links", "list", "main", "mobile", "outer", "overlay", "page", "panel", "primary", "region", "right", "row", "secondary", "section", "site", "slot", "sticky", "strip", "top", "unit", "user", "widget", "wrap", "wrapper"}
 MAIN_WORD = {"article", "articlebody", "content", "entry", "main", "post", "story"}
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: A tag, comment or declaration.  A quote matters only round a whole value, so a stray one hides nothing; what never ends goes.
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*(?:\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>]))|[^>])*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: A slash that belongs to an unquoted value, and closes nothing.
 _UNQUOTED_END = re.compile(r"=\s*[^\s\"'][^\s\"']*$")
 _DIGITS = re.compile(r"\d+")
@@ -59,15 +65,19 @@ _WITHOUT = re.compile(r"(?:no|has|with|without)[-_]")
 class Element:
     """An open element: its name, its token, and whether it stands apart from the main text."""
 
-    __slots__ = ("apart", "chars", "links", "name", "rank", "token")
+    __slots__ = ("apart", "chars", "links", "name", "rank", "token", "unseen")
 
     def __init__(self, name: str, attributes: str):
-        found = sorted({(k.lower(), _DIGITS.sub("0", (a or b or c).strip().lower())) for k, a, b, c in _ATTRIBUTE.findall(attributes)}) if attributes else []
+        every = {k.lower(): (a or b or c).strip().lower() for k, a, b, c in _ATTRIBUTE.findall(attributes)} if attributes else {}
+        found = sorted((k, _DIGITS.sub("0", v)) for k, v in every.items() if k in ("class", "id", "role", "itemprop") and v)
         self.name, self.chars, self.links = name, 0, 0
         self.token = f"<{name}{''.join(f' {k}={v}' for k, v in found)}>"
-        words = {w for k, v in found if k != "role" for part in v.split() if not _WITHOUT.match(part) for w in _WORD.findall(part)}
+        parts = [_WORD.findall(part) for k, v in found if k != "role" for part in v.split() if not _WITHOUT.match(part)]
+        words = {w for part in parts for w in part}
+        named = any(APART_WORD.intersection(part) and APART_WORD.union(PLACE_WORD).issuperset(part) for part in parts)
+        self.unseen = every.get("hidden", "false" if "hidden" not in every else "") != "false" or "display:none" in every.get("style", "").replace(" ", "")
         roles = {w for k, v in found if k == "role" for w in v.split()}
-        self.apart = name in APART or bool(words & APART_WORD) and name not in ("html", "body", "article", "main") or bool(roles & APART_ROLE)
+        self.apart = name in APART or self.unseen or named and name not in ("html", "body", "article", "main") or bool(roles & APART_ROLE)
         self.rank = 3 if name == "article" or "articlebody" in words else 2 if name == "main" or "main" in roles or words & MAIN_WORD else 1 if name not in INLINE else 0
 
 
@@ -137,9 +147,9 @@ def tokens(page: str) -> dict[str, list[int]]:
     for kind, x in found:
         if kind in ("open", "close"):
             step = 1 if kind == "open" else -1
-            hidden += step * (x.name in HIDDEN)
+            hidden += step * (x.name in HIDDEN or x.unseen)
             links += step * (x.name == "a")
-            if x.apart and x.name not in HIDDEN:
+            if x.apart and x.name not in HIDDEN and not x.unseen:
                 open_now.append(x) if kind == "open" else open_now.remove(x)
         elif kind == "text" and not hidden and not links:
             n = len(" ".join(x.split()))
@@ -188,17 +198,20 @@ def _mix(x: int) -> int:
     return x ^ x >> 31
 
 
-TALLY = "host string, token string, pages long, total long, first long, chars long, links long, encloses long, v1 long, v2 long"
+TALLY = "host string, token string, pages double, total double, first double, chars double, links double, encloses double, v1 long, v2 long"
 
 
 def _tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial sums of each host's tokens; the empty token counts its pages.  v1 and v2 sum 31 bits each of a hash of (page, count)."""
+    """Partial sums of each host's tokens; the empty token counts its pages.  v1 and v2 sum 31 bits each of a hash of (page, count).
+
+    The copies of a page share a weight of 1 in all but v1 and v2, which don't depend on how often a page stands.
+    """
     for batch in batches:
         sums: dict[tuple[str, str], list[int]] = {}
-        for host, key, page in zip(batch["host"], batch["key"], batch["html"], strict=True):
+        for host, key, copies, page in zip(batch["host"], batch["key"], batch["copies"], batch["html"], strict=True):
             for token, (n, first, chars, links, encloses) in (tokens(page) | {"": [1, 0, 0, 0, 0]}).items():
                 h = _mix((int(key) & 0xFFFFFFFFFFFFFFFF) + n * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-                new = (1, n, first, chars, links, encloses, h >> 33, h & 0x7FFFFFFF)
+                new = (*(x / copies for x in (1, n, first, chars, links, encloses)), h >> 33, h & 0x7FFFFFFF)
                 old = sums.get((host, token))
                 sums[host, token] = [*map(sum, zip(old, new, strict=True))] if old else list(new)
             if len(sums) > 200_000:
@@ -226,9 +239,9 @@ def deduce(table: pd.DataFrame, pages: int, texts: bool = True) -> dict:
     """A host's template from its tokens' sums: root tokens in order, nested classes by gap, main element and enclosing ones.
 
     Tokens of the main element are an opening tag and its closing tag of one valid class; a named one may be repeated.
-    It is chosen by the text of its slots: template texts don't count.  A higher rank (article; main or content; any
-    block) goes before more text if its slots hold a tenth of the most; of blocks the innermost with nine tenths of the
-    most text is taken.  Texts are template tokens only where tags of their class stand round them.
+    It is chosen by the text of its slots: template texts don't count.  Where the slots of several hold at least half of
+    the most text, a name breaks the tie (article; main or content; any block); of equal names the innermost with nine
+    tenths of the most text is taken.  Texts are template tokens only where tags of their class stand round them.
     """
     table = table[(table["pages"] >= SUPPORT * pages) & (table["token"] != "")]
     rows = [*table.sort_values(["first", "token"]).itertuples()]
@@ -269,7 +282,7 @@ def deduce(table: pd.DataFrame, pages: int, texts: bool = True) -> dict:
     best: tuple = (0, 0, 0.0, "")
     if candidates:
         most = max(c[1] for c in candidates)
-        rank = max(c[0] for c in candidates if c[1] >= 0.1 * most)
+        rank = max(c[0] for c in candidates if c[1] >= 0.5 * most)
         most = max(c[1] for c in candidates if c[0] == rank)
         # closing tags come the earlier the deeper an element lies
         best = min((c for c in candidates if c[0] == rank and c[1] >= 0.9 * most), key=lambda c: (c[2], c[3]), default=best)
@@ -374,6 +387,13 @@ def _side_by_side(parts: list[list], pieces: list, template: dict) -> list[list]
     def links_only(x: list) -> bool:
         return all(p[2] or not p[0].strip() for p in pieces[x[1] : x[2]] if p)
 
+    # a <main> with text of its own beside its articles is one part
+    for x in parts:
+        if (x[0].name == "main" or "role=main" in x[0].token) and x[0].token != template["main"]:
+            within = outer([y for y in parts if y is not x and x[1] <= y[1] and y[2] <= x[2] and y[0].rank == 3])
+            own = [p for a, b in zip([x[1], *[y[2] for y in within]], [*[y[1] for y in within], x[2]]) for p in pieces[a:b] if p and p[0].strip()]
+            if within and any(not p[1] and not p[2] for p in own):
+                return [x]
     main = outer([x for x in parts if x[0].token == template["main"]])
     main = [x for x in main if not links_only(x)] or main
     rank = template["rank"] if main else max((x[0].rank for x in parts), default=0)
@@ -398,12 +418,16 @@ def _joined(pieces: list, spans: list[tuple[int, int]], fixed: bool) -> str:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, template (JSON) of each host with enough pages, and of all pages together as host ``*``."""
+    """host, template (JSON) of each host with enough pages, and of all pages together as host ALL."""
     keyed = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     # copies of a page say nothing of its template: each content of a host counts once
-    keyed = keyed.withColumn("content", F.md5("html")).filter("html != ''").dropDuplicates(["host", "content"]).select("host", F.xxhash64("host", "content").alias("key"), "html")
+    keyed = keyed.filter("html != ''").withColumn("key", F.xxhash64("host", F.md5("html")))
+    copies = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "copies")
+    copies = F.broadcast(copies) if copies.count() <= COPIES else copies
+    keyed = keyed.join(copies, "key", "left").select("host", "key", F.coalesce("copies", F.lit(1)).alias("copies"), "html")
     names = ("pages", "total", "first", "chars", "links", "encloses", "v1", "v2")
-    sums = written(keyed.mapInPandas(_tally, TALLY).groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in names]), "tokens")
+    summed = [F.round(F.sum(c)).cast("long").alias(c) for c in names[:-2]] + [F.sum(c).alias(c) for c in names[-2:]]
+    sums = written(keyed.mapInPandas(_tally, TALLY).groupBy("host", "token").agg(*summed), "tokens")
     sizes = sums.filter("token = ''").select("host", F.col("pages").alias("size"))
     n = sizes.count()
     every = sums.groupBy("token").agg(*[F.sum(c).alias(c) for c in names]).select(F.lit(ALL).alias("host"), "token", *names)

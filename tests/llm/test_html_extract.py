@@ -34,7 +34,7 @@ def test_equivalence_classes(spark):
     assert found["a.test"]["main"] == "<article>" and found["a.test"]["rank"] == 3
     root = found["a.test"]["root"]
     assert root.index("<article>") < root.index("<h1>") < root.index("/<h1>") < root.index("/<article>")
-    assert set(found) == {"a.test", "*"}
+    assert set(found) == {"a.test", op.ALL}
 
 
 def test_empty(spark):
