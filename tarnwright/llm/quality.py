@@ -145,10 +145,10 @@ def kth_largest(df: DataFrame, column: str, k: int) -> int:
     return prefix
 
 
-def _drawn(docs: DataFrame, labels: DataFrame, k: int | None, seed: int) -> tuple[DataFrame, Column]:
-    """The weighed rows, written once, and whether each is among the k with the largest keys."""
+def _drawn(docs: DataFrame, labels: DataFrame, k: int | None, seed: int, *columns: Column | str) -> tuple[DataFrame, Column]:
+    """Some columns of the weighed rows, written once, and whether each is among the k with the largest keys."""
     ratios = log_ratios(docs, labels)
-    rows = written(weighed(docs, ratios, seed).withColumn("placed", placed(F.col("key"))), "weighed")
+    rows = written(weighed(docs, ratios, seed).select(*columns, placed(F.col("key")).alias("placed")), "weighed")
     if k is None:
         k = expected_good(labels, rows.count())
     return rows, F.col("placed") >= (kth_largest(rows, "placed", k) if k else 1 << 48)
@@ -163,11 +163,12 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
     Labels with nulls are ignored; with no good label every document weighs alike and all stay.  Very long texts are
     read whole.  Other columns are ignored; an empty table gives an empty result.
     """
-    rows, chosen = _drawn(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, k, seed)
-    return rows.select(F.col("row.doc_id").alias("doc_id"), "n_grams", "log_weight", "key", chosen.alias("selected"))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows, chosen = _drawn(narrow, labels, k, seed, F.col("row.doc_id").alias("doc_id"), "n_grams", "log_weight", "key")
+    return rows.select("doc_id", "n_grams", "log_weight", "key", chosen.alias("selected"))
 
 
 def selected(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED) -> DataFrame:
     """The rows of docs that resample() selects, with all their columns, whatever these are named."""
-    rows, chosen = _drawn(docs, labels, k, seed)
+    rows, chosen = _drawn(docs, labels, k, seed, "row")
     return rows.filter(chosen).select("row.*")
