@@ -25,7 +25,7 @@ from tarnwright.llm.shared import lean
 #: Fixed value: the word pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that the cache of one Python worker holds before it starts anew.
-CACHE = 200_000
+CACHE = 400_000
 #: Characters of a piece from which it isn't cached.
 LONG_PIECE = 256
 #: Symbols that one call of the merge rounds takes, about.
