@@ -27,7 +27,7 @@ GROUP = 2_000_000
 LINEAR = 4096.0
 #: Sequence ids of a partition start at its number times this.
 STRIDE = 1 << 36
-#: Words whose ids one Python worker keeps before it starts anew.
+#: Words whose ids one Python worker keeps before it starts anew, about 200 bytes each.
 CACHE = 200_000
 #: Distinct words that the library encodes at once.
 RUN = 1_000
@@ -82,11 +82,11 @@ class Words:
         self.library.no_truncation()
         self.known: dict[bytes, bytes] = {}
 
-    def ids(self, texts: list[str]) -> list[bytes]:
+    def ids(self, texts: list[str], most: int = CACHE) -> list[bytes]:
         # words part at ASCII white space, the library sees any other; it makes A-Z lower too, but after it looks for special tokens
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
         cut = [(x if b"<|" in x else x.lower()).split() for x in raw]
-        if len(self.known) > CACHE:
+        if len(self.known) > most:
             self.known.clear()
         new = list(set().union(*cut).difference(self.known))
         for a in range(0, len(new), RUN):
@@ -119,12 +119,13 @@ def _learn(library, words: list[bytes], cache: dict[bytes, bytes]) -> None:
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = LENGTH, *, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = LENGTH, *, with_ids: bool = False, cache: int = CACHE) -> DataFrame:
     """The pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with_ids adds ids (binary).
 
     A document's ids are the tokenizer's and then id 1; a null or empty text has that one alone.  Each partition packs
     its own documents and moves none; its sequence ids follow from its number.  Repeated rows are packed each on its
-    own, other columns are ignored, an empty table has no pieces.  tokenizer is a file's path on the driver.
+    own, other columns are ignored, an empty table has no pieces.  tokenizer is a file's path on the driver; cache is how
+    many words' ids a Python worker keeps.
     """
     with open(tokenizer, encoding="utf-8") as f:
         source = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -151,7 +152,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = LENGTH, *, with_ids: b
 
         for batch in batches:
             for first, texts in batched(batch, "text"):
-                for i, x in enumerate(words.ids(texts), first):
+                for i, x in enumerate(words.ids(texts, cache), first):
                     ids.append(batch.column("doc_id")[i].as_py())
                     held.append(x)
                     size += len(x) // 4

@@ -44,7 +44,7 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of every document in sequences of 2048 tokens: pack(), which says what nulls, empty and repeated rows give."""
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), cache=600_000)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
