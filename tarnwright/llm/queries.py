@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwright.llm import bpe, embedding_dedup, exact_dedup, html_extract, language_id, license_scan, ngram_join, packing, quality, url_filter
+from tarnwright.llm import bpe, embedding_dedup, exact_dedup, html_extract, language_id, license_scan, ngram_join, packing, positional_index, quality, url_filter
 from tarnwright.llm.shared import small_batches
 from tarnwright.llm.shared import table as stored
 
@@ -77,6 +77,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every document hit by benchmark windows of ten words: contamination(), which says what nulls and repeats give."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return positional_index.digest(positional_index.contamination(docs, items))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_license_scan": op2_license_scan,
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_language_id": op9_language_id,
     "op10_bpe": op10_bpe,
+    "op11_decontamination": op11_decontamination,
 }
 
 OP7_SQL = r"""
@@ -165,4 +172,20 @@ SELECT page_id, r.host, path, rule, coalesce(verdict, CASE WHEN coalesce(v.distr
 FROM r LEFT JOIN v ON v.host = r.host
 """
 
-SQL: dict[str, str] = {"op6_url_filter": OP6_SQL, "op3_embedding_dedup": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_ngram_join": OP8_SQL}
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS i, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), q AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[k:k + 9], ' ') AS phrase FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS k FROM b WHERE len(w) > 0)
+), g AS (
+  SELECT i, k, n, array_to_string(w[k:k + n - 1], ' ') AS phrase FROM (SELECT i, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM q))
+), h AS (SELECT i, k, n, item_id FROM g JOIN q USING (n, phrase)),
+c AS (SELECT i, count(DISTINCT p) AS n_hit FROM (SELECT i, unnest(range(k, k + n)) AS p FROM h) GROUP BY i),
+t AS (SELECT i, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT i, CAST(item_id AS VARCHAR) AS item FROM h WHERE item_id IS NOT NULL) GROUP BY i)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (i) LEFT JOIN t USING (i)
+"""
+
+SQL: dict[str, str] = {"op6_url_filter": OP6_SQL, "op3_embedding_dedup": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_ngram_join": OP8_SQL, "op11_decontamination": OP11_SQL}
