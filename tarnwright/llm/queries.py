@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwright.llm import bpe, embedding_dedup, exact_dedup, html_extract, language_id, license_scan, ngram_join, packing, positional_index, quality, url_filter
+from tarnwright.llm import bpe, embedding_dedup, exact_dedup, html_extract, language_id, license_scan, ngram_join, packing, periodic_runs, positional_index, quality, url_filter
 from tarnwright.llm.shared import small_batches
 from tarnwright.llm.shared import table as stored
 
@@ -83,6 +83,12 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positional_index.digest(positional_index.contamination(docs, items))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of every document's words, a tenth of them with repeated tails: periodic_runs(), which says what nulls and repeats give."""
+    docs = periodic_runs.with_periodic_tails(table(spark, sf_dir, "documents"))
+    return periodic_runs.digest(periodic_runs.periodic_runs(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_license_scan": op2_license_scan,
@@ -95,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_bpe": op10_bpe,
     "op11_decontamination": op11_decontamination,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 OP7_SQL = r"""
