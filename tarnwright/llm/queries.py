@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwright.llm import bpe, embedding_dedup, exact_dedup, html_extract, language_id, license_scan, ngram_join, packing, periodic_runs, positional_index, quality, url_filter
+from tarnwright.llm import bpe, embedding_dedup, exact_dedup, html_extract, language_id, license_scan, ngram_join, packing, periodic_runs, positional_index, quality, url_filter, vector_codes
 from tarnwright.llm.shared import small_batches
 from tarnwright.llm.shared import table as stored
 
@@ -89,6 +89,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.periodic_runs(docs))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The product code of every vector: encode(), which says what nulls, ties, repeats and other lengths give."""
+    return vector_codes.encode(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_license_scan": op2_license_scan,
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
     "op11_decontamination": op11_decontamination,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 OP7_SQL = r"""
@@ -195,4 +201,25 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN c USING (i) LEFT JOIN t USING (i)
 """
 
-SQL: dict[str, str] = {"op6_url_filter": OP6_SQL, "op3_embedding_dedup": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_ngram_join": OP8_SQL, "op11_decontamination": OP11_SQL}
+def _lloyd_sql(rounds: int) -> str:
+    """The rounds one after another: c are codebooks, a assignments (squared distance * 64 + entry, the least of all)."""
+    assign = "a{r} AS (SELECT i, p, min(list_sum([(x[j] - c[j]) * (x[j] - c[j]) FOR j IN [1, 2, 3, 4]]) * 64 + k) AS m FROM x JOIN c{r} USING (p) GROUP BY i, p)"
+    mean = "CASE WHEN n > 0 THEN [(s[j] - (s[j] % n + n) % n) // n FOR j IN [1, 2, 3, 4]] ELSE c END"
+    sums = "SELECT p, m % 64 AS k, CAST(count(*) AS BIGINT) AS n, [CAST(sum(x[1]) AS BIGINT), CAST(sum(x[2]) AS BIGINT), CAST(sum(x[3]) AS BIGINT), CAST(sum(x[4]) AS BIGINT)] AS s FROM a{r} JOIN x USING (i, p) GROUP BY p, m % 64"
+    move = f"c{{s}} AS (SELECT p, k, {mean} AS c FROM c{{r}} LEFT JOIN ({sums}) USING (p, k))"
+    steps = [part.format(r=r, s=r + 1) for r in range(rounds) for part in (assign, move)]
+    return f"""
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, label, [CAST(floor(256 * x) AS BIGINT) FOR x IN CAST(embedding AS DOUBLE[])] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+), x AS (SELECT i, p, e[4 * p + 1:4 * p + 4] AS x FROM v, range(16) AS t(p)),
+c0 AS (SELECT p, i - 1 AS k, x AS c FROM x WHERE i <= 64),
+{", ".join(steps)},
+{assign.format(r=rounds)},
+o AS (SELECT i, string_agg(printf('%02x', m % 64), '' ORDER BY p) AS code, CAST(sum(m // 64) AS BIGINT) AS error FROM a{rounds} GROUP BY i)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, k)) FROM c{rounds}) AS codebooks_sha256
+FROM v JOIN o USING (i)
+"""
+
+
+SQL: dict[str, str] = {"op6_url_filter": OP6_SQL, "op3_embedding_dedup": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_ngram_join": OP8_SQL, "op11_decontamination": OP11_SQL, "op13_vector_codes": _lloyd_sql(2)}
