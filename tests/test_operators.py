@@ -100,6 +100,20 @@ def test_top_per_group_and_sessions(spark):
     assert sorted((r.session_start, r.session_end, r.n) for r in out) == [(at(0), at(1), 2), (at(9), at(9), 1)]
 
 
+def test_top_per_group_and_sessions_keep_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, 5, "a", "b", 0), (1, 7, "c", "d", 1), (2, 1, "e", "f", 2)], "`g``h` int, __n int, row string, place string, n int")
+    out = windows.top_per_group(df, ["g`h"], [F.desc("__n")], 1)
+    assert out.columns == df.columns and sorted(tuple(r) for r in out.collect()) == [(1, 7, "c", "d", 1), (2, 1, "e", "f", 2)]
+    ev = spark.createDataFrame([(1, at(0), 3), (1, at(1), 4), (1, at(9), 5)], "s int, `window` timestamp_ntz, key int")
+    out = windows.sessions(ev, "s", "window", "2 hours", [F.sum("key").alias("total"), F.count(F.lit(1)).alias("last")])
+    assert out.columns == ["s", "total", "last", "session_end", "session_start"]
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 5, 1, at(9), at(9)), (1, 7, 2, at(1), at(0))]
+    clash = ev.withColumnRenamed("s", "session_start")
+    with pytest.raises(ValueError):
+        windows.sessions(clash, "session_start", "window", "2 hours", [])
+    assert sorted(tuple(r) for r in windows.sessions(clash, "session_start", "window", "2 hours", [], start="begin").collect()) == [(1, at(1), at(0)), (1, at(9), at(9))]
+
+
 def test_formats_refuse_inference(spark, tmp_path):
     with pytest.raises(ValueError):
         formats.read(spark, str(tmp_path), "csv")

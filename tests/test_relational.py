@@ -1,13 +1,13 @@
 import pytest
 from oracle import SPARK_TYPES, duck_rows, duck_types, spark_rows
 
-from tarnwright.plans import relational
+from tarnwright.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", relational.QUERIES)
+@pytest.mark.parametrize("name", catalog.ORACLE_SQL)
 def test_query_matches_its_sql(spark, name):
-    df = relational.QUERIES[name](spark, SF)
-    assert spark_rows(df) == duck_rows(relational.ORACLE_SQL[name], SF)
-    assert sorted((c, SPARK_TYPES[t]) for c, t in df.dtypes) == duck_types(relational.ORACLE_SQL[name], SF)
+    df = catalog.QUERIES[name](spark, SF)
+    assert spark_rows(df) == duck_rows(catalog.ORACLE_SQL[name], SF)
+    assert sorted((c, SPARK_TYPES[t]) for c, t in df.dtypes) == duck_types(catalog.ORACLE_SQL[name], SF)
