@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnwright.functions.types import big
-from tarnwright.operators import overlap
+from tarnwright.operators import neighbors, overlap
 from tarnwright.plans.relational import query
 
 # --- overlap with a benchmark
@@ -27,3 +27,19 @@ SELECT doc_id, item_id, CAST(coalesce(covered, 0) AS BIGINT) AS covered, round(c
 def benchmark_overlap(documents, benchmark):
     spans = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
     return overlap.overlap(documents, benchmark).select("doc_id", "item_id", big("covered").alias("covered"), F.round("share", 6).alias("share"), spans.alias("spans"))
+
+
+# --- vector search
+
+NEAREST = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
+p AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 9) AS cosine FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, vec_id, round(cosine, 6) AS cosine, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS BIGINT) AS place FROM p QUALIFY place <= 10
+"""
+
+
+@query(NEAREST)
+def vector_search(embeddings):
+    units = neighbors.units(embeddings, "vec_id", "embedding")
+    found = neighbors.search(neighbors.index(units), units.filter("key % 20 = 0"), k=10)
+    return found.select(F.col("query").alias("query_id"), F.col("key").alias("vec_id"), F.round("cosine", 6).alias("cosine"), big("place").alias("place"))
