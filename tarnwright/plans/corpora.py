@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnwright.functions.types import big
-from tarnwright.operators import neighbors, overlap
+from tarnwright.operators import neighbors, overlap, redaction
 from tarnwright.plans.relational import query
 
 # --- overlap with a benchmark
@@ -43,3 +43,31 @@ def vector_search(embeddings):
     units = neighbors.units(embeddings, "vec_id", "embedding")
     found = neighbors.search(neighbors.index(units), units.filter("key % 20 = 0"), k=10)
     return found.select(F.col("query").alias("query_id"), F.col("key").alias("vec_id"), F.round("cosine", 6).alias("cosine"), big("place").alias("place"))
+
+
+# --- redaction
+
+LUHN = "[d FOR d IN [replace(replace(x, ' ', ''), '-', '') FOR x IN regexp_extract_all(text, '[0-9](?:[ -]?[0-9])*')] IF len(d) BETWEEN 13 AND 19 AND len(list_distinct(string_split(d, ''))) > 1 AND list_sum([CASE WHEN (len(d) - i) % 2 = 0 THEN CAST(d[i] AS BIGINT) WHEN CAST(d[i] AS BIGINT) > 4 THEN CAST(d[i] AS BIGINT) * 2 - 9 ELSE CAST(d[i] AS BIGINT) * 2 END FOR i IN range(1, len(d) + 1)]) % 10 = 0]"
+REDACTED = rf"""
+SELECT doc_id, CAST(len(regexp_extract_all(text, '[0-9A-Za-z._%+-]+@[0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)*\.[A-Za-z]{{2,}}')) AS BIGINT) AS emails,
+CAST(len({LUHN}) AS BIGINT) AS cards,
+CAST(len(regexp_extract_all(text, '(?:\+[0-9]+ )?\([0-9]{{3}}\) [0-9]{{3}}-[0-9]{{4}}')) AS BIGINT) AS phones,
+CAST(len([x FOR x IN regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)+') IF len(string_split(x, '.')) = 4 AND len([p FOR p IN string_split(x, '.') IF len(p) > 3 OR TRY_CAST(p AS INTEGER) > 255]) = 0]) AS BIGINT) AS addresses,
+CAST(len([x FOR x IN regexp_extract_all(text, '[0-9A-Fa-f]{{32,}}') IF regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Fa-f]')]) AS BIGINT) AS secrets
+FROM documents
+"""
+
+
+@query(REDACTED)
+def redact_counts(documents):
+    found = redaction.redact(documents.select("doc_id", "text"))
+    of = lambda kind, name: big(F.size(F.filter("spans", lambda x: x["kind"] == kind))).alias(name)
+    return found.select("doc_id", of("EMAIL", "emails"), of("CARD", "cards"), of("PHONE", "phones"), of("IP", "addresses"), of("SECRET", "secrets"))
+
+
+@query(None)
+def redact_documents(documents, benchmark):
+    # benchmark texts are fixed strings, beside the personal data
+    found = redaction.redact(documents.select("doc_id", "text"), benchmark.select("text"))
+    spans = F.transform("spans", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"), x["kind"]))
+    return found.select("doc_id", F.array_join(spans, ",").alias("spans"), "redacted")
