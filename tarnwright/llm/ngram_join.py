@@ -14,7 +14,8 @@ L(n) = 2 * slack + 1 of each, under any order of all tokens.  So:
 3. Only components are wanted, so classes of one component need no comparison.  Two rounds compare each class with one
    drawn member of each token's list, so near copies become a component in a number of comparisons linear in theirs.
 4. Where a token's list (first order) still has more than one component, all candidates are compared: in short lists by
-   a join, in long ones in blocks, as products of matrices, of which only a spanning forest of the links is passed on.
+   a join, in long ones in blocks of bounded bytes, those that share a list two by two, each two once; only a spanning
+   forest of the links is passed on.
    Candidates share a token under the other orders too; then their sets are compared.
 
 Hash collisions of whole n-grams (64 bits) aside the result is exact: shortened hashes serve in filters only.
@@ -30,6 +31,7 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,8 +49,12 @@ STARS = 2
 SALT = 4096
 #: Classes in a token's list up to which its pairs are made by a join.
 SMALL = 4
-#: Classes in a block; longer lists, together with those they share classes with, are compared as pairs of blocks.
-BLOCK = 1024
+#: Classes, and n-grams of their sets (16 MB), in a block, about; longer lists are compared as pairs of blocks.
+BLOCK, ENTRIES = 1024, 2_000_000
+#: Rows that have an n-gram up to which its pairs of rows are listed; beyond that it is a column of a matrix.
+FEW = 16
+#: Pairs, or elements of a matrix, that are counted at once.
+STRIP = 4_000_000
 
 
 def shingles(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -197,7 +203,7 @@ def _need(n: Column, percent: int) -> Column:
 
 def _bits(tokens: float) -> int:
     """Owners as a power of two, for so many tokens."""
-    return min(20, max(4, int(tokens / PER_OWNER).bit_length()))
+    return min(30, max(4, int(tokens / PER_OWNER).bit_length()))
 
 
 def _sets(words: int):
@@ -237,38 +243,63 @@ def _verified(pairs: DataFrame, live: DataFrame, salts: DataFrame | None, percen
     return both.filter(F.when(filtered, links).otherwise(F.lit(False))).select("a", "b")
 
 
+def _together(flat: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """How many values each two of n rows share; a row's values are distinct, owner tells whose they are.
+
+    Values that one row has count nothing; those of a few rows are counted pair by pair, others as products of strips of a
+    matrix, so what is held at once is bounded whatever the rows' lengths.
+    """
+    order = np.argsort(flat, kind="stable")
+    owner, sorted_ = owner[order], flat[order]
+    starts = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(flat) else np.zeros(0, np.int64)
+    sizes = np.diff(starts, append=len(flat))
+    out = np.zeros(n * n, np.int64)
+    for size in range(2, FEW + 1):
+        groups = starts[sizes == size]
+        one, two = np.triu_indices(size, 1)
+        step = max(1, STRIP // len(one))
+        for i in range(0, len(groups), step):
+            rows = owner[groups[i : i + step, None] + np.arange(size)]
+            out += np.bincount((rows[:, one].astype(np.int64) * n + rows[:, two]).ravel(), minlength=n * n)
+    out = out.reshape(n, n)
+    out += out.T
+    wide = np.flatnonzero(sizes > FEW)
+    step = max(1, STRIP // n)
+    for i in range(0, len(wide), step):
+        some = wide[i : i + step]
+        strip = np.zeros((n, len(some)), np.float32)
+        at = np.repeat(starts[some], sizes[some]) + np.arange(sizes[some].sum()) - np.repeat(np.cumsum(sizes[some]) - sizes[some], sizes[some])
+        strip[owner[at], np.repeat(np.arange(len(some)), sizes[some])] = 1
+        out += np.rint(strip @ strip.T).astype(np.int64)
+    return out
+
+
 def _compare(percent: int):
     """Links between components within a block of classes, or across two blocks, as a spanning forest."""
 
-    def incidence(lists: list[np.ndarray]) -> np.ndarray:
-        """Which row has which token, of those that more than one row has."""
-        flat = np.concatenate(lists)
-        values, at, counts = np.unique(flat, return_inverse=True, return_counts=True)
-        number = np.cumsum(counts > 1) - 1
-        out = np.zeros((len(lists), int(number[-1]) + 1 if len(number) else 0), np.float32)
-        keep = counts[at] > 1
-        out[np.repeat(np.arange(len(lists)), [len(x) for x in lists])[keep], number[at[keep]]] = 1
-        return out
-
-    def run(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        _, comp = np.unique(rows["comp"].to_numpy(np.int64), return_inverse=True)
-        n, cid = rows["n"].to_numpy(np.int64), rows["cid"].to_numpy(np.int64)
+    def run(table: pa.Table) -> pa.Table:
+        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        one, two = table["one"][0].as_py(), table["two"][0].as_py()
+        n, cid, block = (table[c].to_numpy() for c in ("n", "cid", "block"))
+        _, comp = np.unique(table["comp"].to_numpy(), return_inverse=True)
+
+        def lists(column: str, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+            some = table[column].combine_chunks().take(pa.array(rows))
+            return some.flatten().to_numpy(), np.repeat(np.arange(len(rows)), pc.list_value_length(some).to_numpy()), len(rows)
+
+        rows = np.arange(len(n))
         may = (comp[:, None] != comp[None, :]) & (100 * n[:, None] >= percent * n[None, :]) & (100 * n[None, :] >= percent * n[:, None])
-        if key[1] != key[2]:
-            two = rows["block"].to_numpy() == key[2]
-            may &= two[:, None] != two[None, :]
-        for order in ("first", "second", "third"):
-            if not may.any():
+        if one != two:
+            may &= block[:, None] != block[None, :]
+        for order in ("first", "second", "third", None):
+            touched = np.flatnonzero(may.any(axis=1))
+            if not len(touched):
                 return none
-            x = incidence(rows[order].tolist())
-            may &= x @ x.T > 0
-        touched = np.flatnonzero(may.any(axis=1))
-        if not len(touched):
-            return none
-        may, n, cid = may[np.ix_(touched, touched)], n[touched], cid[touched]
-        x = incidence([rows["set"].iloc[i] for i in touched])
-        shared = np.rint(x @ x.T).astype(np.int64)
+            rows, may = rows[touched], may[np.ix_(touched, touched)]
+            if order:
+                may &= _together(*lists(order, rows)) > 0
+        n, cid = n[rows], cid[rows]
+        shared = _together(*lists("set", rows))
         linked = may & (100 * shared >= percent * (n[:, None] + n[None, :] - shared))
         label = np.arange(len(n))
         while True:
@@ -278,11 +309,33 @@ def _compare(percent: int):
                 break
             label = least
         moved = label != np.arange(len(n))
-        return pd.DataFrame({"a": cid[moved], "b": cid[label[moved]]})
+        return pa.table({"a": cid[moved], "b": cid[label[moved]]})
 
     return run
 
 
+def _dealt(lists: DataFrame, sizes: DataFrame) -> DataFrame:
+    """root, one, two, block, cid: the classes of long lists (token, m, least, cid) in pairs of blocks, one row for each pair that
+    a class's block is in.  sizes: cid and n.
+
+    Lists that share classes have one root, and those of a root that is small enough are one block.  Else a class goes to a
+    block by its longest list, so that lists have few blocks, and only blocks that a list has both of are a pair.
+    """
+    many = written(components(lists.select(F.col("cid").alias("a"), F.col("least").alias("b"))), "many")
+    homes = lists.groupBy("cid").agg(F.max(F.struct("m", "token")).alias("home")).select("cid", "home.token")
+    placed = many.select("root", F.col("node").alias("cid")).join(homes, "cid").join(sizes, "cid").withColumnRenamed("token", "home")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / ENTRIES)).cast("int")
+    homes = placed.groupBy("root", "home").agg(blocks.alias("spread"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    roots = homes.groupBy("root").agg(F.greatest(F.ceil(F.sum("c") / BLOCK), F.ceil(F.sum("s") / ENTRIES)).cast("int").alias("blocks"))
+    at = F.pmod(F.shiftright(F.xxhash64("home"), 1) + F.pmod(F.xxhash64("cid"), F.col("spread")), F.col("blocks")).cast("int")
+    placed = written(placed.join(homes.select("root", "home", "spread"), ["root", "home"]).join(roots, "root").select("root", "cid", at.alias("block")), "blocks")
+    of = written(lists.select("token", "cid").join(placed, "cid").select("token", "root", "block").distinct(), "lists")
+    one, two = of.select("token", "root", F.col("block").alias("one")), of.select("token", F.col("block").alias("two"))
+    pairs = one.join(two, "token").filter("one <= two").select("root", "one", "two").distinct()
+    sides = pairs.select("root", "one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("block"))
+    return placed.join(sides, ["root", "block"])
+
+
 def _merged(parts: DataFrame | None, links: DataFrame) -> DataFrame:
     """Components (cid, comp) of classes after more links (a, b): those of the components that the links touch, united."""
     if parts is None:
@@ -379,14 +432,10 @@ def classes_and_links(docs: DataFrame, words: int, percent: int) -> tuple[DataFr
     few = still.filter(F.col("m") <= SMALL)
     pairs = _pairs(few, few.withColumn("salts", F.lit(1)), percent).filter("a < b")
     found = _verified(pairs, live, None, percent)
-    # a class stands in many long lists, so lists that share one are compared together, each class once a block
-    many = written(components(still.filter(F.col("m") > SMALL).select(F.col("cid").alias("a"), F.col("least").alias("b"))), "many")
-    blocks = many.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = many.join(blocks, "root").select("root", F.col("node").alias("cid"), "blocks", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int").alias("block"))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("root", "cid", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    dealt = _dealt(still.filter(F.col("m") > SMALL), live.select("cid", "n"))
     comps = live.select("cid").withColumn("comp", F.col("cid")) if parts is None else live.select("cid").join(parts, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     dealt = dealt.join(comps, "cid").join(live, "cid")
-    found = found.union(dealt.groupBy("root", "one", "two").applyInPandas(_compare(percent), "a long, b long"))
+    found = found.union(dealt.groupBy("root", "one", "two").applyInArrow(_compare(percent), "a long, b long"))
     return rows, _merged(parts, written(found.distinct(), "links"))
 
 

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tarnwright.llm import ngram_join as op
@@ -107,3 +108,53 @@ def test_representatives_and_empty(spark):
     docs = spark.createDataFrame([(2, "a b c d e f g", 1), (1, "A b c d e f g", 2), (3, "x", 3), (None, "x", 4)], "doc_id long, text string, keep int")
     assert sorted(r.keep for r in op.representatives(docs).collect()) == [2, 3, 4]
     assert op.join(docs.filter("false")).count() == 0 and op.representatives(docs.filter("false")).count() == 0
+
+
+def test_shared_values_against_sets(monkeypatch):
+    rng = np.random.default_rng(1)
+    for n, most, strip in ((1, 5, 100), (7, 30, 100), (40, 60, 64), (40, 400, 4_000_000)):
+        monkeypatch.setattr(op, "STRIP", strip)
+        sets = [np.unique(rng.integers(0, most, rng.integers(0, 80))) for _ in range(n)]
+        out = op._together(np.concatenate(sets), np.repeat(np.arange(n), [len(x) for x in sets]), n)
+        for i in range(n):
+            for j in range(n):
+                if i != j:
+                    assert out[i, j] == len(np.intersect1d(sets[i], sets[j]))
+
+
+def test_blocks_hold_every_pair_of_a_list_once(spark, monkeypatch):
+    monkeypatch.setattr(op, "BLOCK", 8)
+    monkeypatch.setattr(op, "ENTRIES", 300)
+    rng = random.Random(4)
+    lists = {t: rng.sample(range(t * 5, t * 5 + 30), 12) for t in range(40)} | {99: list(range(0, 200, 3)), 100: list(range(1_000, 1_006))}
+    rows = [(t, len(c), min(c), i) for t, c in lists.items() for i in c]
+    cids = sorted({r[3] for r in rows})
+    out = op._dealt(spark.createDataFrame(rows, "token long, m long, least long, cid long"), spark.createDataFrame([(c, rng.randrange(1, 80)) for c in cids], "cid long, n long")).collect()
+    met, sizes = {}, {}
+    for r in out:
+        sizes.setdefault((r.root, r.one, r.two), []).append(r.cid)
+        met.setdefault((r.root, r.one, r.two), []).append((r.block, r.cid))
+    assert max(map(len, sizes.values())) < 80 < len(cids) and all(len(set(x)) == len(x) for x in sizes.values())
+    pairs = [tuple(sorted((a, b))) for (_, one, two), x in met.items() for k, a in x for m, b in x if a < b and (one == two or k != m)]
+    assert len(pairs) == len(set(pairs))
+    assert {tuple(sorted((a, b))) for c in lists.values() for a in c for b in c if a < b} <= set(pairs)
+
+
+def test_long_sets_in_blocks_take_bounded_memory():
+    """1,000 classes of 8,000 n-grams, of which any two share few: a dense matrix of them would take 25 GB."""
+    import resource
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    n, size = 1_000, 8_000
+    sets = np.sort(rng.integers(0, 1 << 60, (n, size)), axis=1)
+    sets[:, :4] = np.arange(4)  # n-grams that all have
+    sets[1::2, 4 : size // 2] = sets[::2, 4 : size // 2]
+    column = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+    zero = pa.array(np.zeros(n, np.int64))
+    table = pa.table({"one": zero, "two": zero, "block": zero, "cid": np.arange(n), "comp": np.arange(n), "n": np.full(n, size), **{c: column(sets[:, :6]) for c in ("first", "second", "third")}, "set": column(sets)})
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    out = op._compare(30)(table)
+    assert sorted(zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)) == [(i + 1, i) for i in range(0, n, 2)]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000  # KB
