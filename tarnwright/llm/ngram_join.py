@@ -49,12 +49,14 @@ STARS = 2
 SALT = 4096
 #: Classes in a token's list up to which its pairs are made by a join.
 SMALL = 4
-#: Classes, and n-grams of their sets (16 MB), in a block, about; longer lists are compared as pairs of blocks.
-BLOCK, ENTRIES = 1024, 2_000_000
+#: Classes, and n-grams of their sets (8 MB), in a block, about; longer lists are compared as pairs of blocks.
+BLOCK, ENTRIES = 512, 1_000_000
+#: Parts of a block, at least, that classes with one longest list come in, so that blocks become of about one size.
+PARTS = 8
 #: Rows that have an n-gram up to which its pairs of rows are listed; beyond that it is a column of a matrix.
 FEW = 16
 #: Pairs, or elements of a matrix, that are counted at once.
-STRIP = 4_000_000
+STRIP = 1_000_000
 
 
 def shingles(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -253,16 +255,16 @@ def _together(flat: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     owner, sorted_ = owner[order], flat[order]
     starts = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(flat) else np.zeros(0, np.int64)
     sizes = np.diff(starts, append=len(flat))
-    out = np.zeros(n * n, np.int64)
+    out = np.zeros(n * n, np.int32)
     for size in range(2, FEW + 1):
         groups = starts[sizes == size]
         one, two = np.triu_indices(size, 1)
         step = max(1, STRIP // len(one))
         for i in range(0, len(groups), step):
             rows = owner[groups[i : i + step, None] + np.arange(size)]
-            out += np.bincount((rows[:, one].astype(np.int64) * n + rows[:, two]).ravel(), minlength=n * n)
+            out += np.bincount((rows[:, one].astype(np.int64) * n + rows[:, two]).ravel(), minlength=n * n).astype(np.int32)
     out = out.reshape(n, n)
-    out += out.T
+    out = out + out.T
     wide = np.flatnonzero(sizes > FEW)
     step = max(1, STRIP // n)
     for i in range(0, len(wide), step):
@@ -270,7 +272,7 @@ def _together(flat: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         strip = np.zeros((n, len(some)), np.float32)
         at = np.repeat(starts[some], sizes[some]) + np.arange(sizes[some].sum()) - np.repeat(np.cumsum(sizes[some]) - sizes[some], sizes[some])
         strip[owner[at], np.repeat(np.arange(len(some)), sizes[some])] = 1
-        out += np.rint(strip @ strip.T).astype(np.int64)
+        out += (strip @ strip.T).astype(np.int32)
     return out
 
 
@@ -324,7 +326,7 @@ def _dealt(lists: DataFrame, sizes: DataFrame) -> DataFrame:
     many = written(components(lists.select(F.col("cid").alias("a"), F.col("least").alias("b"))), "many")
     homes = lists.groupBy("cid").agg(F.max(F.struct("m", "token")).alias("home")).select("cid", "home.token")
     placed = many.select("root", F.col("node").alias("cid")).join(homes, "cid").join(sizes, "cid").withColumnRenamed("token", "home")
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / ENTRIES)).cast("int")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) * PARTS / BLOCK), F.ceil(F.sum("n") * PARTS / ENTRIES)).cast("int")
     homes = placed.groupBy("root", "home").agg(blocks.alias("spread"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
     roots = homes.groupBy("root").agg(F.greatest(F.ceil(F.sum("c") / BLOCK), F.ceil(F.sum("s") / ENTRIES)).cast("int").alias("blocks"))
     at = F.pmod(F.shiftright(F.xxhash64("home"), 1) + F.pmod(F.xxhash64("cid"), F.col("spread")), F.col("blocks")).cast("int")
