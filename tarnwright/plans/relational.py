@@ -407,29 +407,33 @@ def stream_sessions(spark, sf_dir):
 
 @query("SELECT event_id, event_type FROM events")
 def stream_dedup(spark, sf_dir):
-    # every event comes twice within the watermark, in this and in the next file
-    files = _in_files(table(spark, sf_dir, "events"), 4)
-    repeated = files.unionByName(files.withColumn("file", F.col("file") + 1))
-    rows = streams.folder(spark, _written_in_order(repeated, "repeated"), repeated.drop("file").schema, watermark="30 days")
-    return streams.to_end(rows.dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "event_type"), "append")
+    # every event comes twice within the watermark, in this and in the next step
+    dealt = _in_steps(table(spark, sf_dir, "events"), 4)
+    repeated = dealt.unionByName(dealt.withColumn("step", F.col("step") + 1))
+    return streams.in_steps(_steps(repeated, 5), lambda rows: rows.dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "event_type"), "append", "30 days")
 
 
 LATE = """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, CAST(count(*) AS BIGINT) AS n FROM events
 WHERE {kept} time_bucket(INTERVAL 1 HOUR, ts) < time_bucket(INTERVAL 1 HOUR, (SELECT max(ts) - INTERVAL 2 DAY FROM events)) GROUP BY 1"""
 
 
-def _late(spark, sf_dir, delay):
-    """Hours of events in append mode.  Of the first seven days, events whose number divides by 10 come in a file of their own
-    after all others; the file after it holds one event of long after, so that the watermark passes all."""
-    events = table(spark, sf_dir, "events")
+def late_steps(events: DataFrame) -> list[DataFrame]:
+    """Events in five steps.  Of the first seven days, events whose number divides by 10 come in a step of their own after all
+    others; the step after it holds one event of long after, so that the watermark passes all."""
     first, last = events.agg(F.min("ts"), F.max("ts")).first()
     late = (F.col("event_id") % 10 == 0) & (F.col("ts") < F.lit(first + datetime.timedelta(days=7)).cast("timestamp_ntz"))
-    ordered = _in_files(events.filter(~late), 3).unionByName(events.filter(late).withColumn("file", F.lit(3)))
+    ordered = _in_steps(events.filter(~late), 3).unionByName(events.filter(late).withColumn("step", F.lit(3)))
     end = events.limit(1).withColumn("event_id", F.lit(-1).cast("bigint")).withColumn("ts", F.lit(last + datetime.timedelta(days=90)).cast("timestamp_ntz"))
-    rows = streams.folder(spark, _written_in_order(ordered.unionByName(end.withColumn("file", F.lit(4))), "late"), events.schema, watermark=delay)
+    return _steps(ordered.unionByName(end.withColumn("step", F.lit(4))), 5)
+
+
+def _late(spark, sf_dir, delay):
+    """Hours of events in append mode, in late_steps()."""
+    events = table(spark, sf_dir, "events")
+    counted = streams.in_steps(late_steps(events), streams.tumbling, "append", delay)
     # the days before the end of the events are left out, so that no hour is compared at which the watermark stands
-    until = (last - datetime.timedelta(days=2)).replace(minute=0, second=0, microsecond=0)
-    return streams.to_end(streams.tumbling(rows), "append").select(ntz("start").alias("start"), "n").filter(F.col("start") < F.lit(until).cast("timestamp_ntz"))
+    until = (events.agg(F.max("ts")).first()[0] - datetime.timedelta(days=2)).replace(minute=0, second=0, microsecond=0)
+    return counted.select(ntz("start").alias("start"), "n").filter(F.col("start") < F.lit(until).cast("timestamp_ntz"))
 
 
 @query(LATE.format(kept="NOT (event_id % 10 = 0 AND ts < (SELECT min(ts) + INTERVAL 7 DAY FROM events)) AND"))
@@ -444,18 +448,14 @@ def stream_late_kept(spark, sf_dir):
     return _late(spark, sf_dir, "60 days")
 
 
-def _in_files(events: DataFrame, n: int) -> DataFrame:
-    """Events with the file, from 0, that they stand in: equal spans of time."""
+def _in_steps(events: DataFrame, n: int) -> DataFrame:
+    """Events with the step, from 0, that they come in: equal spans of time."""
     first, last = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
-    return events.withColumn("file", F.least(F.lit(n - 1), F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(first)) * n / max(1, (last or 0) - (first or 0))).cast("int")))
+    return events.withColumn("step", F.least(F.lit(n - 1), F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(first)) * n / max(1, (last or 0) - (first or 0))).cast("int")))
 
 
-def _written_in_order(rows: DataFrame, name: str) -> str:
-    """A folder with one file for each value of `file`, written in turn, so that a stream reads them in turn."""
-    path = scratch_path(rows.sparkSession, name)
-    for (n,) in sorted(rows.select("file").distinct().collect()):  # as many as the query asks for
-        rows.filter(F.col("file") == n).drop("file").coalesce(1).write.mode("append").parquet(path)
-    return path
+def _steps(rows: DataFrame, n: int) -> list[DataFrame]:
+    return [rows.filter(F.col("step") == i).drop("step") for i in range(n)]
 
 
 @query("""SELECT p.event_id, v.event_id AS view_id FROM events p JOIN events v ON p.user_id = v.user_id AND v.ts BETWEEN p.ts - INTERVAL 1 DAY AND p.ts

@@ -22,9 +22,10 @@ def stream(spark: SparkSession, sf_dir: str, name: str = "events", watermark: st
     return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
 
 
-def folder(spark: SparkSession, path: str, schema: T.StructType, watermark: str = "1 hour", files: int = 1) -> DataFrame:
-    """A folder of Parquet files as a stream, so many files a micro-batch, the oldest first; ts is made a zoned timestamp."""
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+def folder(spark: SparkSession, path: str, schema: T.StructType, watermark: str = "1 hour", files: int | None = 1) -> DataFrame:
+    """A folder of Parquet files as a stream, so many files a micro-batch (None: all there are), the oldest first; ts is made a zoned timestamp."""
+    reader = spark.readStream.schema(schema)
+    rows = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
     return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
 
 
@@ -41,6 +42,25 @@ def _drained(df: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
 
 
+def in_steps(steps: list[DataFrame], to: Callable[[DataFrame], DataFrame], mode: str, watermark: str = "1 hour", once: bool = False) -> DataFrame:
+    """The rows of all batches of a stream whose input comes in steps, each of any number of files.
+
+    A step's files are added to the input folder, and the stream, which `to` makes of it, runs to their end; for the next step
+    it starts again from its checkpoint, with its state and watermark.  once: in one batch for each step, as streams that wait
+    for the cluster's time must, which would run batches without input for ever.
+    """
+    spark = steps[0].sparkSession
+    into, out, state = (scratch_path(spark, name) for name in ("steps", "stream", "stream-state"))
+    schema = None
+    for step in steps:
+        step.write.mode("append").parquet(into)
+        df = to(folder(spark, into, steps[0].schema, watermark, files=None))
+        schema = df.schema
+        query = df.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(**({"once": True} if once else {"availableNow": True}))
+        query.foreachBatch(lambda batch, number: keep(batch, number, out)).start().awaitTermination()
+    return spark.read.schema(schema).parquet(out).select(*schema.names)  # without the folders' numbers
+
+
 def keep(batch: DataFrame, number: int, path: str) -> None:
     batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
