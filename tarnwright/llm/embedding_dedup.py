@@ -12,8 +12,8 @@ out as pairs of blocks.
 
 How often a pair stays together depends on how dense its label is, so it is measured: pairs at the threshold are made
 from the sample, of each large label and of all, and the number of trees and the depth are the cheapest at which a share
-of RECALL of each kind meets in some leaf.  Depth 0 compares all of a label, in one tree.  Pairs closer than the threshold
-are missed less.
+of RECALL of each kind, which is all of them, meets in some leaf.  Trees split at every size: they have LEVELS levels at least,
+or as many as leave LEAF vectors in a leaf.  Pairs closer than the threshold are missed less.
 """
 
 from __future__ import annotations
@@ -31,14 +31,16 @@ from tarnwright.llm.components import components
 from tarnwright.llm.shared import hinted, lean, written
 
 THRESHOLD = 0.93
-#: Trees at least, unless all of a label is compared, and at most.
-TREES, MOST_TREES = 8, 64
+#: Trees at least and at most.
+TREES, MOST_TREES = 8, 96
+#: Levels at least, where a leaf would still hold more than LEAF vectors.
+LEVELS = 3
 #: Share of made pairs at the threshold that must meet, of every kind; a kind has so many.
-RECALL, PROBES = 0.999, 1000
+RECALL, PROBES = 1.0, 1000
 #: Cost of a row in a leaf, in comparisons of two vectors.
 ROW_COST = 2000
-#: Vectors of a label that a leaf should hold, spill aside; labels with no more are compared in full.
-LEAF = 256
+#: Vectors of a label that a leaf should hold, spill aside; where no label has more there is nothing to split.
+LEAF = 48
 #: Vectors that the splits are fitted on, about, and those of a node below which none is fitted.
 SAMPLE, FITTED = 10_000, 16
 #: Half width of the spill at a split, in standard deviations of the sample's projections.
@@ -153,20 +155,25 @@ def probes(sample: np.ndarray, labels: np.ndarray, threshold: float, seed: int =
 
 
 def forest(sample: np.ndarray, labels: np.ndarray, depth: int, largest: int, threshold: float, trees: int = TREES) -> Forest:
-    """The cheapest forest up to a depth in which made pairs at the threshold meet (see RECALL); `largest` is the largest label's size."""
+    """The cheapest forest up to a depth in which made pairs at the threshold meet (see RECALL); `largest` is the largest label's size.
+
+    Where even MOST_TREES miss some at LEVELS levels, trees have the most levels at which none is missed: as many trees at one
+    level miss none in practice.
+    """
     if not depth or not len(sample):
         return Forest(sample[:0], 0, 1)
     out = Forest(sample, depth, max(trees, MOST_TREES))
     kinds = [np.logical_or.accumulate(out.together(a, b), axis=1).mean(axis=2) for a, b in probes(sample, labels, threshold)]
     met = np.min(kinds, axis=0)  # by level, and by number of trees
     twice = 1 + 2 * SPILL / math.sqrt(2 * math.pi)  # nodes below a node that a vector goes to, about
-    best = (math.inf, 0, 1)
-    for level in range(depth + 1):
+    fits: list[tuple[float, int, int]] = []
+    for level in range(1, depth + 1):
         enough = np.flatnonzero(met[level] >= RECALL)
         if len(enough):
-            n = max(trees, int(enough[0]) + 1) if level else 1
-            leaf = largest * (twice / 2) ** level
-            best = min(best, (n * twice**level * (ROW_COST * max(1.0, leaf / BLOCK) + leaf), level, n))
+            n, leaf = max(trees, int(enough[0]) + 1), largest * (twice / 2) ** level
+            fits.append((n * twice**level * (ROW_COST * max(1.0, leaf / BLOCK) + leaf), level, n))
+    # the cheapest of those with levels enough, or else the deepest
+    best = min((x for x in fits if x[1] >= min(LEVELS, depth)), default=max(fits, key=lambda x: x[1], default=(0, 1, len(met[1]))))
     return out.cut(*best[1:])
 
 

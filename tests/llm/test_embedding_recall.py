@@ -60,3 +60,21 @@ def test_depth_follows_the_largest_label():
     found = embedding_dedup.forest(np.concatenate([even, hot]), labels, 20, 256 << 20, embedding_dedup.THRESHOLD)
     print(f"268 million vectors: depth {found.depth}, {len(found.directions)} trees")
     assert found.depth > 9
+
+
+def test_chosen_forest_end_to_end(spark):
+    """The forest that a table of its size gets, with splits, against all cosines: dense labels, pairs just above the threshold, a
+    label beside it with few vectors, and columns of clashing names."""
+    even, hot, partner = dense(3_000, 400, seed=9)
+    small, _, _ = dense(30, 5, seed=4)
+    rows = [(i, "hot", x.tolist()) for i, x in enumerate(np.concatenate([hot, partner]))] + [(10_000 + i, "even", x.tolist()) for i, x in enumerate(even)]
+    rows += [(20_000 + i, "small", x.tolist()) for i, x in enumerate(np.concatenate([small, small + 0.001]))]
+    labels, every = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    every = every / np.linalg.norm(every, axis=1, keepdims=True)
+    near = (every @ every.T >= embedding_dedup.THRESHOLD) & (labels[:, None] == labels[None, :])
+    want = {r[0]: int(n) - 1 for r, n in zip(rows, near.sum(axis=1), strict=True)}
+    known = embedding_dedup.forest(every, labels, 5, int((labels == "even").sum()), embedding_dedup.THRESHOLD)
+    assert known.depth >= embedding_dedup.LEVELS
+    df = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>").selectExpr("*", "1 AS cid", "2 AS k1", "3 AS code", "4 AS block", "5 AS leaves")
+    out = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()}
+    assert sum(want.values()) > 800 and out == want
