@@ -147,21 +147,35 @@ def agg_count_distinct(events):
     return events.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
 
 
-@query("SELECT l_returnflag, CAST(count(DISTINCT l_partkey) AS BIGINT) AS parts, true AS close FROM lineitem GROUP BY l_returnflag")
+@query("SELECT l_returnflag, CAST(count(DISTINCT l_partkey) AS BIGINT) AS parts FROM lineitem GROUP BY l_returnflag")
 def agg_approx_distinct(lineitem):
-    # the sketch is held against an exact count, which the SQL gives too
-    n, parts = F.approx_count_distinct("l_partkey", 0.01), F.count_distinct("l_partkey")
-    return lineitem.groupBy("l_returnflag").agg(parts.alias("parts"), (F.abs(n - parts) <= 0.05 * parts).alias("close"))
+    # a sketch this wide counts some hundred thousand values nearly exactly
+    return lineitem.groupBy("l_returnflag").agg(F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey", F.lit(21))).alias("parts"))
 
 
-@query("SELECT l_returnflag, CAST(approx AS BIGINT) AS n FROM (SELECT l_returnflag, count(DISTINCT l_shipdate) AS approx FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-02-01' GROUP BY l_returnflag)")
+@query("SELECT l_returnflag, CAST(count(DISTINCT l_partkey) AS BIGINT) AS n FROM lineitem GROUP BY l_returnflag")
 def agg_sketch_merge(lineitem):
-    # a sketch for each day and flag, merged by flag: few distinct values, so the estimate is exact
-    early = lineitem.filter(F.col("l_shipdate") < F.lit("1995-02-01").cast("timestamp_ntz"))
-    daily = early.groupBy("l_returnflag", "l_shipdate").agg(F.hll_sketch_agg(F.col("l_shipdate").cast("string"), F.lit(16)).alias("s"))
+    # a sketch for each day and flag is kept, and those of all days are merged by flag
+    daily = lineitem.groupBy("l_returnflag", "l_shipdate").agg(F.hll_sketch_agg("l_partkey", F.lit(21)).alias("s"))
     return daily.groupBy("l_returnflag").agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("n"))
 
 
+@query("""SELECT o_orderstatus, o_orderpriority, CAST(grouping(o_orderstatus) * 2 + grouping(o_orderpriority) AS BIGINT) AS grouping, CAST(count(DISTINCT o_custkey) AS BIGINT) AS customers
+FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)""")
+def agg_cube_distinct(orders):
+    group = ["o_orderstatus", "o_orderpriority"]
+    return aggregates.distinct_by_sets(orders, group, "o_custkey", aggregates.cube_sets(group)).withColumnRenamed("distinct", "customers")
+
+
+@query("SELECT event_type, user_id, CAST(n AS BIGINT) AS n FROM (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY event_type, user_id) QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY n DESC, user_id) <= 3")
+def agg_top_k_sketch(events):
+    # heavy hitters of each day are kept as sketches, and those of all days combined
+    daily = events.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.expr("approx_top_k_accumulate(user_id, 100000)").alias("s"))
+    few = daily.groupBy("event_type").agg(F.expr("approx_top_k_estimate(approx_top_k_combine(s, 100000), 1000)").alias("top"))
+    hitters = few.select("event_type", F.inline("top")).select("event_type", F.col("item").alias("user_id"), F.col("count").alias("n"))
+    return windows.top_per_group(hitters, ["event_type"], [F.desc("n"), F.col("user_id")], 3)
+
+
 @query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS median_price FROM lineitem GROUP BY l_returnflag")
 def agg_percentile(lineitem):
     return aggregates.percentile(lineitem, ["l_returnflag"], "l_extendedprice", 0.5).select("l_returnflag", F.round("percentile", 4).alias("median_price"))
