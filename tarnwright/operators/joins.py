@@ -56,3 +56,26 @@ def range_join(points: DataFrame, at: str, ranges: DataFrame, low: str, high: st
     p = p.withColumn("bucket", bucket(F.col("at")))
     r = r.withColumn("bucket", F.explode(F.sequence(bucket(F.col("low")), bucket(F.col("high")))))
     return p.join(r, ["level", "bucket"]).filter(F.col("at").between(F.col("low"), F.col("high"))).select("point.*", "range.*")
+
+
+def heavy_join(left: DataFrame, right: DataFrame, key: str, share: float = 0.01, parts: int = 64, tracked: int = 10_000) -> DataFrame:
+    """Inner join of left and right on a column of both, with the columns of both, left's first; the key stands twice.
+
+    Keys that more than `share` of left's rows have are found by a sketch of `tracked` keys, in one scan: at most 1 / share
+    of them.  Their rows of left are dealt to `parts`, and right's rows of these keys stand once in each; all other rows
+    meet by their key alone.  Null keys match nothing.
+    """
+    l = left.filter(named(key).isNotNull()).select(named(key).alias("key"), whole(left).alias("left"))  # noqa: E731, E741
+    r = right.filter(named(key).isNotNull()).select(named(key).alias("key"), whole(right).alias("right"))
+    most = max(1, int(1 / share))
+    found = l.agg(F.expr(f"approx_top_k(key, {most}, {max(tracked, most)})").alias("top"), F.count(F.lit(1)).alias("n")).first()
+    heavy = [x["item"] for x in found.top or [] if x["count"] > share * found.n]
+    if not heavy:
+        return l.join(r, "key").select("left.*", "right.*")
+    at = F.broadcast(left.sparkSession.createDataFrame([(k,) for k in heavy], left.select(named(key).alias("key")).schema))  # at most 1 / share rows
+    salted = l.join(at.withColumn("heavy", F.lit(True)), "key", "left")
+    # a row's part is that of its values, so that a task that runs again deals the same
+    salted = salted.withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64(F.to_json("left")), F.lit(parts))).otherwise(0).cast("int"))
+    copied = r.join(at.withColumn("heavy", F.lit(True)), "key", "left")
+    copied = copied.withColumn("salt", F.explode(F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))))
+    return salted.drop("heavy").join(copied.drop("heavy"), ["key", "salt"]).select("left.*", "right.*")

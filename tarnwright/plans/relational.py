@@ -111,6 +111,16 @@ def join_four_way_revenue(lineitem, orders, customer, nation):
     return joined.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(dbl(F.sum("r")).alias("revenue"))
 
 
+@query("""SELECT e.kind, CAST(count(*) AS BIGINT) AS n, CAST(sum(e.event_id % 7 + s.s_suppkey) AS BIGINT) AS checked
+FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS kind FROM events) e JOIN (SELECT s_suppkey, s_suppkey % 50 AS kind FROM supplier) s ON e.kind = s.kind GROUP BY e.kind""")
+def join_heavy_keys(events, supplier):
+    # a third of the events have one key
+    l = events.select("event_id", F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("user_id")).cast("bigint").alias("kind"))  # noqa: E741
+    r = supplier.select("s_suppkey", (F.col("s_suppkey") % 50).alias("kind"))
+    both = joins.heavy_join(l, r, "kind").toDF("event_id", "kind", "s_suppkey", "same")
+    return both.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("event_id") % 7 + F.col("s_suppkey")).alias("checked"))
+
+
 # --- aggregates
 
 

@@ -53,6 +53,23 @@ def test_asof_join_keeps_columns_of_any_name(spark):
     assert tuple(row) == (1, at(3), "a", "b", "c", 5, 20, 21)
 
 
+def test_heavy_join_against_a_plain_one_and_its_tasks(spark):
+    rows = [(0 if i % 3 == 0 else i % 701, i, "x") for i in range(30_000)] + [(None, -1, "x")]
+    l = spark.createDataFrame(rows, "k int, key int, left string")  # noqa: E741
+    r = spark.createDataFrame([(i % 800, i, 1) for i in range(1_600)] + [(None, 9, 9)], "k int, salt int, heavy int")
+    out = joins.heavy_join(l, r, "k", parts=16)
+    assert out.columns == ["k", "key", "left", "k", "salt", "heavy"]
+    got = out.toDF("k", "key", "left", "k2", "salt", "heavy")
+    want = l.join(r.withColumnRenamed("k", "k2"), F.col("k") == F.col("k2")).select("k", "key", "left", "k2", "salt", "heavy")
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    # dealt to tasks by the join's own hash, the heavy key's rows are spread
+    l2 = l.filter("k IS NOT NULL").withColumn("part", F.pmod(F.hash("k", F.when(F.col("k") == 0, F.pmod(F.xxhash64(F.to_json(joins.whole(l))), F.lit(16))).otherwise(0).cast("int")), F.lit(8)))
+    sizes = sorted(x["count"] for x in l2.groupBy("part").count().collect())
+    assert sizes[-1] < 2 * sizes[len(sizes) // 2]
+    assert joins.heavy_join(l.filter("k > 0"), r, "k").count() == l.filter("k > 0").count() * 2
+    assert joins.heavy_join(l.filter("false"), r, "k").count() == 0 and joins.heavy_join(l, r.filter("false"), "k").count() == 0
+
+
 def test_percentile_in_slices_against_numpy(spark):
     import numpy as np
 
