@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnwright.functions.types import big
 from tarnwright.operators import variants
 from tarnwright.plans.relational import query
-from tarnwright.sources import arrow_log
+from tarnwright.sources import arrow_log, formats
 from tarnwright.sources.scratch import scratch_path
 
 # --- JSON of several shapes: props as it is, wrapped, in a list, with more members, and cut off
@@ -82,3 +83,21 @@ def stream_arrow_log(spark, orders):
     read = spark.readStream.format("arrow_log").schema(rows.schema).load(path)
     read.writeStream.format("arrow_log").option("checkpointLocation", scratch_path(spark, "stream-state")).trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.format("arrow_log").schema(rows.schema).load(out)
+
+
+# --- files with lines that don't fit
+
+BROKEN = """SELECT c_custkey, CASE CAST(c_custkey % 10 AS INTEGER) WHEN 3 THEN concat_ws(',', c_custkey, c_name, 'many') WHEN 5 THEN concat_ws(',', c_custkey, c_name) WHEN 7 THEN concat_ws(',', c_custkey, c_name, c_nationkey, 'more')
+WHEN 9 THEN concat_ws(',', c_custkey, c_name, 99999999999) ELSE concat_ws(',', c_custkey, c_name, c_nationkey) END AS line FROM customer"""
+QUARANTINE = f"""SELECT CASE WHEN c_custkey % 10 IN (3, 5, 7, 9) THEN NULL ELSE c_custkey END AS c_custkey, CASE WHEN c_custkey % 10 IN (3, 5, 7, 9) THEN line END AS line,
+CASE CAST(c_custkey % 10 AS INTEGER) WHEN 3 THEN 'type' WHEN 9 THEN 'type' WHEN 5 THEN 'columns' WHEN 7 THEN 'columns' END AS reason FROM ({BROKEN})"""
+
+
+@query(QUARANTINE)
+def source_csv_quarantine(spark, customer):
+    path = scratch_path(spark, "broken")
+    case = BROKEN.removeprefix("SELECT c_custkey, ").removesuffix(" FROM customer").removesuffix(" AS line")
+    customer.selectExpr(f"{case} AS value").write.text(path)
+    found = formats.quarantine(spark, path, "csv", T.StructType().add("c_custkey", T.LongType()).add("c_name", T.StringType()).add("c_nationkey", T.IntegerType()))
+    good = found.rows.select("c_custkey", F.lit(None).cast("string").alias("line"), F.lit(None).cast("string").alias("reason"))
+    return good.unionByName(found.refused.select(F.lit(None).cast("bigint").alias("c_custkey"), "line", "reason"))
