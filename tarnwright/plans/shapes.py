@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnwright.functions.types import big
+from tarnwright.functions.types import big, dbl, money
 from tarnwright.operators import variants
 from tarnwright.plans.relational import query
-from tarnwright.sources import arrow_log, formats
+from tarnwright.sources import arrow_log, bucketed, formats
 from tarnwright.sources.scratch import scratch_path
 
 # --- JSON of several shapes: props as it is, wrapped, in a list, with more members, and cut off
@@ -101,3 +101,15 @@ def source_csv_quarantine(spark, customer):
     found = formats.quarantine(spark, path, "csv", T.StructType().add("c_custkey", T.LongType()).add("c_name", T.StringType()).add("c_nationkey", T.IntegerType()))
     good = found.rows.select("c_custkey", F.lit(None).cast("string").alias("line"), F.lit(None).cast("string").alias("reason"))
     return good.unionByName(found.refused.select(F.lit(None).cast("bigint").alias("c_custkey"), "line", "reason"))
+
+
+# --- buckets
+
+
+@query("""SELECT o_orderkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(14,2))) AS DOUBLE) AS price, CAST(count(*) AS BIGINT) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey""")
+def join_bucketed(orders, lineitem):
+    o = bucketed.bucketed(orders.select("o_orderkey"), ["o_orderkey"], 8)
+    l = bucketed.bucketed(lineitem.select("l_orderkey", "l_extendedprice"), ["l_orderkey"], 8)  # noqa: E741
+    # both sides meet, and are added up, in their buckets
+    met = o.hint("merge").join(l, F.col("o_orderkey") == F.col("l_orderkey"))
+    return met.groupBy("o_orderkey").agg(dbl(F.sum(money("l_extendedprice"))).alias("price"), F.count(F.lit(1)).alias("n"))

@@ -176,3 +176,11 @@ def test_plans(spark):
     assert "WindowGroupLimit" in plan("topk_per_group") and "TakeOrderedAndProject" in plan("topk_global")
     for name in ("join_range", "join_asof", "join_four_way_revenue", "subquery_scalar"):
         assert "NestedLoop" not in plan(name) and "Cartesian" not in plan(name)
+
+
+def test_buckets_join_and_group_without_an_exchange(spark):
+    from tarnwright.plans import catalog
+
+    df = catalog.QUERIES["join_bucketed"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
