@@ -18,7 +18,7 @@ import hashlib
 import html as entities
 import json
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -47,11 +47,14 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 BLOCKS_END_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 APART = {"nav", "aside", "footer", "header", "form", "menu", "button", "select", "dialog"} | HIDDEN
 APART_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar"}
-APART_WORD = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "popup", "promo", "related", "replies", "respond", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar"}
+APART_WORD = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "discussion", "disqus", "footer", "gdpr", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "popup", "promo", "related", "replies", "respond", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar"}
 #: Words that say where or how an element stands; with one of APART_WORD they name an element apart, any other word doesn't.
-PLACE_WORD = {"area", "bar", "block", "bottom", "box", "btn", "button", "buttons", "center", "column", "container", "content", "desktop", "fixed", "form", "global", "group", "header", "holder", "icons", "inner", "item", "items", "left", "links", "list", "main", "mobile", "outer", "overlay", "page", "panel", "primary", "region", "right", "row", "secondary", "section", "site", "slot", "sticky", "strip", "top", "unit", "user", "widget", "wrap", "wrapper"}
+PLACE_WORD = {"area", "bar", "block", "bottom", "box", "btn", "button", "buttons", "center", "column", "container", "content", "desktop", "fixed", "form", "global", "group", "header", "holder", "icons", "inner", "info", "item", "items", "law", "left", "links", "list", "main", "mobile", "outer", "overlay", "page", "panel", "posts", "primary", "region", "right", "row", "secondary", "section", "signup", "site", "slot", "sticky", "strip", "thread", "top", "unit", "user", "widget", "wrap", "wrapper"}
+#: Words of the main text itself place an element too: the footer of an entry is no part of it.
 MAIN_WORD = {"article", "articlebody", "content", "entry", "main", "post", "story"}
 
+_PLACED = APART_WORD | PLACE_WORD | MAIN_WORD
+
 #: A tag, comment or declaration.  A quote matters only round a whole value, so a stray one hides nothing; what never ends goes.
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*(?:\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>]))|[^>])*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -74,7 +77,7 @@ class Element:
         self.token = f"<{name}{''.join(f' {k}={v}' for k, v in found)}>"
         parts = [_WORD.findall(part) for k, v in found if k != "role" for part in v.split() if not _WITHOUT.match(part)]
         words = {w for part in parts for w in part}
-        named = any(APART_WORD.intersection(part) and APART_WORD.union(PLACE_WORD).issuperset(part) for part in parts)
+        named = any(APART_WORD.intersection(part) and _PLACED.issuperset(part) for part in parts)
         self.unseen = every.get("hidden", "false" if "hidden" not in every else "") != "false" or "display:none" in every.get("style", "").replace(" ", "")
         roles = {w for k, v in found if k == "role" for w in v.split()}
         self.apart = name in APART or self.unseen or named and name not in ("html", "body", "article", "main") or bool(roles & APART_ROLE)
@@ -84,13 +87,17 @@ class Element:
 def events(page: str) -> Iterator[tuple[str, Element | str]]:
     """('open' | 'close', element), ('text', decoded text) and ('break', name), in page order; every element is closed."""
     stack: list[Element] = []
+    opened: Counter[str] = Counter()
     at = 0
 
     def close(names: set[str], stop: set[str]) -> list[Element]:
+        if not any(opened[n] for n in names):  # else a page of stray ends would search all that is open for each
+            return []
         for i in range(len(stack) - 1, -1, -1):
             if stack[i].name in names:
                 done = stack[i:][::-1]
                 del stack[i:]
+                opened.subtract(e.name for e in done)
                 return done
             if stack[i].name in stop:
                 return []
@@ -126,6 +133,7 @@ def events(page: str) -> Iterator[tuple[str, Element | str]]:
             at = end.end() if end else len(page)
             continue
         stack.append(element)
+        opened[name] += 1
         yield "open", element
     yield from (("close", e) for e in stack[::-1])
 
@@ -399,7 +407,13 @@ def _side_by_side(parts: list[list], pieces: list, template: dict) -> list[list]
     rank = template["rank"] if main else max((x[0].rank for x in parts), default=0)
     if rank < 2:
         return main
-    beside = [x for x in parts if x[0].rank == rank and all(x[1] >= m[2] or x[2] <= m[1] for m in main)]
+    starts = [m[1] for m in main]  # in page order, none within another
+
+    def apart_from_main(x: list) -> bool:
+        i = bisect_right(starts, x[1])
+        return (i == 0 or main[i - 1][2] <= x[1]) and (i == len(main) or main[i][1] >= x[2])
+
+    beside = [x for x in parts if x[0].rank == rank and apart_from_main(x)]
     beside = [x for x in outer(beside) if not links_only(x)] or ([] if main else outer(beside))
     return sorted(main + beside, key=lambda x: x[1])
 

@@ -1,3 +1,5 @@
+import pytest
+
 from tarnwright.llm import html_extract as op
 
 PAGE = (
@@ -39,3 +41,25 @@ def test_equivalence_classes(spark):
 
 def test_empty(spark):
     assert op.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["related-posts", "entry-footer", "post-footer", "post-navigation", "newsletter-signup", "article-comments", "comment-thread", "cookie-law-info", "article-sidebar", "discussion"])
+def test_class_names_of_several_words_stand_apart(spark, name):
+    body = "Main text of the page, long enough to be the article by far, with some more words in it."
+    page = f"<body><article><p>{body}</p><div class='{name}'><article><p>Apart {name}</p></article></div></article></body>"
+    other = f"<body><div class='post'><p>{body}</p><div class='{name}'>Apart</div></div></body>"
+    rows = [(1, "http://a.com/1", page), (2, "http://b.com/1", other), (3, "http://c.com/1", page.replace(name, "share-price")), (4, "http://d.com/1", other.replace(name, "no-sidebar"))]
+    out = {r.page_id: r.text for r in op.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[1] == out[2] == body and out[3] == f"{body} Apart share-price" and out[4] == f"{body} Apart"
+
+
+def test_many_elements_take_linear_time():
+    import time
+
+    for page in (lambda n: "<article><p>text of one</p></article>" * n, lambda n: "<div>" * n + "</p>x" * n, lambda n: "<main>" + "<article>a b</article>" * n + "</main>"):
+        took = []
+        for n in (5_000, 20_000):
+            began = time.perf_counter()
+            op.main_text(page(n), {"main": "<article>", "rank": 3, "fixed": [], "root": [], "nested": {}})
+            took.append(time.perf_counter() - began)
+        assert took[1] < 10 * took[0] + 1, took
