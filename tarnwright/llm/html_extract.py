@@ -5,7 +5,8 @@ host, a token's occurrence vector lists how often it stands on each page; tokens
 equivalence class.  A vector is kept as two sums of hashes of (page, count), so it is aggregated like any sum and no
 task sees a host's pages together.  Classes that stand on enough of the host's pages and keep one order are valid.  The
 class of tokens that stand once on every page is the template's root; classes of repeated tokens nest in the gap of the
-root in which all their occurrences lie.  What lies between template tokens are slots.  The template element whose slots
+root in which all their occurrences lie.  Blocks of equal tags (CONTAINERS) are tokens of their roles as well: of their path
+of elements and their place among the equal children of each element on it.  What lies between template tokens are slots.  The template element whose slots
 hold the article is chosen once for a host, and its slots, less those of menus, notices and the like nested in it, are a
 page's main text.
 
@@ -18,9 +19,11 @@ import hashlib
 import html as entities
 import json
 import re
+import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -53,6 +56,9 @@ PLACE_WORD = {"area", "bar", "block", "bottom", "box", "btn", "button", "buttons
 #: Words of the main text itself place an element too: the footer of an entry is no part of it.
 MAIN_WORD = {"article", "articlebody", "content", "entry", "main", "post", "story"}
 
+#: Blocks that hold parts of a page and say by no name which; pages of one template differ in what these hold.
+CONTAINERS = {"center", "div", "section", "td"}
+
 _PLACED = APART_WORD | PLACE_WORD | MAIN_WORD
 
 #: A tag, comment or declaration.  A quote matters only round a whole value, so a stray one hides nothing; what never ends goes.
@@ -62,15 +68,17 @@ _ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _UNQUOTED_END = re.compile(r"=\s*[^\s\"'][^\s\"']*$")
 _DIGITS = re.compile(r"\d+")
 _WORD = re.compile(r"[a-z]+")
+_ROLE = re.compile(r">@[0-9a-f]+$")
 _WITHOUT = re.compile(r"(?:no|has|with|without)[-_]")
 
 
 class Element:
     """An open element: its name, its token, and whether it stands apart from the main text."""
 
-    __slots__ = ("apart", "chars", "links", "name", "rank", "token", "unseen")
+    __slots__ = ("apart", "chars", "children", "links", "name", "nth", "parent", "rank", "role", "token", "unseen")
 
-    def __init__(self, name: str, attributes: str):
+    def __init__(self, name: str, attributes: str, parent: Element | None = None):
+        self.parent, self.children, self.role = parent, {}, 0
         every = {k.lower(): (a or b or c).strip().lower() for k, a, b, c in _ATTRIBUTE.findall(attributes)} if attributes else {}
         found = sorted((k, _DIGITS.sub("0", v)) for k, v in every.items() if k in ("class", "id", "role", "itemprop") and v)
         self.name, self.chars, self.links = name, 0, 0
@@ -81,9 +89,26 @@ class Element:
         self.unseen = every.get("hidden", "false" if "hidden" not in every else "") != "false" or "display:none" in every.get("style", "").replace(" ", "")
         roles = {w for k, v in found if k == "role" for w in v.split()}
         self.apart = name in APART or self.unseen or named and name not in ("html", "body", "article", "main") or bool(roles & APART_ROLE)
+        if parent:
+            self.nth = parent.children[self.token] = parent.children.get(self.token, 0) + 1
+        else:
+            self.nth = 1
         self.rank = 3 if name == "article" or "articlebody" in words else 2 if name == "main" or "main" in roles or words & MAIN_WORD else 1 if name not in INLINE else 0
 
 
+def _with_roles(found: list) -> None:
+    """Sets each element's role: its path of tokens, with its place among the equal children of each and how many these are."""
+    for kind, x in found:
+        if kind == "open":
+            above, of = (x.parent.role, x.parent.children[x.token]) if x.parent else (0, 1)
+            x.role = _mix(above + zlib.crc32(x.token.encode("utf-8", "surrogatepass")) + (x.nth << 32) + (of << 48) & 0xFFFFFFFFFFFFFFFF)
+
+
+def _role_token(x: Element) -> str | None:
+    """The token of an element's role, for blocks that no name tells apart."""
+    return f"{x.token}@{x.role:x}" if x.name in CONTAINERS and x.rank == 1 and not x.apart else None
+
+
 def events(page: str) -> Iterator[tuple[str, Element | str]]:
     """('open' | 'close', element), ('text', decoded text) and ('break', name), in page order; every element is closed."""
     stack: list[Element] = []
@@ -127,7 +152,7 @@ def events(page: str) -> Iterator[tuple[str, Element | str]]:
             yield from (("close", e) for e in close(ended, {"article", "aside", "body", "div", "dl", "main", "ol", "section", "table", "ul"} - ended))
         if name in ("svg", "math") and m[3].endswith("/") and not _UNQUOTED_END.search(m[3]):
             continue  # self-closed: nothing stands in it
-        element = Element(name, m[3])
+        element = Element(name, m[3], stack[-1] if stack else None)
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
@@ -150,7 +175,6 @@ def tokens(page: str) -> dict[str, list[int]]:
     """
     found = [*events(page)]
     whole: dict[int, int] = {}
-    open_now: list[Element] = []
     hidden = links = every = 0
     for kind, x in found:
         if kind in ("open", "close"):
@@ -158,16 +182,14 @@ def tokens(page: str) -> dict[str, list[int]]:
             hidden += step * (x.name in HIDDEN or x.unseen)
             links += step * (x.name == "a")
             if x.apart and x.name not in HIDDEN and not x.unseen:
-                open_now.append(x) if kind == "open" else open_now.remove(x)
+                whole[id(x)] = every - whole.get(id(x), 0)
         elif kind == "text" and not hidden and not links:
-            n = len(" ".join(x.split()))
-            every += n
-            for e in open_now:
-                whole[id(e)] = whole.get(id(e), 0) + n
+            every += len(" ".join(x.split()))
     enclosing = {k for k, n in whole.items() if n >= 0.9 * every > 0}
+    _with_roles(found)
 
     out: dict[str, list[int]] = {}
-    open_now = []
+    open_now: list[Element] = []  # elements close in the reverse order
     apart = links = 0
 
     def seen(token: str, chars: int = 0, linked: int = 0, encloses: bool = False) -> None:
@@ -183,10 +205,14 @@ def tokens(page: str) -> dict[str, list[int]]:
             apart += x.apart and id(x) not in enclosing
             links += x.name == "a"
             seen(x.token, encloses=id(x) in enclosing)
+            if role := _role_token(x):
+                seen(role)
         elif kind == "close":
-            open_now.remove(x)
+            open_now.pop()
             apart -= x.apart and id(x) not in enclosing
             links -= x.name == "a"
+            if role := _role_token(x):
+                seen("/" + role, x.chars, x.links)
             seen("/" + x.token, x.chars, x.links)
             if open_now:
                 open_now[-1].chars += x.chars
@@ -239,8 +265,16 @@ def _enclosed(names: list[str]) -> dict[str, list[str]]:
     be one of several that fill a slot.
     """
     ends = {t[1:]: i for i, t in enumerate(names) if t.startswith("/<")}
-    pairs = [(i, ends[t], t) for i, t in enumerate(names) if t in ends]
-    return {t: [name for first, last, name in pairs if first < i < last] for i, t in enumerate(names) if t[0] == "#" and any(first < i < last for first, last, _ in pairs)}
+    out: dict[str, list[str]] = {}
+    open_now: dict[str, None] = {}
+    for i, t in enumerate(names):
+        if ends.get(t, -1) > i:
+            open_now[t] = None
+        elif t[0] == "/":
+            open_now.pop(t[1:], None)
+        elif t[0] == "#" and open_now:
+            out[t] = [*open_now]
+    return out
 
 
 def deduce(table: pd.DataFrame, pages: int, texts: bool = True) -> dict:
@@ -277,15 +311,18 @@ def deduce(table: pd.DataFrame, pages: int, texts: bool = True) -> dict:
         fixed += [r for r in rs if r.token in within]
     encloses = [r.token for r in rows if r.encloses >= SUPPORT * pages]
     candidates = []
+    fixed.sort(key=lambda f: f.first / f.pages)
+    places = [f.first / f.pages for f in fixed]
+    chars = [0, *accumulate(f.chars - f.links for f in fixed)]
     for rs in classes.values():
         opened = {r.token: r for r in rs}
         for r in rs:
             if r.token.startswith("/<") and r.token[1:] in opened:
-                name, _, attributes = r.token[2:-1].partition(" ")
+                name, _, attributes = _ROLE.sub(">", r.token)[2:-1].partition(" ")
                 e = Element(name, "".join(f' {k}="{v}"' for k, v in re.findall(r"(class|id|role|itemprop)=(.*?)(?= (?:class|id|role|itemprop)=|$)", attributes)))
                 if not e.apart and e.rank and r.chars and (e.rank > 1 or r.pages == r.total):
                     first, last = opened[r.token[1:]].first / r.pages, r.first / r.pages
-                    template = sum(f.chars - f.links for f in fixed if first < f.first / f.pages < last)
+                    template = chars[bisect_left(places, last)] - chars[bisect_right(places, first)] if first < last else 0
                     candidates.append((e.rank, r.chars - r.links - template, last, r.token[1:]))
     best: tuple = (0, 0, 0.0, "")
     if candidates:
@@ -321,7 +358,10 @@ def _aligned(found: list, template: dict) -> set[int]:
             continue
         else:
             token = x.token if kind == "open" else "/" + x.token
-            open_now[x.token] += 1 if kind == "open" else -1
+            step = 1 if kind == "open" else -1
+            open_now[x.token] += step
+            if role := _role_token(x):
+                open_now[role] += step
         i = index.get(token)
         if i is not None:
             if kind == "text":
@@ -337,6 +377,11 @@ def _aligned(found: list, template: dict) -> set[int]:
     return out
 
 
+def _is_main(x: Element, template: dict) -> bool:
+    main = template["main"]
+    return main in (x.token, _role_token(x)) if main else False
+
+
 def main_text(page: str | None, template: dict) -> str:
     """The text in the slots of the template's main element; without it, of the best elements by name, or of the body.
 
@@ -350,6 +395,7 @@ def main_text(page: str | None, template: dict) -> str:
     running: list[list] = []
     apart_at: list[Element] = []
     found = [*events(page)]
+    _with_roles(found)
     fixed = _aligned(found, template)
     links = 0
     for place, (kind, x) in enumerate(found):
@@ -360,13 +406,13 @@ def main_text(page: str | None, template: dict) -> str:
             own_title = x.name == "header" and any(e.rank >= 2 for e, *_ in running)
             if x.apart and not own_title and x.token not in template.get("encloses", ()):
                 apart_at.append(x)
-            if not apart_at and (x.token == template["main"] or x.rank >= 2):
+            if not apart_at and (_is_main(x, template) or x.rank >= 2):
                 parts.append([x, len(pieces), 0])
                 running.append(parts[-1])
         elif kind == "close":
             links -= x.name == "a"
-            if x in apart_at:
-                apart_at.remove(x)
+            if apart_at and apart_at[-1] is x:
+                apart_at.pop()
             if running and running[-1][0] is x:
                 running.pop()[2] = len(pieces)
             if x.name not in INLINE:
@@ -397,12 +443,12 @@ def _side_by_side(parts: list[list], pieces: list, template: dict) -> list[list]
 
     # a <main> with text of its own beside its articles is one part
     for x in parts:
-        if (x[0].name == "main" or "role=main" in x[0].token) and x[0].token != template["main"]:
+        if (x[0].name == "main" or "role=main" in x[0].token) and not _is_main(x[0], template):
             within = outer([y for y in parts if y is not x and x[1] <= y[1] and y[2] <= x[2] and y[0].rank == 3])
             own = [p for a, b in zip([x[1], *[y[2] for y in within]], [*[y[1] for y in within], x[2]]) for p in pieces[a:b] if p and p[0].strip()]
             if within and any(not p[1] and not p[2] for p in own):
                 return [x]
-    main = outer([x for x in parts if x[0].token == template["main"]])
+    main = outer([x for x in parts if _is_main(x[0], template)])
     main = [x for x in main if not links_only(x)] or main
     rank = template["rank"] if main else max((x[0].rank for x in parts), default=0)
     if rank < 2:

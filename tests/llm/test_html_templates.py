@@ -96,6 +96,45 @@ def test_repeated_blocks_in_slots_of_hosts_without_names(spark):
         assert html_extract.main_text(rows[i][2], NONE) != out[i]
 
 
+def test_roles_of_equal_blocks_on_pages_without_names(spark):
+    """With every sectioning element a div and every class word neutral, pages give the text that they give with names."""
+    import re
+
+    pages = [(r.page_id, r.url, r.html) for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url", "html").collect()]
+    neutral = [(i, url, re.sub(r"<(/?)(?:article|main|nav|aside|footer|header|section)\b", r"<\1div", html).replace('class="ad"', 'class="x"')) for i, url, html in pages]
+    named, found = texts(spark, pages), texts(spark, neutral)
+    assert all(html_extract.main_text(html, NONE) == named[i] for i, _, html in pages)
+    assert sum(found[i] == named[i] for i in named) >= 0.95 * len(named)
+    assert sum(html_extract.main_text(html, NONE) == named[i] for i, _, html in neutral) == 0
+
+
+def test_roles_tell_constant_blocks_only(spark):
+    """Blocks whose number varies are no roles: none is taken for the whole text; a page of other blocks keeps all its text."""
+    page = "<body><div><a href=x>home</a> Of today</div><div>{}</div></body>"
+    rows = [(i, f"http://v.org/{i}", page.format("".join(f"<div>part {i}.{k} of it</div>" for k in range(1 + i % 3)))) for i in range(12)]
+    rows.append((20, "http://v.org/20", "<body><div>only 20</div></body>"))
+    out = texts(spark, rows)
+    for i in range(12):
+        assert out[i] == " ".join(f"part {i}.{k} of it" for k in range(1 + i % 3))
+    assert out[20] == "only 20"
+
+
+def test_time_is_linear_in_nested_and_equal_blocks(spark):
+    import time
+
+    def seconds(n):
+        nested = "<body>" + "<div class=ad>" * n + "x" + "</div>" * n + "<div>" * n + "deep" + "</div>" * n
+        equal = "<body>" + "<div>always</div>" * n + "</body>"
+        at = time.process_time()
+        for p in (nested, equal):
+            html_extract.tokens(p), html_extract.main_text(p, NONE)
+        return time.process_time() - at
+
+    assert seconds(40_000) < 12 * max(seconds(10_000), 0.05)
+    out = texts(spark, [(i, "http://d.org/", "<body>" + "<div>same</div>" * 10_000 + f"<div>own {i}</div></body>") for i in range(5)])
+    assert all(t.endswith(f"own {i}") for i, t in out.items())
+
+
 def test_templates_match_a_plain_deduction(spark):
     """Exact occurrence vectors, held in a dictionary, give the templates that Spark's sums of hashes give."""
     import json
