@@ -24,8 +24,8 @@ from tarnwright.llm.shared import lean
 
 #: Fixed value: the word pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces that the cache of one Python worker holds before it starts anew.
-CACHE = 400_000
+#: Characters of the pieces from which a Python worker's cache becomes the older of two, which keeps what is still met.
+CACHE = 2_000_000
 #: Characters of a piece from which it isn't cached.
 LONG_PIECE = 256
 #: Symbols that one call of the merge rounds takes, about.
@@ -100,9 +100,9 @@ class Vocabulary:
         symbols = self.of_byte[np.frombuffer(b"".join(words[i] for i in which), np.uint8)]
         owner = np.repeat(np.arange(len(which)), lengths)
         last = len(self.ranks)
+        rank = np.full(len(symbols), last, np.int64)
+        rank[:-1] = np.where(owner[:-1] == owner[1:], self.rank(symbols[:-1], symbols[1:]), last)
         while len(symbols):
-            rank = np.full(len(symbols), last, np.int64)
-            rank[:-1] = np.where(owner[:-1] == owner[1:], self.rank(symbols[:-1], symbols[1:]), last)
             starts = np.flatnonzero(np.diff(owner, prepend=-1))
             least = np.minimum.reduceat(rank, starts)
             done = least == last
@@ -129,7 +129,15 @@ class Vocabulary:
             symbols[at] = self.merged[rank[at]]
             keep = live
             keep[at + 1] = False
-            symbols, owner = symbols[keep], owner[keep]
+            # only the pairs of merged symbols, and those before them, have new ranks
+            changed = (np.cumsum(keep) - 1)[at]
+            symbols, owner, rank = symbols[keep], owner[keep], rank[keep]
+            changed = np.concatenate([changed, changed[changed > 0] - 1])
+            changed = changed[changed + 1 < len(symbols)]
+            same = owner[changed] == owner[changed + 1]
+            rank[changed] = np.where(same, self.rank(symbols[changed], symbols[changed + 1]), last)
+            if len(rank):
+                rank[-1] = last
 
 
 def _least_near(x: np.ndarray, width: int) -> np.ndarray:
@@ -167,23 +175,30 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.words = vocabulary, regex.compile(PATTERN)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.size = 0
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
         """The ids of each of some distinct pieces."""
-        index: dict[str, int] = {}
-        cut = [[index.setdefault(w, len(index)) for w in self.words.findall(p)] for p in new]
-        ids = [x.astype("<u4").tobytes() for x in self.v.encode_words([w.encode() for w in index])]
-        return {p: ids[c[0]] if len(c) == 1 else b"".join([ids[i] for i in c]) for p, c in zip(new, cut, strict=True)}
+        # a space and letters of ASCII are one word of the pattern
+        plain = [p for p in new if p[:1] == " " and p.isascii() and p[1:].isalpha()]
+        cut = {p: self.words.findall(p) for p in {*new}.difference(plain)}
+        words = [*{*plain}.union(*cut.values())]
+        ids = dict(zip(words, [x.astype("<u4").tobytes() for x in self.v.encode_words([w.encode() for w in words])], strict=True))
+        return {p: ids[p] for p in plain} | {p: b"".join([ids[w] for w in c]) for p, c in cut.items()}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.v.split.split(t) if self.v.split and any(s in t for s in self.v.special) else [t] for t in texts]
         cut = [[x if i % 2 else pieces(x) for i, x in enumerate(s)] for s in split]
-        if len(self.cache) > CACHE:
-            self.cache = {}
-        cache = self.cache
+        if self.size > CACHE:
+            self.cache, self.older, self.size = {}, self.cache, 0
+        cache, older = self.cache, self.older
         new = {p for parts in cut for part in parts[::2] for p in part}.difference(cache)
-        learnt = self._learn(list(new))
-        cache.update((p, x) for p, x in learnt.items() if len(p) < LONG_PIECE)
+        met = {p: older[p] for p in new if p in older} if older else {}
+        learnt = self._learn([*new.difference(met)])
+        met.update((p, x) for p, x in learnt.items() if len(p) < LONG_PIECE)
+        self.size += sum(map(len, met))
+        cache.update(met)
         rest = {p: x for p, x in learnt.items() if len(p) >= LONG_PIECE}
         get = (lambda p: cache[p] if p in cache else rest[p]) if rest else cache.__getitem__
         special = {s: int(i).to_bytes(4, "little") for s, i in self.v.special.items()}
