@@ -23,6 +23,8 @@ from tarnwright.llm.shared import hinted, lean, whole
 PROFILE = 400
 #: Labelled texts of each language that profiles are learnt from, on average; chosen by a hash of doc_id.
 SAMPLE = 2_000
+#: Languages that are learnt: those with the most labelled texts, so that a dirty column makes no unbounded model.
+LANGUAGES = 1_000
 UNKNOWN = "und"
 _GAP = re.compile(r"[\W\d_]+")
 
@@ -50,17 +52,18 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"lang": lang, "gram": codes, "n": counts})
 
 
-def profiles(labelled: DataFrame, sample: int = SAMPLE, most: int = PROFILE) -> dict[str, list[int]]:
+def profiles(labelled: DataFrame, sample: int = SAMPLE, most: int = PROFILE, languages: int = LANGUAGES) -> dict[str, list[int]]:
     """Each language's n-grams by falling count (ties by code), from text and lang of rows where neither is null.
 
-    About `sample` rows of each language are read, those whose hash of doc_id is lowest; fewer if there are fewer.
+    The `languages` values of lang with the most rows are learnt (ties: the first by name); a text of any other is still
+    read, and predicted as the nearest of these.  About `sample` rows of each language are read, those whose hash of doc_id is lowest; fewer if there are fewer.
     """
     known = labelled.select("doc_id", "text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    sizes = sizes.orderBy(F.col("rows").desc(), "lang").limit(languages)
     sizes = sizes.select("lang", (F.lit(float(sample)) / F.col("rows")).alias("share")).collect()
     if not sizes:
         return {}
-    # a row for each language: the languages of a corpus are few, and each is learnt
     shares = hinted(known.sparkSession.createDataFrame([tuple(x) for x in sizes], "lang string, share double"), len(sizes))
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("profiles")), F.lit(1_000_000)) / 1e6
     drawn = known.join(shares, "lang").filter(draw < F.col("share")).select("lang", "text")

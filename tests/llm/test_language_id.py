@@ -64,3 +64,14 @@ def test_ties_clashing_names_and_long_texts(spark):
     kept = op.with_language(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {*range(40), 100}
     assert op.with_language(docs.filter("false")).count() == 0
+
+
+def test_a_dirty_column_makes_a_bounded_model(spark):
+    rows = [(i, w, lang) for i, (lang, w) in enumerate([*WORDS.items()] * 20)]
+    rows += [(1000 + i, "zqx zqx", f"typo{i:04}") for i in range(1200)] + [(5000 + i, "zqx zqx", "typo0000") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learnt = op.profiles(docs)
+    assert len(learnt) == op.LANGUAGES and set(WORDS) <= set(learnt)
+    assert sorted(op.profiles(docs, languages=5)) == sorted([*WORDS, "typo0000", "typo0001"])
+    found = {r.doc_id: r.lang_pred for r in op.identify(docs, op.profiles(docs, languages=3)).collect()}
+    assert len(found) == len(rows) and all(found[i] == lang for i, _, lang in rows[:60]) and found[1000] in WORDS
