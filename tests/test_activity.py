@@ -42,3 +42,31 @@ def test_first_seen_and_expiry(spark):
         assert sorted(r.event_id for r in kept.collect()) == [1, 2, 3]
         short = streams.in_steps([*steps, steps[0]], lambda rows: activity.first_seen(rows, 1), "append", once=True)  # gone by the next step
         assert sorted(r.event_id for r in short.collect()) == [1, 1, 2, 2, 2, 3]
+
+
+def test_keys_of_a_bucket_expire_one_by_one():
+    """A call takes a whole bucket; a key goes by the time that it was seen last itself."""
+    import types
+
+    import pandas as pd
+
+    class Value:
+        held = None
+        exists = lambda self: self.held is not None
+        get = lambda self: self.held
+
+        def update(self, x):
+            self.held = x
+
+    first, value = activity._First(100), Value()
+    first.init(types.SimpleNamespace(getValueState=lambda *_: value))
+
+    def fresh(now, *batches):
+        at = types.SimpleNamespace(getCurrentProcessingTimeInMs=lambda: now)
+        return [i for out in first.handleInputRows((0,), iter([pd.DataFrame({"event_id": b}) for b in batches]), at) for i in out["event_id"]]
+
+    assert fresh(0, [3, 1, 3], [1, 2]) == [1, 2, 3]
+    assert fresh(60, [2, 4]) == [4]
+    assert fresh(99, [1]) == []
+    assert fresh(110, [1, 2, 3, 4]) == [3]  # 3 was last seen at 0, the others at 99, 60 and 60
+    assert fresh(300, [4]) == [4] and len(value.held[0]) == 8  # what has expired takes no room
