@@ -70,3 +70,32 @@ def test_keys_of_a_bucket_expire_one_by_one():
     assert fresh(99, [1]) == []
     assert fresh(110, [1, 2, 3, 4]) == [3]  # 3 was last seen at 0, the others at 99, 60 and 60
     assert fresh(300, [4]) == [4] and len(value.held[0]) == 8  # what has expired takes no room
+
+
+def test_users_of_a_bucket_share_a_timer():
+    """One timer for all users of a bucket, always at the first end; whom it doesn't end stays."""
+    import types
+
+    import pandas as pd
+
+    timers, held = set(), []
+
+    def put(rows):
+        held[:] = rows
+
+    since = types.SimpleNamespace(get=lambda: iter(held), put=put, clear=held.clear)
+    handle = types.SimpleNamespace(getListState=lambda *_: since, registerTimer=timers.add, deleteTimer=timers.remove)
+    pauses = activity._Pauses(10_000)
+    pauses.init(handle)
+    at = lambda ms: types.SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    batch = lambda *rows: iter([pd.DataFrame(rows, columns=["user_id", "event_id", "event_type", "at"])])
+    told = lambda frames: [tuple(None if pd.isna(x) else x for x in r) for f in frames for r in f.itertuples(index=False)]
+
+    assert told(pauses.handleInputRows((0,), batch((1, 1, "a", 0), (2, 2, "a", 5_000), (2, 3, "b", 15_000), (3, 4, "a", 90_000)), at(0))) == [] and timers == {11}
+    timers.clear()  # Spark takes a timer away once it was told
+    assert told(pauses.handleExpiredTimer((0,), at(20), None)) == [(1, "pause", 0, 1, 1)] and timers == {26}
+    # the watermark is past user 2, who isn't in the batch; event 5 is late
+    assert told(pauses.handleInputRows((0,), batch((3, 5, "a", 29_000), (3, 6, "c", 95_000)), at(30))) == [(3, "late", 5, None, None), (2, "pause", 15_000, 2, 2)]
+    assert timers == {106} and held == [(3, 95_000, 2, ["a", "c"])]
+    timers.clear()
+    assert told(pauses.handleExpiredTimer((0,), at(106), None)) == [(3, "pause", 95_000, 2, 2)] and not timers and not held
