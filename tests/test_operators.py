@@ -194,3 +194,5 @@ def test_distinct_parts_are_exact_beside_their_sketch(spark, tmp_path):
     parts.write.parquet(str(tmp_path / "lineitem.parquet"))
     out = {r.l_returnflag: tuple(r)[1:] for r in catalog.QUERIES["agg_approx_distinct"](spark, str(tmp_path)).collect()}
     assert out == {"A": (99_998, True), "N": (99_997, True), None: (99_997, True)}
+    out = {r.l_returnflag: r.n for r in catalog.QUERIES["agg_sketch_merge"](spark, str(tmp_path)).collect()}
+    assert out == {"A": 99_998, "N": 99_997, None: 99_997}
