@@ -45,6 +45,30 @@ def percentile(df: DataFrame, group: list[str], value: str, share: float, slice_
     return found.select("key.*", (F.col("low") + (F.col("high") - F.col("low")) * (F.col("place") - F.floor("place"))).alias("percentile"))
 
 
+def range_counts(points: DataFrame, at: str, ranges: DataFrame, low: str, high: str, name: str = "n", slice_rows: int = SLICE) -> DataFrame:
+    """ranges with the number of points where low <= at <= high, as a column `name`; ranges with a null bound, or low > high, are left out.
+
+    No pair of a point and a range is made: a range has the points up to its high less those below its low.  Values of points and
+    bounds are sorted once, in slices of about equal size by ranges of them, and running counts within slices go on from the
+    sums of the slices before.  Equal values are counted first, so that none is a slice too large.
+    """
+    r = ranges.filter(named(low) <= named(high)).select(F.struct(*[named(c) for c in ranges.columns]).alias("range"), named(low).alias("low"), named(high).alias("high"))
+    counted = points.select(named(at).alias("v")).filter("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    # of equal values a low comes before the points, a high after them
+    marks = counted.select("v", F.lit(1).alias("side"), "n")
+    for side, bound in ((0, "low"), (2, "high")):
+        marks = marks.unionByName(r.select(F.col(bound).alias("v"), F.lit(side).alias("side"), F.lit(0).cast("long").alias("n")).distinct())
+    marks = _written(marks, "marks")
+    slices = max(1, -(-marks.count() // slice_rows))
+    dealt = _written(marks.repartitionByRange(slices, "v", "side").withColumn("slice", F.spark_partition_id()), "slices")
+    totals = dealt.groupBy("slice").agg(F.sum("n").alias("total"))  # one row a slice
+    before = F.sum("total").over(Window.partitionBy(F.lit(0)).orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")
+    within = F.sum("n").over(Window.partitionBy("slice").orderBy("v", "side").rowsBetween(Window.unboundedPreceding, 0))
+    upto = dealt.withColumn("within", within).filter("side <> 1").join(totals.select("slice", before.alias("before")), "slice").select("v", "side", (F.col("before") + F.col("within")).alias("upto"))
+    below, reached = upto.filter("side = 0").select(F.col("v").alias("low"), F.col("upto").alias("below")), upto.filter("side = 2").select(F.col("v").alias("high"), F.col("upto").alias("reached"))
+    return r.join(below, "low").join(reached, "high").select("range.*", (F.col("reached") - F.col("below")).alias(name))
+
+
 #: Keys of one bitmap of Spark's bitmap functions.
 BITMAP = 32_768
 

@@ -196,3 +196,25 @@ def test_distinct_parts_are_exact_beside_their_sketch(spark, tmp_path):
     assert out == {"A": (99_998, True), "N": (99_997, True), None: (99_997, True)}
     out = {r.l_returnflag: r.n for r in catalog.QUERIES["agg_sketch_merge"](spark, str(tmp_path)).collect()}
     assert out == {"A": 99_998, "N": 99_997, None: 99_997}
+
+
+@pytest.mark.parametrize("slice_rows", [7, 1_000_000])
+def test_range_counts_against_a_loop(spark, slice_rows):
+    from tarnwright.operators.aggregates import range_counts
+
+    points = [(i, i * 3.7 % 100 - 20) for i in range(80)] + [(i, 5.0) for i in range(50)] + [(900, None), (901, -0.0), (902, 0.0), (903, float("nan"))]
+    ranges = [(i, i * 11.0 % 90 - 20, i * 11.0 % 90 - 20 + i % 13) for i in range(40)] + [(99, 5.0, 1.0), (98, None, 2.0), (97, 5.0, 5.0), (97, 5.0, 5.0), (96, 0.0, -0.0), (95, -1e6, 1e6), (94, 500.0, 600.0)]
+    p, r = spark.createDataFrame(points, "id int, x double"), spark.createDataFrame(ranges, "v int, low double, `b``c` double")
+    out = range_counts(p, "x", r, "low", "b`c", "side", slice_rows)
+    assert out.columns == ["v", "low", "b`c", "side"]
+    want = [(j, a, b, sum(1 for _, x in points if x is not None and a <= x <= b)) for j, a, b in ranges if None not in (a, b) and a <= b]
+    assert sorted(tuple(x) for x in out.collect()) == sorted(want)
+    assert range_counts(p.filter("false"), "x", r.filter("v = 95"), "low", "b`c").first().n == 0 and range_counts(p, "x", r.filter("false"), "low", "b`c").count() == 0
+
+
+def test_counts_by_range_make_no_pairs(spark):
+    from tarnwright.plans import catalog
+
+    df = catalog.QUERIES["join_range"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "bucket" not in plan and "Generate" not in plan
