@@ -108,8 +108,9 @@ def source_csv_quarantine(spark, customer):
 
 @query("""SELECT o_orderkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(14,2))) AS DOUBLE) AS price, CAST(count(*) AS BIGINT) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey""")
 def join_bucketed(orders, lineitem):
-    o = bucketed.bucketed(orders.select("o_orderkey"), ["o_orderkey"], 8)
-    l = bucketed.bucketed(lineitem.select("l_orderkey", "l_extendedprice"), ["l_orderkey"], 8)  # noqa: E741
+    n = bucketed.buckets_for(max(orders.count(), lineitem.count()))
+    o = bucketed.bucketed(orders.select("o_orderkey"), ["o_orderkey"], n)
+    l = bucketed.bucketed(lineitem.select("l_orderkey", "l_extendedprice"), ["l_orderkey"], n)  # noqa: E741
     # both sides meet, and are added up, in their buckets
     met = o.hint("merge").join(l, F.col("o_orderkey") == F.col("l_orderkey"))
     return met.groupBy("o_orderkey").agg(dbl(F.sum(money("l_extendedprice"))).alias("price"), F.count(F.lit(1)).alias("n"))

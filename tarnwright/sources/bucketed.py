@@ -9,6 +9,15 @@ from pyspark.sql import DataFrame
 from tarnwright.sources.scratch import scratch_path
 
 
+#: Rows of a bucket, about, which one task sorts and joins.
+ROWS = 500_000
+
+
+def buckets_for(rows: int, least: int = 8) -> int:
+    """Buckets for a table of so many rows: a power of two, so that a task's share doesn't grow with the table."""
+    return max(least, 1 << max(0, -(-rows // ROWS) - 1).bit_length())
+
+
 def bucketed(df: DataFrame, keys: list[str], buckets: int, path: str | None = None) -> DataFrame:
     """df, written as a table in so many buckets by the hash of its keys, each one file in order of them.
 

@@ -218,3 +218,14 @@ def test_counts_by_range_make_no_pairs(spark):
     df = catalog.QUERIES["join_range"](spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert "bucket" not in plan and "Generate" not in plan
+
+
+def test_buckets_grow_in_number_and_not_in_rows(spark, monkeypatch):
+    from tarnwright.plans import catalog
+    from tarnwright.sources import bucketed
+
+    assert [bucketed.buckets_for(n) for n in (0, 1, 4_000_000, 4_000_001, 8_000_001, 216_000_000)] == [8, 8, 8, 16, 32, 512]
+    monkeypatch.setattr(bucketed, "ROWS", 300)
+    df = catalog.QUERIES["join_bucketed"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "32 out of 32" in plan and "Exchange" not in plan
