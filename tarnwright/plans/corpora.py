@@ -47,14 +47,33 @@ def vector_search(embeddings):
 
 # --- redaction
 
-LUHN = "[d FOR d IN [replace(replace(x, ' ', ''), '-', '') FOR x IN regexp_extract_all(text, '[0-9](?:[ -]?[0-9])*')] IF len(d) BETWEEN 13 AND 19 AND len(list_distinct(string_split(d, ''))) > 1 AND list_sum([CASE WHEN (len(d) - i) % 2 = 0 THEN CAST(d[i] AS BIGINT) WHEN CAST(d[i] AS BIGINT) > 4 THEN CAST(d[i] AS BIGINT) * 2 - 9 ELSE CAST(d[i] AS BIGINT) * 2 END FOR i IN range(1, len(d) + 1)]) % 10 = 0]"
-REDACTED = rf"""
-SELECT doc_id, CAST(len(regexp_extract_all(text, '[0-9A-Za-z._%+-]+@[0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)*\.[A-Za-z]{{2,}}')) AS BIGINT) AS emails,
-CAST(len({LUHN}) AS BIGINT) AS cards,
-CAST(len(regexp_extract_all(text, '(?:\+[0-9]+ )?\([0-9]{{3}}\) [0-9]{{3}}-[0-9]{{4}}')) AS BIGINT) AS phones,
-CAST(len([x FOR x IN regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)+') IF len(string_split(x, '.')) = 4 AND len([p FOR p IN string_split(x, '.') IF len(p) > 3 OR TRY_CAST(p AS INTEGER) > 255]) = 0]) AS BIGINT) AS addresses,
-CAST(len([x FOR x IN regexp_extract_all(text, '[0-9A-Fa-f]{{32,}}') IF regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Fa-f]')]) AS BIGINT) AS secrets
-FROM documents
+# each kind's pattern, the first find first, and the check that finds x (d without spaces and hyphens) must pass
+LUHN = "len(d) BETWEEN 13 AND 19 AND len(list_distinct(string_split(d, ''))) > 1 AND list_sum([CASE WHEN (len(d) - i) % 2 = 0 THEN CAST(d[i] AS BIGINT) WHEN CAST(d[i] AS BIGINT) > 4 THEN CAST(d[i] AS BIGINT) * 2 - 9 ELSE CAST(d[i] AS BIGINT) * 2 END FOR i IN range(1, len(d) + 1)]) % 10 = 0"
+OCTETS = "len(string_split(x, '.')) = 4 AND len([p FOR p IN string_split(x, '.') IF len(p) > 3 OR TRY_CAST(p AS INTEGER) > 255]) = 0"
+MIXED = "regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Fa-f]')"
+MOD97 = "list_reduce([CAST(0 AS BIGINT)] || [CAST(CASE WHEN c < 'A' THEN ascii(c) - 48 ELSE ascii(c) - 55 END AS BIGINT) FOR c IN string_split(b[5:] || b[:4], '')], lambda r, v: (r * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1"
+PATTERNS = (
+    r"[0-9A-Za-z._%+-]+@[0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)*\.[A-Za-z]{2,}",
+    r"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z])+",
+    r"[0-9](?:[ -]?[0-9])*",
+    r"(?:\+[0-9]+ )?\([0-9]{3}\) [0-9]{3}-[0-9]{4}",
+    r"[0-9]+(?:\.[0-9]+)+",
+    r"[0-9A-Fa-f]{32,}",
+)
+# a find starts after the pieces and the finds before it
+FOUND = " UNION ALL ".join(
+    f"""SELECT i, {o} AS o, unnest(m) AS x, unnest([len(y) FOR y IN m]) AS n, unnest([list_sum([len(z) FOR z IN s[:k]]) + coalesce(list_sum([len(z) FOR z IN m[:k - 1]]), 0) FOR k IN range(1, len(m) + 1)]) AS a
+FROM (SELECT i, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS s FROM w)"""
+    for o, p in enumerate(PATTERNS)
+)
+# an account number is the longest start of its find that passes; of finds that overlap the longest is taken (ties: the first, then the kind), until none is left
+REDACTED = f"""
+WITH w AS MATERIALIZED (SELECT row_number() OVER () AS i, doc_id, text FROM documents),
+f AS MATERIALIZED ({FOUND}),
+p AS (SELECT i, o, a, a + n AS e FROM (SELECT *, replace(replace(x, ' ', ''), '-', '') AS d FROM f WHERE o <> 1) WHERE CASE o WHEN 2 THEN {LUHN} WHEN 4 THEN {OCTETS} WHEN 5 THEN {MIXED} ELSE true END
+UNION ALL SELECT i, 1, a, a + max(e) FROM (SELECT i, a, e, replace(x[:e], ' ', '') AS b FROM (SELECT *, unnest(range(15, n + 1)) AS e FROM f WHERE o = 1) WHERE x[e] <> ' ' AND (e = n OR x[e + 1] = ' ')) WHERE len(b) BETWEEN 15 AND 34 AND {MOD97} GROUP BY i, a),
+t AS (SELECT i, list_reduce(list([{{'o': o, 'a': a, 'e': e}}] ORDER BY a - e, a, o), lambda t, f: CASE WHEN len([y FOR y IN t IF y.a < f[1].e AND f[1].a < y.e]) > 0 THEN t ELSE t || f END) AS t FROM p GROUP BY i)
+SELECT doc_id, {", ".join(f"CAST(coalesce(len([y FOR y IN t IF y.o = {o}]), 0) AS BIGINT) AS {name}" for o, name in ((0, "emails"), (2, "cards"), (3, "phones"), (4, "addresses"), (5, "secrets")))} FROM w LEFT JOIN t USING (i)
 """
 
 

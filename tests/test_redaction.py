@@ -71,3 +71,19 @@ def test_documents_against_a_plain_scan(spark, most):
     assert rd.redact(docs.filter("false"), fixed).count() == 0
     with pytest.raises(ValueError):
         rd.redact(docs, redacted="kind")
+
+
+def test_counts_and_their_sql_where_finds_overlap(spark, tmp_path):
+    """A card number within a secret, beside an address or within an account number counts only if it is the longest."""
+    from oracle import duck_rows, spark_rows
+
+    from tarnwright.plans import catalog
+
+    rng = random.Random(9)
+    bits = ["068c002651439458202064d35406d6b34bf01abe", "38.211.12.42", " ", " 4366089147969128", "4495589438270767 ", "+1 (858) 555-2128", "hnof.70@mail0.example.com", "DE89 3704 0044 0532 0130 00", " AND", "GB82WEST12345698765432", "é", ", "]
+    texts = ["".join(rng.choices(bits, k=rng.choice([1, 2, 3, 8]))) for _ in range(150)] + [bits[0], bits[1] + bits[3], bits[4] + "42.73.240.87", None, ""]
+    spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings", "pages", "benchmark", "labels", "conversations"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    got = spark_rows(catalog.QUERIES["redact_counts"](spark, str(tmp_path)))
+    assert got == duck_rows(catalog.ORACLE_SQL["redact_counts"], str(tmp_path))
