@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,6 +12,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tarnwright.sources.scratch import scratch_path, table
+from tarnwright.streaming import activity
+
+#: Keys of a partition of state_on_disk().
+STATE_KEYS = 500_000
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str = "events", watermark: str = "1 hour") -> DataFrame:
@@ -61,6 +66,30 @@ def in_steps(steps: list[DataFrame], to: Callable[[DataFrame], DataFrame], mode:
     return spark.read.schema(schema).parquet(out).select(*schema.names)  # without the folders' numbers
 
 
+@contextlib.contextmanager
+def state_on_disk(spark: SparkSession, keys: int) -> Iterator[int]:
+    """While it lasts, streams that start keep state of about so many keys in RocksDB, and run no batches without input.
+
+    Executors hold a bounded part of the state in memory, whatever its size, and a stream that starts again copies its files.
+    The partitions, whose number it gives, have STATE_KEYS keys each, but are no fewer than what the session runs at once:
+    each writes files of its own in every batch, so more would cost time without shortening anything.  For streams that tell
+    each row in the batch it comes in, as dropDuplicatesWithinWatermark does: there a batch without input only drops keys
+    whose time has passed, which the next batch with input does after its rows.
+    """
+    parts = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), -(-keys // STATE_KEYS))
+    state = "spark.sql.streaming.stateStore.rocksdb"
+    new = {"spark.sql.shuffle.partitions": str(parts), "spark.sql.streaming.noDataMicroBatches.enabled": "false", f"{state}.boundedMemoryUsage": "true", f"{state}.trackTotalNumberOfRows": "false"}
+    before = {k: spark.conf.get(k, None) for k in new}
+    with activity.rocks(spark):
+        for k, v in new.items():
+            spark.conf.set(k, v)
+        try:
+            yield parts
+        finally:
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def keep(batch: DataFrame, number: int, path: str) -> None:
     batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
