@@ -14,8 +14,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tarnwright.sources.scratch import scratch_path, table
 from tarnwright.streaming import activity
 
-#: Keys of a partition of state_on_disk().
-STATE_KEYS = 500_000
+#: Keys of a partition of state_on_disk(), and the MB that its state may take of an executor's memory beside the heap, unless the session says.
+STATE_KEYS, STATE_MB = 500_000, 1_000
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str = "events", watermark: str = "1 hour") -> DataFrame:
@@ -78,7 +78,7 @@ def state_on_disk(spark: SparkSession, keys: int) -> Iterator[int]:
     """
     parts = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), -(-keys // STATE_KEYS))
     state = "spark.sql.streaming.stateStore.rocksdb"
-    new = {"spark.sql.shuffle.partitions": str(parts), "spark.sql.streaming.noDataMicroBatches.enabled": "false", f"{state}.boundedMemoryUsage": "true", f"{state}.trackTotalNumberOfRows": "false"}
+    new = {"spark.sql.shuffle.partitions": str(parts), "spark.sql.streaming.noDataMicroBatches.enabled": "false", f"{state}.boundedMemoryUsage": "true", f"{state}.maxMemoryUsageMB": spark.conf.get(f"{state}.maxMemoryUsageMB", str(STATE_MB)), f"{state}.trackTotalNumberOfRows": "false"}
     before = {k: spark.conf.get(k, None) for k in new}
     with activity.rocks(spark):
         for k, v in new.items():
